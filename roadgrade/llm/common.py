@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,34 +104,28 @@ def spans_of(text, pattern: str, group: int = 0):
 
     A match's place is the summed length of what ``split`` leaves before it and of the matches before it.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    shown = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(whole.alias("w"), shown.alias("m"), F.slice(gaps, F.lit(1), F.size(whole)).alias("g"))
-    start = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["g"])).alias("start"),
-                        (acc["at"] + F.length(x["g"]) + F.length(x["w"])).alias("end"),
-                        x["m"].alias("m"),
-                    )
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+
+    def placed(whole):
+        shown = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        zipped = F.arrays_zip(whole.alias("w"), shown.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("g"))
+        return F.aggregate(
+            zipped,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, x: let(
+                acc["at"] + F.length(x["g"]),
+                lambda start: F.struct(
+                    (start + F.length(x["w"])).alias("at"),
+                    F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.length(x["w"])).alias("end"), x["m"].alias("m")))).alias("out"),
                 ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), start).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
+            ),
+            lambda acc: acc["out"],
+        )
+
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
 
-def word_hashes(words: list) -> np.ndarray:
-    """64-bit hashes of byte strings, the same in every process."""
-    import xxhash
+def let(value, body):
+    """body(value) with value computed once for each row, not once for each use or each element of an inner loop."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    h = xxhash.xxh64_intdigest
-    return np.array([h(w) for w in words], dtype=np.uint64)
