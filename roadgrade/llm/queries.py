@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lines, pii, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, lines, paragraphs, pii, quality, secrets, simhash, suffixes, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), ranks_path())
 
@@ -48,8 +52,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_secrets, op4_pii, op5_simhash, op6_lines, op7_toxicity, op8_decontaminate, op9_quality)}
+    found = (
+        op1_suffix_array, op2_byte_bpe, op3_secrets, op4_pii, op5_simhash,
+        op6_lines, op7_toxicity, op8_decontaminate, op9_quality, op10_paragraphs,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
