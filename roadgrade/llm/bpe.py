@@ -161,7 +161,7 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 
 
 @lru_cache(4)  # the cache of pieces lasts as long as the Python worker
-def _encoder(path: str) -> Callable[[list, list], dict]:
+def _encoder(path: str, offsets: bool = True) -> Callable[[list, list], dict]:
     ranks = read_ranks(path)
     cache: dict[str, tuple[int, ...]] = {}
     gc.freeze()
@@ -185,11 +185,12 @@ def _encoder(path: str) -> Callable[[list, list], dict]:
         piece_at = np.searchsorted(starts, at)  # pieces before each text
         token_at = np.concatenate([[0], np.cumsum(counts)])[piece_at]
         rel = starts - np.repeat(at[:-1], np.diff(piece_at))
-        if len(cache) > 600_000:
+        if len(cache) > 250_000:
             cache.clear()
-        return {
-            "doc_id": ids,
-            "ids": [tokens[a:b] for a, b in zip(token_at, token_at[1:], strict=False)],
+        out = {"doc_id": ids, "ids": [tokens[a:b] for a, b in zip(token_at, token_at[1:], strict=False)]}
+        if not offsets:
+            return out
+        return out | {
             "piece_start": [rel[a:b].astype(np.int32) for a, b in zip(piece_at, piece_at[1:], strict=False)],
             "piece_tokens": [counts[a:b].astype(np.int32) for a, b in zip(piece_at, piece_at[1:], strict=False)],
         }
@@ -203,8 +204,18 @@ def encode(docs: DataFrame, ranks_path: str, offsets: bool = True) -> DataFrame:
     Ids are those that the public library for such rank files gives without special tokens. ranks_path must be readable
     on every executor. A null or empty text gives empty arrays; repeated rows are encoded each; other columns are left.
     """
-    out = per_text(docs, lambda: _encoder(ranks_path), "doc_id long, ids array<int>, piece_start array<int>, piece_tokens array<int>")
-    return out if offsets else out.select("doc_id", "ids")
+    return per_text(docs, lambda: _encoder(ranks_path, offsets), "doc_id long, ids array<int>" + ", piece_start array<int>, piece_tokens array<int>" * offsets)
+
+
+@lru_cache(4)
+def _token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in order of id, and where each begins and how long it is."""
+    ranks = read_ranks(path)
+    token = [b""] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        token[v] = k
+    size = np.array([len(t) for t in token], np.int64)
+    return np.frombuffer(b"".join(token), np.uint8), np.cumsum(size) - size, size
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -213,17 +224,23 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        ranks = read_ranks(ranks_path)
-        token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for k, v in ranks.items():
-            token[v] = k
+        blob, start, size = _token_table(ranks_path)
         for batch in batches:
-            ids = batch.column(1)
-            edges = np.asarray(ids.offsets)
-            flat, ends = ids.flatten().to_pylist(), (edges - edges[0]).tolist()
-            parts = [token[i] for i in flat]
-            out = [b"".join(parts[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            edges = np.asarray(batch.column(1).offsets).astype(np.int64)
+            low = 0
+            while low < len(batch):  # some 300,000 ids at a time
+                high = max(low + 1, int(np.searchsorted(edges, edges[low] + 300_000)) - 1)
+                part = batch.slice(low, high - low)
+                ids = np.asarray(batch.column(1).values)[edges[low] : edges[high]]
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(size)):
+                    raise ValueError("an id is not in the file of ranks")
+                n = size[ids]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                flat = blob[np.repeat(start[ids] - ends[:-1], n) + np.arange(ends[-1])]
+                at = ends[edges[low : high + 1] - edges[low]].astype(np.int32)
+                out = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(at), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], names=["doc_id", "ids", "decoded"])
+                low = high
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
