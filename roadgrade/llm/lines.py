@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import per_text
 
@@ -82,8 +83,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return _keyed(docs).join(often, "key").filter("doc_id <> first_id").groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with recurring lines taken out of text, and two more columns n_lines and n_dropped.
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with recurring lines taken out of text, and two more columns: its number of lines and how many were dropped.
 
     Null and empty texts stay as they are and have no lines; lines under five tokens always stay. Rows with the same
     doc_id are separate documents when counted and lose the same lines. A null doc_id never is a first and loses nothing.
@@ -91,7 +92,7 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     at = docs.columns.index("text")
     joined = docs.join(recurring_lines(docs, min_docs).withColumnRenamed("dropped", "_dropped_lines"), "doc_id", "left")
     joined = joined.select(*[docs[c] for c in docs.columns], "_dropped_lines")
-    out = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    out = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +105,7 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                 less.append(len(gone))
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(less, pa.int64())], names=[*batch.schema.names[:-1], "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(less, pa.int64())], names=[*batch.schema.names[:-1], *added])
 
     return joined.mapInArrow(run, out)
 
@@ -115,7 +116,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def strip(docs: DataFrame) -> DataFrame:
     """docs with the lines taken out; documents of which nothing is left, though there was something, go."""
-    out = dedup(docs).filter(r"n_dropped = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    out = dedup(docs, added=("_n_lines", "_n_dropped")).filter((F.col("_n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
