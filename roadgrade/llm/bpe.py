@@ -164,10 +164,15 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 def _encoder(path: str, offsets: bool = True) -> Callable[[list, list], dict]:
     ranks = read_ranks(path)
     cache: dict[str, tuple[int, ...]] = {}
-    gc.freeze()
-    gc.disable()  # nothing here is cyclic; scans of the growing cache would take half the time
 
     def encode(ids: list, texts: list) -> dict:
+        gc.disable()  # nothing here is cyclic; scans of the growing cache would take half the time
+        try:
+            return cut_and_merge(ids, texts)
+        finally:
+            gc.enable()
+
+    def cut_and_merge(ids: list, texts: list) -> dict:
         whole = "".join(texts)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -185,7 +190,7 @@ def _encoder(path: str, offsets: bool = True) -> Callable[[list, list], dict]:
         piece_at = np.searchsorted(starts, at)  # pieces before each text
         token_at = np.concatenate([[0], np.cumsum(counts)])[piece_at]
         rel = starts - np.repeat(at[:-1], np.diff(piece_at))
-        if len(cache) > 250_000:
+        if len(cache) > 150_000:
             cache.clear()
         out = {"doc_id": ids, "ids": [tokens[a:b] for a, b in zip(token_at, token_at[1:], strict=False)]}
         if not offsets:

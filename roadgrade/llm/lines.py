@@ -95,17 +95,19 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, added: tuple[str, str] = ("
     out = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n, less = [], [], []
-            for t, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                lines = t.split("\n") if t else []
-                gone = set(drop or ())
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
-                n.append(len(lines))
-                less.append(len(gone))
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(less, pa.int64())], names=[*batch.schema.names[:-1], *added])
+        for whole in batches:
+            for low in range(0, len(whole), 300):  # few texts at a time are Python strings
+                batch = whole.slice(low, 300)
+                texts, n, less = [], [], []
+                for t, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    lines = t.split("\n") if t else []
+                    gone = set(drop or ())
+                    texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
+                    n.append(len(lines))
+                    less.append(len(gone))
+                columns = batch.columns[:-1]
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(less, pa.int64())], names=[*batch.schema.names[:-1], *added])
 
     return joined.mapInArrow(run, out)
 

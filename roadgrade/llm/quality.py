@@ -172,9 +172,8 @@ def _filter(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for k in range(0, len(texts), 500):
-                some = texts[k : k + 500]
+            for k in range(0, len(batch), 300):
+                some = [t or "" for t in batch.column(at).slice(k, 300).to_pylist()]
                 out = counts(some)
                 ok = ~base_failed(out["n_words"], out["n_repeat_words"])
                 if model:
