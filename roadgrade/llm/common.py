@@ -34,7 +34,7 @@ def per_text(
     """Apply a function of (ids, texts) to each Arrow batch; null texts arrive as empty ones.
 
     ``make`` runs once a task (it loads what the function needs); the function returns the columns of ``schema``.
-    Batches are cut to a few megabytes of text, so that very long texts don't add up.
+    Batches are cut to a megabyte of text, so that very long texts don't add up.
     """
     # Spark's own parser gives the Arrow types that it expects back
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,7 +50,7 @@ def per_text(
             at = 0
             while at < len(ids):
                 some, size = [], 0
-                while at + len(some) < len(ids) and (not some or size < 2_000_000):
+                while at + len(some) < len(ids) and (not some or size < 1_000_000):
                     some.append(texts[at + len(some)].as_py() or "")
                     size += len(some[-1])
                 out = f(ids[at : at + len(some)], some)
@@ -99,28 +99,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def spans_of(text, pattern: str, group: int = 0):
+def spans_of(text, pattern: str, group: int = 0, left: int = 0):
     """Column: array of (start, end, m) of the leftmost non-overlapping matches of a Java pattern, in code points.
 
-    A match's place is the summed length of what ``split`` leaves before it and of the matches before it.
+    A match's place is the summed length of what ``split`` leaves before it and of the matches before it. Sums are made
+    within pieces of 256 matches and over pieces, so that the time grows with the matches and not with their square.
+    With ``left``, a fourth field has up to so many characters before the match, back to the match before the last.
     """
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    kind = "array<struct<start:int,end:int,m:string" + ",left:string" * bool(left) + ">>"
+    none = F.array().cast(kind)
 
     def placed(whole):
         shown = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        zipped = F.arrays_zip(whole.alias("w"), shown.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("g"))
-        return F.aggregate(
-            zipped,
-            F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda acc, x: let(
-                acc["at"] + F.length(x["g"]),
-                lambda start: F.struct(
-                    (start + F.length(x["w"])).alias("at"),
-                    F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.length(x["w"])).alias("end"), x["m"].alias("m")))).alias("out"),
-                ),
-            ),
+        return let(F.arrays_zip(whole.alias("w"), shown.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("g")), summed)
+
+    def tail(z, x, i):
+        """The characters before match i of z, whose entry is x."""
+        some = lambda k, f: F.coalesce(F.right(F.get(z, i - k)[f], F.lit(left)), F.lit(""))
+        return F.right(F.concat(some(2, "w"), some(1, "g"), some(1, "w"), F.right(x["g"], F.lit(left))), F.lit(left))
+
+    def summed(z):
+        both = z if not left else F.transform(z, lambda x, i: F.struct(x["w"].alias("w"), x["m"].alias("m"), x["g"].alias("g"), tail(z, x, i).alias("left")))
+        at = F.sequence(F.lit(0), ((F.size(z) - 1) / 256).cast("int"))
+        return let(both, lambda b: let(F.transform(at, lambda c: F.slice(b, c * 256 + 1, 256)), over))
+
+    def over(pieces):
+        size = lambda x: F.length(x["g"]) + F.length(x["w"])
+        start = F.aggregate(
+            pieces,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, piece: F.struct(F.aggregate(piece, acc["at"], lambda n, x: n + size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
             lambda acc: acc["out"],
         )
+        return F.flatten(F.zip_with(pieces, start, lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    def step(acc, x):
+        begin = acc["at"] + F.length(x["g"])
+        end = begin + F.length(x["w"])
+        fields = [begin.alias("start"), end.alias("end"), x["m"].alias("m"), *([x["left"].alias("left")] if left else [])]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(*fields))).alias("out"))
 
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 

@@ -42,14 +42,12 @@ def luhn(digits: Column) -> Column:
 
 def _with_context(text: Column, pattern: str) -> Column:
     """Spans of a pattern, each with the two words before it (lower case, digits as 0)."""
-    spans = spans_of(text, pattern)
 
-    def context(s: Column) -> Column:
-        left = F.substring(text, F.greatest(s["start"] - 63, F.lit(1)), F.least(s["start"], F.lit(64)))
+    def context(left: Column) -> Column:
         words = F.regexp_extract(F.lower(left), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
         return F.regexp_replace(F.regexp_replace(words, r"[\x20\x09-\x0D]+", " "), "[0-9]", "0")
 
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), context(s).alias("context")))
+    return F.transform(spans_of(text, pattern, left=64), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), context(s["left"]).alias("context")))
 
 
 def base(docs: DataFrame) -> DataFrame:
