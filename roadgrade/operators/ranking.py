@@ -242,9 +242,11 @@ def dedupe_inclines(pdf: pd.DataFrame) -> pd.DataFrame:
     """Best-first by span: an incline goes if it shares a piece of road with a kept one, or if both are named alike and
     lie on different roads with meeting boxes. For one area's metadata rows (no samples)."""
     pdf = pdf.sort_values(["span", "seq"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    kept: list[int] = []
+    rows, kept = pdf.to_dict("records"), []
+    by_road: dict[int, list[int]] = {}
+    by_name: dict[str, list[int]] = {}
 
-    def conflict(x: pd.Series, y: pd.Series) -> bool:
+    def conflict(x: dict, y: dict) -> bool:
         for s in x["segs"]:
             for t in y["segs"]:
                 if s["road_id"] == t["road_id"] and max(min(s["from"], s["to"]), min(t["from"], t["to"])) < min(max(s["from"], s["to"]), max(t["from"], t["to"])):
@@ -252,9 +254,14 @@ def dedupe_inclines(pdf: pd.DataFrame) -> pd.DataFrame:
         same = not x["unnamed"] and not y["unnamed"] and x["name"] == y["name"] and x["head"] != y["head"]
         return same and x["lat_min"] <= y["lat_max"] and y["lat_min"] <= x["lat_max"] and x["lon_min"] <= y["lon_max"] and y["lon_min"] <= x["lon_max"]
 
-    for k in range(len(pdf)):
-        if not any(conflict(pdf.iloc[k], pdf.iloc[o]) for o in kept):
+    for k, x in enumerate(rows):  # only kept ones on the same roads or of the same name can be in conflict
+        near = {o for s in x["segs"] for o in by_road.get(s["road_id"], ())}
+        near |= set() if x["unnamed"] else set(by_name.get(x["name"], ()))
+        if not any(conflict(x, rows[o]) for o in near):
             kept.append(k)
+            for s in x["segs"]:
+                by_road.setdefault(s["road_id"], []).append(k)
+            by_name.setdefault(x["name"], []).append(k)
     return pdf.iloc[kept]
 
 
