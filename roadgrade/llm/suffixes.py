@@ -3,7 +3,9 @@
 Kept are the suffixes that begin at content-selected positions: the minimisers of 25-word hashes in windows of 26, of
 which every run of 50 words holds one that its copies hold too. Suffixes whose 25 words occur nowhere else can match
 nothing and go. The others are sorted with what follows and precedes them; runs of neighbours are compared and matches
-are extended to the left and the right. What is found are all passages of 50 words and more that two documents share.
+are extended to the left and the right. Where the neighbours of one seed fall to several tasks or runs, each window
+around the seed is looked up by its hash instead. What is found are all passages of 50 words and more that two
+documents share.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from .common import cut, per_text
 from .shingle import Hasher, grams, minimisers, mix
 
 LENGTH, SEED = 50, 25
-#: Most rows in a row that a task compares at once; a larger group is compared in sorted pieces.
+#: Most rows in a row that a task compares at once; the windows of seeds with more rows are looked up by their hashes.
 RUN = 20_000
 _SUFFIX = "seed long, right binary, left binary, doc_id long, at int"
-_FOUND = "doc_id long, start int, end int, seed long, right binary, left binary, at int"
+_FOUND = "doc_id long, start int, end int, seed long"
+_WINDOW = "window long, doc_id long, start int"
 
 
 def _selected(hash_words: Hasher, texts: list[str], seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,10 +86,10 @@ def with_context(docs: DataFrame, wanted: DataFrame, length: int = LENGTH, seed:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, _SUFFIX)
 
 
-def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, least and largest number of words to the left) of the runs of windows of ``length`` words around each
-    row's seed that some row of another document with the same seed has too. Rows may come in any order."""
-    side, n = length - k, len(seed)
+def _around(seed: np.ndarray, right: list[bytes], left: list[bytes], side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each number of words to the left, 0 to side: the rows that have such a window of side words around their seed,
+    and the windows' hashes."""
+    n = len(seed)
     size = lambda xs: np.fromiter(map(len, xs), np.int64, n) // 4
 
     def running(xs: list[bytes]) -> np.ndarray:
@@ -100,10 +103,17 @@ def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.nda
         return out
 
     r, l, nr, nl = running(right), running(left), size(right), size(left)
-    hit = np.zeros((side + 1, n), bool)
     for o in range(side + 1):
         ok = np.flatnonzero((nl >= o) & (nr >= side - o))
-        key = mix(seed[ok] ^ mix(l[o][ok] + np.uint64(7)) + r[side - o][ok])
+        yield ok, mix(seed[ok] ^ mix(l[o][ok] + np.uint64(7)) + r[side - o][ok])
+
+
+def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, least and largest number of words to the left) of the runs of windows of ``length`` words around each
+    row's seed that some row of another document with the same seed has too. Rows may come in any order."""
+    side, n = length - k, len(seed)
+    hit = np.zeros((side + 1, n), bool)
+    for o, (ok, key) in enumerate(_around(seed, right, left, side)):
         order = np.lexsort((doc[ok], key))
         key, who = key[order], doc[ok][order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -118,21 +128,26 @@ def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.nda
 
 
 def compare(suffixes: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows: int = RUN) -> DataFrame:
-    """doc_id, start, end (words) of the matches; and, with start null, the first and last row of every partition."""
+    """doc_id, start, end (words) of the matches; and, with these null, the seeds at either end of every run compared."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(_FOUND))
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        doc, at = np.asarray(t["doc_id"]), np.asarray(t["at"]).astype(np.int64)
-        row, low, high = matches(np.asarray(t["seed"]).view(np.uint64), t["right"].to_pylist(), t["left"].to_pylist(), doc, length, seed)
-        none = [pa.nulls(len(row), x.type) for x in list(arrow)[3:]]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array((at[row] - high).astype(np.int32)), pa.array((at[row] - low + length).astype(np.int32)), *none], schema=arrow)
-
-    def edge(t: pa.Table, i: int) -> pa.RecordBatch:
-        x = t.slice(i, 1).combine_chunks().to_batches()[0]
-        return pa.RecordBatch.from_arrays([x["doc_id"], *[pa.nulls(1, pa.int32())] * 2, x["seed"], x["right"], x["left"], x["at"]], schema=arrow)
+        doc, at, s = np.asarray(t["doc_id"]), np.asarray(t["at"]).astype(np.int64), np.asarray(t["seed"])
+        row, low, high = matches(s.view(np.uint64), t["right"].to_pylist(), t["left"].to_pylist(), doc, length, seed)
+        named = np.unique(s[[0, -1]])
+        ends = pa.nulls(len(named))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(doc[row], pa.int64()), ends.cast(pa.int64())]),
+                pa.concat_arrays([pa.array((at[row] - high).astype(np.int32)), ends.cast(pa.int32())]),
+                pa.concat_arrays([pa.array((at[row] - low + length).astype(np.int32)), ends.cast(pa.int32())]),
+                pa.array(np.append(s[row], named), pa.int64()),
+            ],
+            schema=arrow,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted. What is compared at once ends between two seeds, or after run_rows rows of one seed."""
@@ -141,22 +156,32 @@ def compare(suffixes: DataFrame, length: int = LENGTH, seed: int = SEED, run_row
             if not len(batch):
                 continue
             now = pa.Table.from_batches([batch])
-            if rest is None:
-                yield edge(now, 0)
             rest = now if rest is None else pa.concat_tables([rest, now])
             while len(rest) > run_rows:
                 s = np.asarray(rest["seed"][: run_rows + 1])
                 turn = np.flatnonzero(s[1:] != s[:-1])
                 stop = int(turn[-1]) + 1 if len(turn) else run_rows
                 yield found(rest.slice(0, stop))
-                rest = rest.slice(stop if len(turn) else stop - run_rows // 8)  # pieces of one seed overlap
+                rest = rest.slice(stop)
         if rest is not None:
-            yield edge(rest, len(rest) - 1)
             yield found(rest)
 
     return suffixes.select("seed", "right", "left", "doc_id", "at").mapInArrow(run, _FOUND)
 
 
+def windows(suffixes: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """window (hash), doc_id, start (word) of all windows of ``length`` words around the seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, at = np.asarray(batch["doc_id"]), np.asarray(batch["at"])
+            around = _around(np.asarray(batch["seed"]).view(np.uint64), batch["right"].to_pylist(), batch["left"].to_pylist(), length - seed)
+            for o, (ok, key) in enumerate(around):
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key + np.uint64(o)).view(np.int64)), pa.array(doc[ok]), pa.array(at[ok] - np.int32(o))], names=["window", "doc_id", "start"])
+
+    return suffixes.select("seed", "right", "left", "doc_id", "at").mapInArrow(run, _WINDOW)
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows: int = RUN) -> DataFrame:
     """doc_id, spans (array of start, end in words, merged), n_spans, n_words: what documents share with others.
 
@@ -167,13 +192,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows:
     kept = selected(docs, length, seed)
     often = kept.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("seed")
     wanted = kept.join(often, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    suffixes = with_context(docs, wanted, length, seed)
+    suffixes = cut(with_context(docs, wanted, length, seed))
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["seed", "right", "left", "doc_id", "at"]
-    found = cut(compare(cut(suffixes).repartitionByRange(n, *order).sortWithinPartitions(*order), length, seed, run_rows))
-    # two rows of each partition: what stands on either side of a border
-    border = compare(found.filter("start is null").repartition(1).sortWithinPartitions(*order), length, seed, run_rows)
-    spans = found.filter("start is not null").union(border.filter("start is not null")).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    found = cut(compare(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), length, seed, run_rows))
+    # a run's ends name its first and its last seed: a seed named by several runs may have rows in each of them
+    apart = found.filter("start is null").groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    around = cut(windows(suffixes.join(apart, "seed", "left_semi"), length, seed))
+    shared = around.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("window")
+    looked_up = around.join(shared, "window").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    spans = found.filter("start is not null").select("doc_id", "start", "end").union(looked_up).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,end:int>>"),

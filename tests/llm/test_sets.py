@@ -226,6 +226,21 @@ def test_suffixes_equal_brute_force(make, run_rows):
     assert got == slow_spans(docs)
 
 
+def test_seeds_whose_rows_are_dealt_apart_lose_no_match(make):
+    """Passages in many documents, each time with other words before and after, which few documents share."""
+    rng = random.Random(12)
+    common = [prose(rng, 32, 90000) for _ in range(6)]
+    befores = {(i, j): prose(rng, 30, 90000) for i in range(6) for j in range(40)}
+    docs = {}
+    for d in range(480):
+        i, j = d % 6, d // 6 % 40
+        docs[d] = [*befores[i, j], *common[i], *prose(rng, 30, 90000)]
+    rows = make([(d, " ".join(w)) for d, w in docs.items()]).repartition(5)
+    for run_rows in (7, 50, 20_000):
+        got = {r["doc_id"]: [any(s["start"] <= k < s["end"] for s in r["spans"]) for k in range(len(docs[r["doc_id"]]))] for r in suffixes.repeated(rows, run_rows=run_rows).collect()}
+        assert got == slow_spans(docs)
+
+
 def test_paragraphs_catch_passages_and_leave_others(make):
     docs = planted(random.Random(9))
     got = {r["doc_id"] for r in paragraphs.report(make([(d, " ".join(w)) for d, w in docs.items()])).collect()}
