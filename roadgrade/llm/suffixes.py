@@ -3,8 +3,8 @@
 Kept are the suffixes that begin at content-selected positions: the minimisers of 25-word hashes in windows of 26, of
 which every run of 50 words holds one that its copies hold too. Suffixes whose 25 words occur nowhere else can match
 nothing and go. The others are sorted with what follows and precedes them; runs of neighbours are compared and matches
-are extended to the left and the right. Where the neighbours of one seed fall to several tasks or runs, each window
-around the seed is looked up by its hash instead. What is found are all passages of 50 words and more that two
+are extended to the left and the right. Where the neighbours of one seed fall to several tasks or runs, the
+windows around it that differ within each are compared between them by their hashes. What is found are all passages of 50 words and more that two
 documents share.
 """
 
@@ -21,11 +21,10 @@ from .common import cut, per_text
 from .shingle import Hasher, grams, minimisers, mix
 
 LENGTH, SEED = 50, 25
-#: Most rows in a row that a task compares at once; the windows of seeds with more rows are looked up by their hashes.
+#: Most rows in a row that a task compares at once; what is left of a seed with more rows is compared by windows' hashes.
 RUN = 20_000
 _SUFFIX = "seed long, right binary, left binary, doc_id long, at int"
-_FOUND = "doc_id long, start int, end int, seed long"
-_WINDOW = "window long, doc_id long, start int"
+_FOUND = "doc_id long, start int, end int, window long, low long, high long"
 
 
 def _selected(hash_words: Hasher, texts: list[str], seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,50 +107,64 @@ def _around(seed: np.ndarray, right: list[bytes], left: list[bytes], side: int)
         yield ok, mix(seed[ok] ^ mix(l[o][ok] + np.uint64(7)) + r[side - o][ok])
 
 
-def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.ndarray, length: int, k: int, is_open: np.ndarray) -> tuple[tuple, tuple]:
     """(row, least and largest number of words to the left) of the runs of windows of ``length`` words around each
-    row's seed that some row of another document with the same seed has too. Rows may come in any order."""
+    row's seed that some row of another document with the same seed has too. Rows may come in any order.
+
+    And for the open rows, whose seed may have further rows elsewhere: (row, words to the left, hash, least and largest
+    document) of their distinct windows; the row is -1 where the window has its match here.
+    """
     side, n = length - k, len(seed)
     hit = np.zeros((side + 1, n), bool)
+    left_open = []
     for o, (ok, key) in enumerate(_around(seed, right, left, side)):
+        if not len(ok):
+            continue
         order = np.lexsort((doc[ok], key))
-        key, who = key[order], doc[ok][order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        key, who, row = key[order], doc[ok][order], ok[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         last = np.append(first[1:], len(key)) - 1
-        several = np.repeat(who[first] != who[last], last - first + 1) if len(key) else np.zeros(0, bool)
-        hit[o, ok[order]] = several
+        several = who[first] != who[last]
+        each = np.repeat(several, last - first + 1)
+        hit[o, row] = each
+        done = np.flatnonzero(several & is_open[row[first]])
+        alone = np.flatnonzero(~each & is_open[row])
+        left_open.append(
+            (
+                np.append(np.full(len(done), -1), row[alone]), np.full(len(done) + len(alone), o), mix(np.append(key[first[done]], key[alone]) + np.uint64(o)),
+                np.append(who[first[done]], who[alone]), np.append(who[last[done]], who[alone]),
+            )
+        )
     pad = np.zeros((1, n), np.int8)
     step = np.diff(np.concatenate([pad, hit.astype(np.int8), pad]), axis=0)
     low_row, low = np.nonzero(step.T == 1)
     _, high = np.nonzero(step.T == -1)
-    return low_row, low, high - 1
+    still = tuple(map(np.concatenate, zip(*left_open, strict=True))) if left_open else (np.zeros(0, np.int64),) * 5
+    return (low_row, low, high - 1), still
 
 
 def compare(suffixes: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows: int = RUN) -> DataFrame:
-    """doc_id, start, end (words) of the matches; and, with these null, the seeds at either end of every run compared."""
+    """doc_id, start, end (words) of the matches; and for the windows of seeds whose rows may be dealt to several runs
+    window (hash), low and high (documents), with doc_id, start and end of those that have no match in their run."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(_FOUND))
 
-    def found(t: pa.Table) -> pa.RecordBatch:
+    def found(t: pa.Table, head: bool, tail: bool) -> Iterator[pa.RecordBatch]:
+        """head, tail: may the first, the last seed have further rows in other runs?"""
         doc, at, s = np.asarray(t["doc_id"]), np.asarray(t["at"]).astype(np.int64), np.asarray(t["seed"])
-        row, low, high = matches(s.view(np.uint64), t["right"].to_pylist(), t["left"].to_pylist(), doc, length, seed)
-        named = np.unique(s[[0, -1]])
-        ends = pa.nulls(len(named))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(doc[row], pa.int64()), ends.cast(pa.int64())]),
-                pa.concat_arrays([pa.array((at[row] - high).astype(np.int32)), ends.cast(pa.int32())]),
-                pa.concat_arrays([pa.array((at[row] - low + length).astype(np.int32)), ends.cast(pa.int32())]),
-                pa.array(np.append(s[row], named), pa.int64()),
-            ],
-            schema=arrow,
-        )
+        is_open = (s == s[0]) & head | (s == s[-1]) & tail
+        (row, low, high), (who, o, window, a, b) = matches(s.view(np.uint64), t["right"].to_pylist(), t["left"].to_pylist(), doc, length, seed, is_open)
+        columns = [doc[row], at[row] - high, at[row] - low + length]
+        yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip(columns, arrow, strict=False)] + [pa.nulls(len(row), pa.int64())] * 3, schema=arrow)
+        done = who < 0
+        columns = [pa.array(x, mask=done).cast(f.type) for x, f in zip([doc[who], at[who] - o, at[who] - o + length], arrow, strict=False)]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x.view(np.int64)) for x in (window, a, b)]], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted. What is compared at once ends between two seeds, or after run_rows rows of one seed."""
-        rest = None
+        rest, head = None, True
         for batch in batches:
             if not len(batch):
                 continue
@@ -161,27 +174,14 @@ def compare(suffixes: DataFrame, length: int = LENGTH, seed: int = SEED, run_row
                 s = np.asarray(rest["seed"][: run_rows + 1])
                 turn = np.flatnonzero(s[1:] != s[:-1])
                 stop = int(turn[-1]) + 1 if len(turn) else run_rows
-                yield found(rest.slice(0, stop))
-                rest = rest.slice(stop)
+                yield from found(rest.slice(0, stop), head, not len(turn))
+                rest, head = rest.slice(stop), not len(turn)
         if rest is not None:
-            yield found(rest)
+            yield from found(rest, head, True)
 
     return suffixes.select("seed", "right", "left", "doc_id", "at").mapInArrow(run, _FOUND)
 
 
-def windows(suffixes: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """window (hash), doc_id, start (word) of all windows of ``length`` words around the seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, at = np.asarray(batch["doc_id"]), np.asarray(batch["at"])
-            around = _around(np.asarray(batch["seed"]).view(np.uint64), batch["right"].to_pylist(), batch["left"].to_pylist(), length - seed)
-            for o, (ok, key) in enumerate(around):
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key + np.uint64(o)).view(np.int64)), pa.array(doc[ok]), pa.array(at[ok] - np.int32(o))], names=["window", "doc_id", "start"])
-
-    return suffixes.select("seed", "right", "left", "doc_id", "at").mapInArrow(run, _WINDOW)
-
-
 def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows: int = RUN) -> DataFrame:
     """doc_id, spans (array of start, end in words, merged), n_spans, n_words: what documents share with others.
 
@@ -196,12 +196,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows:
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["seed", "right", "left", "doc_id", "at"]
     found = cut(compare(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), length, seed, run_rows))
-    # a run's ends name its first and its last seed: a seed named by several runs may have rows in each of them
-    apart = found.filter("start is null").groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    around = cut(windows(suffixes.join(apart, "seed", "left_semi"), length, seed))
-    shared = around.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("window")
-    looked_up = around.join(shared, "window").select("doc_id", "start", (F.col("start") + length).alias("end"))
-    spans = found.filter("start is not null").select("doc_id", "start", "end").union(looked_up).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    # a run sends each of its open windows once, and those without a match for each row: a hot window has a row a run
+    windows = found.filter("window is not null")
+    shared = windows.groupBy("window").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b").select("window")
+    between = windows.filter("start is not null").join(shared, "window").select("doc_id", "start", "end")
+    spans = found.filter("window is null").select("doc_id", "start", "end").union(between).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,end:int>>"),
