@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgrade.llm import bpe, decontaminate, lines, quality, simhash
+from roadgrade.llm import bpe, decontaminate, lines, near, quality
 from roadgrade.llm.common import cut, table
 from roadgrade.llm.queries import ranks_path
 
@@ -22,8 +22,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 and more) the document of the least doc_id stays."""
+    return near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
