@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: What separates words: the space and the characters from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]++"
+#: The last two words with the white space behind them, and the word that has not ended yet.
+_TAIL = rf"(?<![^\x20\x09-\x0D])(?:{WORD}{SPACE}++){{0,2}}+[^\x20\x09-\x0D]*+$"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,45 +102,47 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def spans_of(text, pattern: str, group: int = 0, left: int = 0):
+def spans_of(text, pattern: str, group: int = 0, context: bool = False):
     """Column: array of (start, end, m) of the leftmost non-overlapping matches of a Java pattern, in code points.
 
     A match's place is the summed length of what ``split`` leaves before it and of the matches before it. Sums are made
-    within pieces of 256 matches and over pieces, so that the time grows with the matches and not with their square.
-    With ``left``, a fourth field has up to so many characters before the match, back to the match before the last.
+    in pieces of 256 matches, so that the time grows with the matches and not with their square.
+    With ``context`` (the pattern has no capturing group then) two fields follow: left, what stands before the match from
+    the beginning of the second last whole word on, and right, the first whole word after it. Both are cut at words only: they read
+    as far as these words reach, over other matches too.
     """
-    kind = "array<struct<start:int,end:int,m:string" + ",left:string" * bool(left) + ">>"
+    kind = "array<struct<start:int,end:int,m:string" + ",left:string,right:string" * context + ">>"
     none = F.array().cast(kind)
 
     def placed(whole):
-        shown = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        return let(F.arrays_zip(whole.alias("w"), shown.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("g")), summed)
-
-    def tail(z, x, i):
-        """The characters before match i of z, whose entry is x."""
-        some = lambda k, f: F.coalesce(F.right(F.get(z, i - k)[f], F.lit(left)), F.lit(""))
-        return F.right(F.concat(some(2, "w"), some(1, "g"), some(1, "w"), F.right(x["g"], F.lit(left))), F.lit(left))
+        m = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        right = F.regexp_extract_all(text, F.lit(f"(?:{pattern})(?=[^\x20\x09-\x0D]*+{SPACE}*((?:{WORD})?))"), F.lit(1)) if context else whole
+        return let(F.arrays_zip(whole.alias("w"), m.alias("m"), right.alias("right"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("g")), summed)
 
     def summed(z):
-        both = z if not left else F.transform(z, lambda x, i: F.struct(x["w"].alias("w"), x["m"].alias("m"), x["g"].alias("g"), tail(z, x, i).alias("left")))
         at = F.sequence(F.lit(0), ((F.size(z) - 1) / 256).cast("int"))
-        return let(both, lambda b: let(F.transform(at, lambda c: F.slice(b, c * 256 + 1, 256)), over))
-
-    def over(pieces):
-        size = lambda x: F.length(x["g"]) + F.length(x["w"])
-        start = F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, piece: F.struct(F.aggregate(piece, acc["at"], lambda n, x: n + size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-            lambda acc: acc["out"],
-        )
-        return F.flatten(F.zip_with(pieces, start, lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+        pieces = F.transform(at, lambda c: F.slice(z, c * 256 + 1, 256))
+        first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.flatten(F.aggregate(pieces, first, piece, lambda acc: acc["out"]))
+
+    def piece(acc, some):
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), none.alias("out")), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), x["tail"].alias("tail"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["g"])
         end = begin + F.length(x["w"])
-        fields = [begin.alias("start"), end.alias("end"), x["m"].alias("m"), *([x["left"].alias("left")] if left else [])]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(*fields))).alias("out"))
+        if not context:
+            return F.struct(end.alias("at"), acc["tail"].alias("tail"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
+        left = F.regexp_extract(F.concat(acc["tail"], x["g"]), _TAIL, 0)
+        return let(
+            left,
+            lambda left: F.struct(
+                end.alias("at"),
+                F.concat(left, x["w"]).alias("tail"),
+                F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m"), left.alias("left"), x["right"].alias("right")))).alias("out"),
+            ),
+        )
 
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 

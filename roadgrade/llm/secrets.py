@@ -3,8 +3,10 @@
 Base patterns find assignments, access keys and long hexadecimal runs. Beside them every long token that holds letters
 and digits goes through a battery of randomness tests over the alphabet of its inferred encoding: chi-squared
 uniformity, runs about the alphabet's middle, serial correlation. The three give one p-value under "this is random".
-Within each class of encoding and length (short tokens give the tests little power, so they are judged apart) the
-Benjamini-Hochberg rule picks the tokens that are not random; the others are reported, if no base span overlaps them.
+Within each class of encoding and length (short tokens give the tests little power, so they are judged apart) two rates
+are held over the distinct tokens: the Benjamini-Hochberg rule bounds the share of random ones among those called
+ordinary, and the estimated share of ordinary ones among those reported is bounded too. What is reported overlaps no
+base span.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 #: Share of truly random tokens among those called ordinary, at most.
 RATE = 0.05
-_BINS = 400
+#: Estimated share of ordinary tokens among those reported, at most; p-values above LAMBDA count as random ones'.
+FALSE_SECRETS, LAMBDA = 0.1, 0.05
+#: p-values are rounded up to 100 steps a power of ten; the least is some 1e-43.
+STEPS = 100
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -102,13 +107,36 @@ def _battery(kind: Column, k: Column, x: Column) -> Column:
     return let(first, moments)
 
 
-def cutoffs(tokens: DataFrame, rate: float = RATE) -> dict[str, float]:
-    """(class, p) of all tokens -> largest p of each class that is called ordinary. At most 5 x 31 classes come back."""
-    binned = tokens.groupBy("class", F.floor(F.col("p") * _BINS).alias("bin")).agg(F.count("*").alias("n"))
-    up = W.partitionBy("class").orderBy("bin")
-    ranked = binned.withColumns({"below": F.sum("n").over(up), "all": F.sum("n").over(W.partitionBy("class")), "top": (F.col("bin") + 1) / _BINS})
-    found = ranked.filter(F.col("top") <= rate * F.col("below") / F.col("all")).groupBy("class").agg(F.max("top").alias("p"))
-    return {r["class"]: r["p"] for r in found.collect()}
+def level(p: Column) -> Column:
+    """Steps of -log10(p), rounded down: the higher, the less random."""
+    return F.floor(-STEPS * F.log10(F.greatest(p, F.lit(1e-60)))).cast("int")
+
+
+def cutoffs(tokens: DataFrame, rate: float = RATE, false_secrets: float = FALSE_SECRETS) -> dict[str, int]:
+    """(class, p, token) of all tokens -> least level of each class that is called ordinary. At most 5 x 31 classes come
+    back, each from at most some 4400 levels; classes without an ordinary token are left out.
+
+    With p rounded up to its level's bound, m distinct tokens and R(l) of them at level l or above: the first rule calls
+    ordinary what is at the least l with p(l) <= rate * R(l) / m, or above. The second takes the tokens with p over
+    LAMBDA, divided by 1 - LAMBDA, for the number of random ones, so (1 - p(l)) of that many are among the m - R(l) that
+    would be reported; it needs the greatest l at which the others are a share of false_secrets at most. The lower of the
+    two levels holds both.
+    """
+    levels = tokens.select("class", level(F.col("p")).alias("level"), F.xxhash64("token").alias("t")).distinct().groupBy("class", "level").agg(F.count("*").alias("n"))
+    down, whole = W.partitionBy("class").orderBy(F.desc("level")), W.partitionBy("class")
+    bound = F.pow(F.lit(10.0), -F.col("level") / STEPS)
+    ranked = levels.select("class", "level", bound.alias("p"), "n", F.sum("n").over(down).alias("below"), F.sum("n").over(whole).alias("m"))
+    random = F.sum(F.when(F.col("p") > LAMBDA, F.col("n")).otherwise(0)).over(whole) / (1 - LAMBDA)
+    ranked = ranked.withColumn("random", F.least(random + 1, F.col("m").cast("double"))).withColumn("left", F.col("m") - F.col("below"))
+    wrong = lambda left, p: 1 - F.col("random") * (1 - p) / left
+    found = ranked.groupBy("class").agg(
+        F.min(F.when(F.col("p") <= rate * F.col("below") / F.col("m"), F.col("level"))).alias("first"),
+        F.max(F.when((F.col("p") <= LAMBDA) & ((F.col("left") == 0) | (wrong(F.col("left"), F.col("p")) <= false_secrets)), F.col("level"))).alias("second"),
+        F.min(F.when(F.col("p") <= LAMBDA, F.col("level"))).alias("last"),
+        F.max(wrong(F.col("m"), F.lit(0.0)) <= false_secrets).alias("clean"),
+    )
+    second = F.when(~F.col("clean"), F.coalesce("second", "last"))  # nothing is to be called ordinary if all of them together hold the rate
+    return {r["class"]: r["level"] for r in found.select("class", F.least("first", second).alias("level")).filter("level is not null").collect()}
 
 
 def _overlaps(span: Column, others: Column) -> Column:
@@ -129,7 +157,9 @@ def _as_kind(spans: Column, kind: int) -> Column:
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, assign, access, hex, random: arrays of spans in code points (start, kind, end), one row for each input row.
 
-    Null and empty texts have no spans. Without any candidate token nothing is added to the base spans.
+    Null and empty texts have no spans. Without any candidate token nothing is added to the base spans. Repeated rows get
+    the same spans each, and their tokens count once; rows without doc_id are scanned like others; of other columns none
+    is read. Tokens of equal p share their fate, one at the cut-off is ordinary. Empty tables give no rows.
     """
     text = F.coalesce("text", F.lit(""))
     first = docs.select(
@@ -137,18 +167,19 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         _as_kind(F.filter(spans_of(text, ASSIGN, 2), lambda s: F.length(s["m"]) >= 12), 1).alias("assign"),
         _as_kind(spans_of(text, ACCESS), 2).alias("access"),
         _as_kind(spans_of(text, HEX), 3).alias("hex"),
-        F.transform(spans_of(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), randomness(s["m"]).alias("r"))).alias("tokens"),
+        F.transform(spans_of(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), randomness(s["m"]).alias("r"))).alias("tokens"),
     )
     first = cut(first)
-    at = cutoffs(first.select(F.explode("tokens.r").alias("r")).select("r.class", "r.p"), rate)
+    at = cutoffs(first.select(F.explode("tokens").alias("t")).select("t.r.class", "t.r.p", F.col("t.m").alias("token")), rate)
     limit = F.create_map(*[F.lit(x) for kv in at.items() for x in kv]) if at else None
     base = F.concat("assign", "access", "hex")
-    ordinary = (lambda t: F.coalesce(F.try_element_at(limit, t["r"]["class"]), F.lit(0.0))) if at else (lambda t: F.lit(0.0))
-    extra = F.filter("tokens", lambda t: (t["r"]["p"] > ordinary(t)) & ~_overlaps(t, base))
+    ordinary = (lambda t: F.coalesce(level(t["r"]["p"]) >= F.try_element_at(limit, t["r"]["class"]), F.lit(False))) if at else (lambda t: F.lit(False))
+    extra = F.filter("tokens", lambda t: ~ordinary(t) & ~_overlaps(t, base))
     return first.select("doc_id", "assign", "access", "hex", _as_kind(extra, 4).alias("random"))
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """The contract's columns, then how many spans the battery added and how many there are in all."""
     base = F.concat("assign", "access", "hex")
     return scan(docs).select(
         "doc_id",
@@ -156,4 +187,5 @@ def report(docs: DataFrame) -> DataFrame:
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.concat(base, "random")).alias("spans"),
         F.size("random").cast("long").alias("n_random"),
+        F.size(F.concat(base, "random")).cast("long").alias("n_spans"),
     )
