@@ -32,12 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def per_text(
-    docs: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()
 ) -> DataFrame:
     """Apply a function of (ids, texts) to each Arrow batch; null texts arrive as empty ones.
 
     ``make`` runs once a task (it loads what the function needs); the function returns the columns of ``schema``.
-    Batches are cut to a megabyte of text, so that very long texts don't add up.
+    Batches are cut to a megabyte of text, so that very long texts don't add up. Columns ``also`` are passed on as they
+    are, by a function that returns one row a text.
     """
     # Spark's own parser gives the Arrow types that it expects back
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,10 +58,29 @@ def per_text(
                     some.append(texts[at + len(some)].as_py() or "")
                     size += len(some[-1])
                 out = f(ids[at : at + len(some)], some)
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+                more = {c: batch.column(k).slice(at, len(some)) for k, c in enumerate(also, 2)}
+                yield pa.RecordBatch.from_arrays([more[x.name] if x.name in more else pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
                 at += len(some)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col), *also).mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in a column of a name that docs doesn't have; and that name.
+
+    docs must give the same rows in the same partitions whenever they are read, as a table does.
+    """
+    row = next(f"row_{i}" for i in range(len(docs.columns) + 1) if f"row_{i}" not in {c.lower() for c in docs.columns})
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
+
+
+#: Up to so many ids are sent to all tasks instead of moving the rows that they pick.
+FEW = 1_000_000
+
+
+def picked(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """df joined with ids, a checkpointed table with a column of that name: the rows of those ids, or the others."""
+    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, on, how)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, numbered, picked
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Most differing bits of 64. Alike inner words make 0; one in 45 that differs makes 5 on average, over 10 with probability 0.005.
@@ -230,8 +230,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null, empty and short texts stay; so does every row if there are no items. docs must give the same rows in the same
     partitions whenever they are read, as a table does. Extra columns stay, whatever their names.
     """
-    row = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    bad = cut(find(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct())
-    bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad
-    return numbered.join(bad, row, "left_anti").select([docs[c] for c in docs.columns])
+    rows, row = numbered(docs)
+    bad = cut(find(rows.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct())
+    return picked(rows, bad, row, "left_anti").select([docs[c] for c in docs.columns])

@@ -1,9 +1,11 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line's place in the tree is its number of tokens and its leading tokens; below that a leaf's templates are what stays
-when variable fields are left out: every token with a digit, and for longer lines any one of the quarters of the tokens
-after the leading ones. So a line has up to five templates, each a 64-bit key. Keys are counted over documents with
-partial sums; lines of recurring templates are dropped from all documents but the first that has the template.
+The tree's first level is a line's number of tokens, the next ones its leading tokens; tokens with a digit count as
+variable. The lines of a leaf have the same places. A token that is rare at its place among the lines of its leaf is a
+variable field, and a line's template is what stays when these are left out. How rare is tried in three steps (fewer
+than MIN_DOCS documents, an eighth, a half of those of the leaf), each of which widens the template; one of which too
+little stays is none. Templates are counted over documents; lines of recurring templates are dropped from all documents
+but the first that has the template.
 """
 
 from __future__ import annotations
@@ -17,81 +19,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import per_text
+from .common import FEW, cut, let, numbered, per_text
 
-LEADING, MIN_TOKENS, PARTS = 3, 5, 4
-#: Least tokens after the leading ones for a quarter of them to be a variable field.
-MIN_REST = 8
+LEADING = 2
 #: A template recurs if so many documents have it.
 MIN_DOCS = 3
+#: Steps of the shares of a leaf's documents below which a token is a variable field, beside MIN_DOCS itself.
+SHARES = (0.0, 0.125, 0.5)
+#: Share of a line's tokens that must stay in a template; all of them in lines of fewer than SHORT tokens.
+FIXED, SHORT = 0.7, 5
+_DIGIT = re.compile(rb"[0-9]")
 
 
-def templates(line: bytes) -> list[int]:
-    """The line's keys as signed 64-bit numbers; none for lines too short to be a template."""
-    import xxhash
-
-    h = xxhash.xxh64_intdigest
+def tokens_of(line: bytes) -> list[bytes]:
+    """The line's tokens, those with a digit as an empty one."""
     tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return []
-    if re.search(rb"[0-9]", line):
-        tokens = [b"<*>" if re.search(rb"[0-9]", t) else t for t in tokens]
-    leaf = b"%d " % n + b" ".join(tokens[:LEADING])
-    rest = tokens[LEADING:]
-    if len(rest) < MIN_REST:
-        keys = [h(leaf + b"\n" + b" ".join(rest))]
-    else:
-        edge = [len(rest) * k // PARTS for k in range(PARTS + 1)]
-        part = [b" ".join(rest[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
-        keys = [h(leaf + b"\n" + b"\n".join(part))]
-        keys += [h(leaf + b"\n%d\n" % k + b"\n".join(part[:k] + part[k + 1 :]), 1) for k in range(PARTS)]
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, line, key, fresh (the key's first place in its document)."""
+    return [b"" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, text) -> row, line, leaf, whole (hash of the leaf and all tokens), fresh (its first place in its document)."""
 
     def make():
+        import xxhash
+
+        h = xxhash.xxh64_intdigest
+
         def f(ids: list, texts: list) -> dict:
-            doc, line, key, fresh = [], [], [], []
+            row, line, leaf, whole, fresh = [], [], [], [], []
             for d, t in zip(ids, texts, strict=True):
                 seen: set[int] = set()
                 for i, x in enumerate(t.encode("utf-8", "surrogatepass").split(b"\n")):
-                    for k in templates(x):
-                        doc.append(d)
-                        line.append(i)
-                        key.append(k)
-                        fresh.append(k not in seen)
+                    tokens = tokens_of(x)
+                    if tokens:
+                        k = h(b"\n".join(tokens))
+                        row.append(d), line.append(i), whole.append(k), fresh.append(k not in seen)
+                        leaf.append(h(b"%d\n" % len(tokens) + b"\n".join(tokens[:LEADING])))
                         seen.add(k)
-            return {"doc_id": doc, "line": np.array(line, np.int32), "key": np.array(key, np.int64), "fresh": np.array(fresh, bool)}
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            return {"row": np.array(row, np.int64), "line": np.array(line, np.int32), "leaf": signed(leaf), "whole": signed(whole), "fresh": np.array(fresh, bool)}
 
         return f
 
-    return per_text(docs, make, "doc_id long, line int, key long, fresh boolean")
+    return per_text(rows, make, "row long, line int, leaf long, whole long, fresh boolean", "row")
+
 
+def _tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, lines: array of (line, leaf, whole, docs, all_docs)) -> leaf, whole, docs, all_docs, tokens (hashes; 0: with a digit)."""
+    schema = "leaf long, whole long, docs long, all_docs long, tokens array<long>"
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, dropped: numbers of the lines (from 0) that the document loses, for documents that lose any."""
-    often = (
-        _keyed(docs)
-        .groupBy("key")
-        .agg(F.sum(F.col("fresh").cast("long")).alias("n"), F.min("doc_id").alias("first_id"))
-        .filter(F.col("n") >= min_docs)
-        .select("key", "first_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest
+        for batch in batches:
+            for low in range(0, len(batch), 300):
+                part = batch.slice(low, 300)
+                out: list[list] = [[], [], [], [], []]
+                for t, lines in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                    split = (t.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
+                    for x in lines:
+                        tokens = [h(k) >> 1 if k else 0 for k in tokens_of(split[x["line"]])]
+                        for column, v in zip(out, (x["leaf"], x["whole"], x["docs"], x["all_docs"], tokens), strict=True):
+                            column.append(v)
+                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["leaf", "whole", "docs", "all_docs", "tokens"])
+
+    return rows.select("row", "text").join(wanted, "row").select("text", "lines").mapInArrow(run, schema)
+
+
+def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """leaf, whole, key: the templates of each distinct line of a leaf that min_docs documents have at least."""
+    distinct = cut(lines.filter("fresh").groupBy("leaf", "whole").agg(F.count("*").alias("docs"), F.min(F.struct("row", "line")).alias("at")))
+    leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs)
+    x = F.struct("at.line", "leaf", "whole", "docs", "all_docs")
+    wanted = distinct.join(leaves, "leaf").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(x).alias("lines"))
+    kept = cut(_tokens(rows, wanted))
+    placed = kept.select("leaf", "whole", "docs", "all_docs", F.posexplode("tokens").alias("place", "token"))
+    # (document, line) pairs that have the token at its place in the leaf
+    often = cut(placed.filter("token <> 0").groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs))
+    often = F.broadcast(often) if often.count() <= FEW else often
+    seen = placed.join(often, ["leaf", "place", "token"], "left").groupBy("leaf", "whole").agg(
+        F.max("all_docs").alias("all_docs"), F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("n", F.lit(0)).alias("n")))).alias("tokens")
     )
-    return _keyed(docs).join(often, "key").filter("doc_id <> first_id").groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
+
+    def key(k: int, share: float):
+        fixed = F.transform("tokens", lambda t: F.when(t["n"] >= F.greatest(F.lit(min_docs), share * F.col("all_docs")), t["token"]).otherwise(F.lit(0)))
+        enough = lambda x: F.size(F.filter(x, lambda t: t != 0)) >= F.when(F.size(x) < SHORT, 1.0).otherwise(FIXED) * F.size(x)
+        return let(fixed, lambda x: F.when(enough(x), F.xxhash64("leaf", x)))
+
+    keys = F.array_distinct(F.filter(F.array(*[key(k, s) for k, s in enumerate(SHARES)]), lambda k: k.isNotNull()))
+    return seen.select("leaf", "whole", F.explode(keys).alias("key"))
+
+
+def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(row, doc_id, text) -> row, dropped: numbers of the lines (from 0) that the row loses, for rows that lose any."""
+    lines = cut(_lines(rows))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    keyed = cut(lines.select("row", "line", "leaf", "whole").join(templates(rows, lines, min_docs), ["leaf", "whole"]).select("row", "line", "key"))
+    # documents of a key that recurs, and which of them is the first
+    pairs = keyed.select("key", "row").distinct()
+    recurring = pairs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("key")
+    ids = rows.select("row", "doc_id")
+    first = pairs.join(recurring, "key").join(ids, "row").groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.row").alias("first_row"))
+    return keyed.join(cut(first), "key").filter("row <> first_row").groupBy("row").agg(F.collect_set("line").alias("dropped"))
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with recurring lines taken out of text, and two more columns: its number of lines and how many were dropped.
 
-    Null and empty texts stay as they are and have no lines; lines under five tokens always stay. Rows with the same
-    doc_id are separate documents when counted and lose the same lines. A null doc_id never is a first and loses nothing.
+    Null and empty texts stay as they are and have no lines; lines without a token always stay. Each row is a document,
+    so of repeated rows the first keeps its lines; the first is the one of least doc_id, those without doc_id last. Extra
+    columns stay; names in ``added`` that docs has already are an error. An empty table stays empty. docs must give the
+    same rows in the same partitions whenever it is read.
     """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in added}:
+        raise ValueError(f"columns {sorted(clash)} exist; choose other names in added")
     at = docs.columns.index("text")
-    joined = docs.join(recurring_lines(docs, min_docs).withColumnRenamed("dropped", "_dropped_lines"), "doc_id", "left")
-    joined = joined.select(*[docs[c] for c in docs.columns], "_dropped_lines")
+    rows, row = numbered(docs)
+    dropped = recurring_lines(rows.select(F.col(row).alias("row"), "doc_id", "text"), min_docs).select(F.col("row").alias(row), F.col("dropped").alias(f"{row}_dropped"))
+    joined = rows.join(dropped, row, "left").select(*[rows[c] for c in docs.columns], dropped[f"{row}_dropped"])
     out = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +164,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def strip(docs: DataFrame) -> DataFrame:
-    """docs with the lines taken out; documents of which nothing is left, though there was something, go."""
-    out = dedup(docs, added=("_n_lines", "_n_dropped")).filter((F.col("_n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """docs with the lines taken out; documents of which nothing is left, though there was something, go.
+
+    Null, empty and blank texts stay. n_chars, if docs has it, follows the text. The other cases are those of ``dedup``.
+    """
+    names = {c.lower() for c in docs.columns}
+    n, less = (next(f"{x}_{i}" for i in range(len(names) + 1) if f"{x}_{i}" not in names) for x in ("lines", "dropped"))
+    out = dedup(docs, added=(n, less)).filter((F.col(less) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(less) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

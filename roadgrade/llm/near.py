@@ -1,10 +1,11 @@
-"""Near copies by exact Jaccard similarity of five-word shingles: the near-dedup stage of the pipeline.
-
-At similarity 0.8 fingerprints of 64 bits differ in about 10 bits and now and then in 17, too many for a trie to deal by
-blocks, so candidates come from a prefix filter, which loses none: with shingles in one fixed order, two sets of that
-similarity share one of the first fifth of their shingles. Shingles that are common in a sample come last in the order.
-A shared shingle's sets are first compared with one of them, the leader; only sets that this leaves in different
-components are then compared pair by pair, dealt by salts. Sets that are equal are one from the start.
+"""SimHash near-dedup of documents: Jaccard similarity of five-word shingles of 0.8 and more, verified exactly.
+
+Equal shingle sets are one from the start. Each set has a SimHash of its shingles; sets are candidates if a binary trie
+self-join finds their fingerprints within RADIUS bits. At similarity 0.8 fingerprints of 64 bits differ in about 10 bits
+and hardly ever in over 22 (7 of 10,000 pairs in the worst simulated case, sets of five shingles): too many for tries
+dealt by blocks of bits, so tries are dealt by a prefix filter, which loses none: with shingles in one fixed order, two
+sets of that similarity share one of the first fifth of their shingles. Shingles that are common in a sample come last in
+the order. Candidates are verified by a bound from their prefixes and then by their whole sets.
 """
 
 from __future__ import annotations
@@ -13,28 +14,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, per_text
+from .common import components, cut, numbered, per_text, picked
 from .shingle import Hasher, grams
+from .simhash import majority, near_pairs
 
 #: Least similarity, as a fraction in whole numbers.
 SHINGLE, OVER, UNDER = 5, 4, 5
+RADIUS = 22
 #: The order of shingles is taken from about so many documents; it changes the work only, not the result.
 SAMPLE, COMMON, MOST = 4000, 6, 200_000
-#: Sets of a shared shingle that one task compares with the others.
+#: Sets of a block of a shingle that many share.
 GROUP = 1000
-#: Up to so many ids are sent to all tasks instead of moving the rows that they pick.
-FEW = 1_000_000
-
 
-def _picked(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """df joined with ids, a checkpointed column of the same name: the rows of those ids, or the others."""
-    return df.join(F.broadcast(ids) if ids.count() <= FEW else ids, on, how)
 
+def _sets(docs: DataFrame, common: np.ndarray, whole: bool, also: tuple[str, ...] = ()) -> DataFrame:
+    """row, set_id (hash of the distinct shingles), n (how many), fp (their SimHash), part: all of them, or those of the prefix.
 
-def _sets(docs: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
-    """doc_id, set_id (hash of the distinct shingles), n (how many), part: all of them, or those of the prefix.
-
-    A text of fewer than five words is one shingle; one without a word has none.
+    A text of fewer than five words is one shingle; one without a word has none. fp is left out with whole.
     """
 
     def make():
@@ -51,49 +47,53 @@ def _sets(docs: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
 
         def f(ids: list, texts: list) -> dict:
             words, edge, _ = hash_words(texts)
-            h5 = ordered(grams(words, SHINGLE))
-            key, n, part = [], [], []
+            plain = grams(words, SHINGLE)
+            h5 = ordered(plain)
+            key, n, fp, part = [], [], [], []
             for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                h = np.unique(h5[a : b - SHINGLE + 1] if b - a >= SHINGLE else ordered(grams(words[a:b], b - a)) if b > a else words[:0])
+                raw = plain[a : b - SHINGLE + 1] if b - a >= SHINGLE else grams(words[a:b], b - a) if b > a else words[:0]
+                h, first = np.unique(h5[a : b - SHINGLE + 1] if b - a >= SHINGLE else ordered(raw), return_index=True)
                 key.append(xxhash.xxh64_intdigest(h.tobytes()))
                 n.append(len(h))
+                if not whole:
+                    fp.append(majority(raw[first]))
                 part.append((h if whole else h[: len(h) + OVER * len(h) // -UNDER + 1 if len(h) else 0]).view(np.int64))
-            return {"doc_id": ids, "set_id": np.array(key, np.uint64).view(np.int64), "n": np.array(n, np.int32), "part": part}
+            out = {"row": ids, "set_id": np.array(key, np.uint64).view(np.int64), "n": np.array(n, np.int32), "part": part}
+            return out if whole else out | {"fp": np.array(fp, np.uint64).view(np.int64)}
 
         return f
 
-    return per_text(docs, make, "doc_id long, set_id long, n int, part array<long>")
+    more = "".join(f", {docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in also)
+    return per_text(docs, make, f"row long, set_id long, n int, part array<long>{'' if whole else ', fp long'}{more}", "row", "text", also)
 
 
 def _common(docs: DataFrame) -> np.ndarray:
     """Shingles that stand in COMMON documents or more of the sample, the MOST commonest, sorted."""
     share = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    some = docs.filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0)
     found = _sets(some, np.zeros(0, np.uint64), True).select(F.explode("part").alias("key")).groupBy("key").count()
     rows = found.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST).select("key").collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
 
-def _alike(n1: str, n2: str):
+def _alike(n1, n2):
     """Sizes that allow the similarity."""
     return UNDER * F.least(n1, n2) >= OVER * F.greatest(n1, n2)
 
 
-def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, component_id: the least doc_id reachable over pairs of documents of similarity 0.8 and more.
-
-    Texts without a word count as equal. Rows without doc_id are left out; a repeated doc_id keeps its rows.
-    """
-    docs = docs.filter("doc_id is not null").select("doc_id", "text")
+def _groups(docs: DataFrame, group: int) -> DataFrame:
+    """(row, doc_id, text) -> row, doc_id, first: (no_id, doc_id, row) of the least document reachable over pairs of
+    similarity 0.8 and more; those without doc_id come last, equal ones in the order of rows."""
     common = _common(docs)
-    all_ = cut(_sets(docs, common, False))
-    sets = cut(all_.groupBy("set_id").agg(F.min(F.struct("doc_id", "n", "part")).alias("x")).select("set_id", F.col("x.doc_id").alias("first_id"), "x.n", "x.part"))
+    all_ = cut(_sets(docs, common, False, ("doc_id",)))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    sets = cut(all_.groupBy("set_id").agg(order.alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("part").alias("part")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those (a, b) that are similar: by a bound from their prefixes, then by their whole sets."""
         pairs = cut(pairs.distinct())
         each = lambda p: cut(p.select(F.col("a").alias("set_id")).union(p.select("b")).distinct())
-        some = _picked(sets.select("set_id", "n", "part"), each(pairs), "set_id", "left_semi")
+        some = picked(sets.select("set_id", "n", "part"), each(pairs), "set_id", "left_semi")
         both = pairs.join(some.toDF("a", "na", "pa"), "a").join(some.toDF("b", "nb", "pb"), "b")
         # up to the end of the prefix that ends first, prefixes have all that the sets share; beyond it, the set's rest is a bound
         last = lambda p: F.element_at(p, -1).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
@@ -101,38 +101,42 @@ def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
         pairs = cut(both.filter((OVER + UNDER) * most >= OVER * (F.col("na") + F.col("nb"))).select("a", "b"))
 
         def whole(ids: DataFrame) -> DataFrame:
-            wanted = cut(sets.select("set_id", F.col("first_id").alias("doc_id")).join(ids, "set_id"))
-            found = _sets(_picked(docs, cut(wanted.select("doc_id").distinct()), "doc_id", "left_semi"), common, True)
-            return _picked(found.select("set_id", "part"), cut(wanted.select("set_id")), "set_id", "left_semi")
+            wanted = cut(sets.select("set_id", F.col("first.row").alias("row")).join(ids, "set_id"))
+            found = _sets(picked(docs, cut(wanted.select("row").distinct()), "row", "left_semi"), common, True)
+            return picked(found.select("set_id", "part"), cut(wanted.select("set_id")), "set_id", "left_semi")
 
         # a's sets meet their b in the task that makes them and move once, to b's
-        one = _picked(whole(pairs.select(F.col("a").alias("set_id")).distinct()), pairs.toDF("set_id", "b"), "set_id", "inner")
+        one = picked(whole(pairs.select(F.col("a").alias("set_id")).distinct()), pairs.toDF("set_id", "b"), "set_id", "inner")
         both = one.toDF("a", "pa", "b").join(whole(pairs.select(F.col("b").alias("set_id")).distinct()).toDF("b", "pb"), "b")
         same = F.size(F.array_intersect("pa", "pb"))
         return cut(both.filter(UNDER * same >= OVER * (F.size("pa") + F.size("pb") - same)).select("a", "b"))
 
-    keyed = sets.select("set_id", "n", F.explode("part").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min("set_id").alias("leader")).filter("many > 1")
-    members = cut(keyed.join(shared.select("key", "leader"), "key").filter("set_id <> leader"))
-    led = verified(members.select(F.col("set_id").alias("a"), F.col("leader").alias("b")))
+    keyed = sets.select(F.explode("part").alias("key"), F.col("set_id").alias("id"), "n", "fp")
+    found = components(near_pairs(keyed, verified, RADIUS, group, _alike))
+    labelled = sets.join(found, sets.set_id == found.node, "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    of_set = labelled.select("set_id", "component").join(least, "component").select("set_id", "first")
+    return all_.select("row", "doc_id", "set_id").join(of_set, "set_id").select("row", "doc_id", "first")
 
-    # without the leaders: what is not yet in one component
-    label = components(led)
-    rest = members.join(label, members.set_id == label.node, "left").select("key", "set_id", "n", F.coalesce("component", "set_id").alias("label"))
-    rest = cut(rest)
-    open_ = rest.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_ = cut(rest.join(open_.select("key", F.ceil(F.col("many") / group).cast("int").alias("salts")), "key"))
-    left = open_.select("key", F.pmod(F.xxhash64("set_id"), "salts").cast("int").alias("salt"), F.col("set_id").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    right = open_.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    pairs = left.join(right, ["key", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")) & _alike("n1", "n2"))
-    found = components(led.union(verified(pairs.select("a", "b"))))
 
-    labelled = sets.join(found, sets.set_id == found.node, "left").select("set_id", "first_id", F.coalesce("component", "set_id").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return all_.select("doc_id", "set_id").join(labelled.join(least, "component").select("set_id", "component_id"), "set_id").select("doc_id", "component_id")
+def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, component_id: the least doc_id reachable over pairs of documents of similarity 0.8 and more.
+
+    Texts without a word, null ones too, count as equal. Rows without doc_id are left out; a repeated doc_id keeps its
+    rows; empty tables give no rows; other columns are ignored.
+    """
+    rows = docs.filter("doc_id is not null").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return _groups(rows, group).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the least of their group."""
-    gone = cut(near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct())
-    return _picked(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each group of near copies: that of the least doc_id.
+
+    Each row is a document, so of repeated rows one stays. Rows without doc_id come after all others and stay where their
+    group has no doc_id. Null, empty and blank texts are equal: one of them stays. Extra columns stay, whatever their
+    names; an empty table stays empty. docs must give the same rows in the same partitions whenever it is read.
+    """
+    rows, row = numbered(docs)
+    found = _groups(rows.select("doc_id", "text", F.col(row).alias("row")), GROUP)
+    gone = cut(found.filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(row)))
+    return picked(rows, gone, row, "left_anti").select([docs[c] for c in docs.columns])

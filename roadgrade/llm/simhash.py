@@ -36,11 +36,7 @@ def fingerprint_text(text: str, words: int = 3) -> int:
     size = np.fromiter(map(len, w), np.int64, len(w))
     end = np.cumsum(size + 1) - 1
     a, b = (end - size)[: 1 - words].tolist(), end[words - 1 :].tolist()
-    counts, n = np.zeros(64, np.int64), len(a)
-    for k in range(0, n, 1 << 15):
-        hs = np.array([h(buf[i:j], 42) for i, j in zip(a[k : k + (1 << 15)], b[k : k + (1 << 15)], strict=False)], dtype="<u8")
-        counts += np.unpackbits(hs.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return majority(np.array([h(buf[i:j], 42) for i, j in zip(a, b, strict=True)], np.uint64))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -122,6 +118,111 @@ def trie_links(group: np.ndarray, fp: np.ndarray, radius: int, room: int = 1 <<
     return parent[child], child
 
 
+def trie_pairs(group: np.ndarray, fp: np.ndarray, label: np.ndarray, radius: int, room: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (indices a < b) of rows of the same group and of different labels whose fingerprints are within the radius.
+
+    Rows must be sorted by (group, fp), fp unsigned; equal fingerprints are allowed. Nodes are ranges of rows. A pair of
+    nodes whose rows all have one label is left as soon as that shows, so what is linked already costs next to nothing.
+    At most ``room`` pairs of nodes or rows are held at once.
+    """
+    n = len(fp)
+    if not n:
+        return
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    stop = np.append(edge[1:], n)
+    turns = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])  # equal at two rows: one label between them
+    stack = [(0, edge, stop, edge, stop, np.zeros(len(edge), np.int8))]
+    while stack:
+        depth, al, ah, bl, bh, diff = stack.pop()
+        one = (label[al] == label[bl]) & (turns[al] == turns[ah - 1]) & (turns[bl] == turns[bh - 1])
+        al, ah, bl, bh, diff = (x[~one] for x in (al, ah, bl, bh, diff))
+        many = (ah - al) * (bh - bl)
+        if depth == 64 and len(many) and many.max() > room:  # very many equal fingerprints: half of the longer side at a time
+            big = many > room
+            for l1, h1, l2, h2, d in zip(*(x[big] for x in (al, ah, bl, bh, diff)), strict=True):
+                first = h1 - l1 >= h2 - l2
+                mid = (l1 + h1) // 2 if first else (l2 + h2) // 2
+                halves = [(l1, mid, l2, h2), (mid, h1, l2, h2)] if first else [(l1, h1, l2, mid), (l1, h1, mid, h2)]
+                stack += [(64, *(np.array([v]) for v in half), np.array([d])) for half in halves]
+            al, ah, bl, bh, diff, many = (x[~big] for x in (al, ah, bl, bh, diff, many))
+        small = (many <= 64) | (depth == 64)
+        at = np.flatnonzero(small)
+        batch = np.cumsum(many[at]) // room if len(at) else at
+        for k in np.unique(batch):
+            some = at[batch == k]
+            sl, tl, m, count = al[some], bl[some], (bh - bl)[some], many[some]
+            which = np.repeat(np.arange(len(count)), count)
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            i, j = sl[which] + k // m[which], tl[which] + k % m[which]
+            near = (i < j) & (label[i] != label[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius)
+            yield i[near], j[near]
+        al, ah, bl, bh, diff = (x[~small] for x in (al, ah, bl, bh, diff))
+        if not len(al):
+            continue
+        ones = np.concatenate([[0], np.cumsum((fp >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
+        am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])  # where the ones begin
+        same = (al == bl) & (ah == bh)
+        nxt = [(al, am, bl, bm, diff), (am, ah, bm, bh, diff), (al, am, bm, bh, diff + 1)]
+        nxt.append(tuple(x[~same] for x in (am, ah, bl, bm, diff + 1)))
+        al, ah, bl, bh, diff = (np.concatenate(x) for x in zip(*nxt, strict=True))
+        live = (al < ah) & (bl < bh) & (diff <= radius)
+        al, ah, bl, bh, diff = (x[live] for x in (al, ah, bl, bh, diff))
+        for k in range(0, len(al), room):
+            stack.append((depth + 1, *(x[k : k + room] for x in (al, ah, bl, bh, diff))))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def near_pairs(keyed: DataFrame, verified, radius: int, group: int = 1000, alike=None) -> DataFrame:
+    """(key, id, n, fp), distinct -> (a, b): verified links that connect all ids that verified pairs of one key connect.
+
+    ``verified`` takes (a, b), pairs of ids, and returns those that are similar; ids whose fingerprints differ in more
+    than ``radius`` bits are taken not to be, nor those whose sizes n ``alike(n1, n2)`` tells apart. Each key's ids are
+    first compared with one of them, so that a large group of copies becomes one component by few links. Where a key's
+    ids are left in several components, they are dealt to blocks of some ``group`` ids; a task joins two blocks' trie,
+    so no group of unbounded size meets in one place and no pair of such a key is left out.
+    """
+    alike = alike or (lambda n1, n2: F.lit(True))
+    one = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
+    shared = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("id", "n", "fp")).alias("leader")).filter("many > 1").select("key", "leader.*")
+    members = cut(keyed.join(shared.toDF("key", "leader", "n0", "fp0"), "key").filter("id <> leader"))
+    led = verified(members.filter(one("fp", "fp0") & alike("n", "n0")).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    rows = members.select("key", "id", "n", "fp").union(members.select("key", F.col("leader").alias("id"), F.col("n0").alias("n"), F.col("fp0").alias("fp")).distinct())
+
+    label = components(led)
+    rest = cut(rows.join(label, rows.id == label.node, "left").select("key", "id", "n", "fp", F.coalesce("component", "id").alias("label")))
+    open_ = rest.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    open_ = rest.join(open_.select("key", F.ceil(F.col("many") / group).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = open_.select("key", "block", "id", "n", "fp", "label", other)
+    dealt = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("fp", "id", "label", "block")).alias("rows"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            fp, id_, label, block = (np.asarray(flat.field(k)) for k in range(4))
+            fp = fp.view(np.uint64)
+            size = np.diff(np.asarray(lists.offsets))
+            group = np.repeat(np.arange(len(size)), size)
+            cross = np.repeat(np.asarray(batch.column(1)), size)  # is the task's pair of blocks of two different ones?
+            order = np.lexsort((fp, group))
+            group, fp, id_, label, block, cross = (x[order] for x in (group, fp, id_, label, block, cross))
+            for a, b in trie_pairs(group, fp, label, radius):
+                keep = ~cross[a] | (block[a] != block[b])
+                a, b = id_[a[keep]], id_[b[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    pairs = dealt.select("rows", (F.col("x") != F.col("y")).alias("cross")).mapInArrow(join, "a long, b long")
+    return led.union(verified(pairs))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, leaves: int = TRIE_LEAVES) -> DataFrame:
     """(fp) without repeats -> (a, b): links that join every fingerprint with all that it reaches within the radius."""
     blocks = radius + 1
@@ -187,6 +288,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the least of their group."""
+    """The documents whose doc_id is the least of their group. Rows of one doc_id stay or go together; those without stay."""
     gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

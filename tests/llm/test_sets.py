@@ -14,6 +14,8 @@ import corpus_pipeline
 from roadgrade.llm import decontaminate, lines, paragraphs, queries, simhash, suffixes
 from roadgrade.llm.common import components
 
+from test_near import slow_kept
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -113,34 +115,51 @@ def test_odd_documents_and_empty_tables(spark, make, odd):
     assert lines.strip(odd).columns == odd.columns
 
 
-def test_templates_of_lines():
-    a = lines.templates(b"2024-01-02 user bob logged in from host alpha with key seven today again")
-    b = lines.templates(b"2023-11-30 user bob logged in from host omega with key seven today again")
-    c = lines.templates(b"2023-11-30 user bob logged in from host omega with key seven today")
-    assert len(a) == 5 and set(a) & set(b) and not set(b) & set(c) and lines.templates(b"too short line 1") == []
+def test_variable_fields_and_short_lines(make):
+    # both words vary from the third token on: the first two are levels of the tree
+    rows = [(i, f"login of user u{'abcdefghij'[i % 10]}x from host h{'klmnopqrst'[i // 5]}y\nAll rights reserved.\nonly here {'z' * (i + 1)}") for i in range(50)]
+    got = {r["doc_id"]: r["text"] for r in lines.report(make(rows)).collect()}
+    assert got == dict([rows[0], *[(i, t.split("\n")[2]) for i, t in rows[1:]]])
 
 
-def slow_lines(rows, least):
-    docs, first = defaultdict(int), {}
-    for i, t in rows:
-        for k in {k for x in (t or "").encode().split(b"\n") for k in lines.templates(x)}:
-            docs[k] += 1
-            first[k] = min(first.get(k, i), i)
-    out = {}
+def slow_lines(rows, least=3):
+    """From the definition: leaves, places, three steps of what counts as variable, documents of each template."""
+    leaves = defaultdict(lambda: defaultdict(set))
+    of_line = lambda x: tuple("" if re.search("[0-9]", w) else w for w in WORD.findall(x))
     for i, t in rows:
-        keep = [x for x in (t or "").split("\n") if not any(docs[k] >= least and first[k] != i for k in lines.templates(x.encode()))]
-        out[i] = "\n".join(keep)
-    return out
+        for x in (t or "").split("\n"):
+            if m := of_line(x):
+                leaves[len(m), m[:2]][m].add(i)
+    made = defaultdict(set)
+    for masks in leaves.values():
+        n, total = Counter(), sum(map(len, masks.values()))
+        for m, ids in masks.items():
+            for place in enumerate(m):
+                n[place] += len(ids)
+        for m in masks if total >= least else ():
+            for share in (0, 1 / 8, 1 / 2):
+                t = tuple(w if w and n[k, w] >= max(least, share * total) else None for k, w in enumerate(m))
+                if sum(w is not None for w in t) >= (0.7 if len(m) >= 5 else 1) * len(m):
+                    made[m].add((m[:2], t))
+    docs = defaultdict(set)
+    for masks in leaves.values():
+        for m, ids in masks.items():
+            for t in made[m]:
+                docs[t] |= ids
+    gone = lambda i, m: any(len(docs[t]) >= least and min(docs[t]) != i for t in made[m])
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if not gone(i, of_line(x))) for i, t in rows}
 
 
 def test_lines_equal_brute_force(make, documents):
     rng = random.Random(4)
-    common = [" ".join(prose(rng, 14)) for _ in range(6)] + [f"page {{n}} of {' '.join(prose(rng, 5))}" for _ in range(3)]
-    rows = [(i, "\n".join(rng.choice(common).replace("{n}", str(i)) if rng.random() < 0.4 else " ".join(prose(rng, rng.randrange(1, 30), 9000)) for _ in range(8))) for i in range(80)]
+    words = lambda n, v=400: ["".join("abcdefghijklmnopqrstuvwxyz"[int(c)] for c in w[1:-1]) + "q" for w in prose(rng, n, v)]
+    common = [" ".join(words(14)) for _ in range(6)] + [f"page {{n}} of {' '.join(words(5))}" for _ in range(3)] + [f"{' '.join(words(3))} {{w}} and {{w}} {' '.join(words(4))}" for _ in range(3)]
+    fill = lambda x: re.sub("{w}", lambda _: words(1, 12)[0], x)
+    rows = [(i, "\n".join(fill(rng.choice(common)).replace("{n}", str(i)) if rng.random() < 0.4 else " ".join(words(rng.randrange(1, 30), 9000)) for _ in range(8))) for i in range(80)]
     for docs in (make(rows), documents.select("doc_id", "text")):
         data = [(r["doc_id"], r["text"]) for r in docs.collect()]
         got = {r["doc_id"]: r["text"] for r in lines.report(docs).collect()}
-        assert got == slow_lines(data, lines.MIN_DOCS)
+        assert got == slow_lines(data)
 
 
 def slow_leaks(docs, items, least=0.8):
@@ -287,12 +306,10 @@ def test_pipeline(spark, sf):
     quality = seen[1].join(labels, "doc_id")
     assert quality.filter("quality = 0").count() <= 0.1 * labels.filter("quality = 0").count()
     data = [(r["doc_id"], r["text"]) for r in seen[1].collect()]
-    stripped = {i: t for i, t in slow_lines(data, lines.MIN_DOCS).items() if WORD.search(t)}
+    stripped = {i: t for i, t in slow_lines(data).items() if WORD.search(t)}
     assert {r["doc_id"]: r["text"] for r in seen[2].collect()} == stripped
     assert seen[2].filter(F.length("text") != F.col("n_chars")).count() == 0
-    ids = sorted(stripped)
-    low = slow_groups(ids, [slow_fingerprint(stripped[i]) for i in ids])
-    assert {r["doc_id"] for r in seen[3].collect()} == set(low)
+    assert {r["doc_id"] for r in seen[3].collect()} == slow_kept(sorted(stripped.items()))
     items = {r["item_id"]: WORD.findall(r["text"].lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     left = {r["doc_id"]: r["text"] for r in seen[3].collect()}
     holds = {d for d, t in left.items() for w in items.values() if " ".join(w) in " ".join(WORD.findall(t.lower()))}
