@@ -2,10 +2,11 @@
 
 Kept are the suffixes that begin at content-selected positions: the minimisers of 25-word hashes in windows of 26, of
 which every run of 50 words holds one that its copies hold too. Suffixes whose 25 words occur nowhere else can match
-nothing and go. The others are sorted with what follows and precedes them; runs of neighbours are compared and matches
-are extended to the left and the right. Where the neighbours of one seed fall to several tasks or runs, the
-windows around it that differ within each are compared between them by their hashes. What is found are all passages of 50 words and more that two
-documents share.
+nothing and go. The others are sorted with what follows them; the common prefixes of neighbours say which suffixes agree
+in how many words to the right. Sorted once more by what precedes them, read backwards, neighbours say the same for the
+words to the left; so each match is extended both ways until it has 50 words or fails. Where the suffixes of one seed
+are dealt to several tasks or runs, each run sends the windows around it that it has not matched, and those are compared
+between runs by hash. What is found are all passages of 50 words and more that two documents share.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text
+from .common import FEW, cut, per_text
 from .shingle import Hasher, grams, minimisers, mix
 
 LENGTH, SEED = 50, 25
 #: Most rows in a row that a task compares at once; what is left of a seed with more rows is compared by windows' hashes.
 RUN = 20_000
+#: A seed of so many suffixes is joined by sending it to all tasks, not by moving its suffixes to one. Beyond FEW such
+#: seeds, of the most frequent ones.
+HOT = 2000
 _SUFFIX = "seed long, right binary, left binary, doc_id long, at int"
 _FOUND = "doc_id long, start int, end int, window long, low long, high long"
 
@@ -85,26 +89,31 @@ def with_context(docs: DataFrame, wanted: DataFrame, length: int = LENGTH, seed:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "seeds").mapInArrow(run, _SUFFIX)
 
 
-def _around(seed: np.ndarray, right: list[bytes], left: list[bytes], side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each number of words to the left, 0 to side: the rows that have such a window of side words around their seed,
-    and the windows' hashes."""
-    n = len(seed)
-    size = lambda xs: np.fromiter(map(len, xs), np.int64, n) // 4
+def _packed(xs: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of at most ``side`` 4-byte words, and how many words each has."""
+    n = len(xs)
+    size = np.fromiter(map(len, xs), np.int64, n) // 4
+    flat = np.zeros((n, side), np.uint32)
+    flat[np.arange(side) < size[:, None]] = np.frombuffer(b"".join(xs), ">u4")
+    return flat, size
 
-    def running(xs: list[bytes]) -> np.ndarray:
-        """Hash of the first 0, 1, .. side words."""
-        flat = np.zeros((n, side), np.uint64)
-        for i, x in enumerate(xs):
-            flat[i, : len(x) // 4] = np.frombuffer(x, ">u4")
-        out = np.zeros((side + 1, n), np.uint64)
-        for j in range(side):
-            out[j + 1] = mix(out[j] * np.uint64(0x100000001B3) + flat[:, j] + np.uint64(1))
-        return out
 
-    r, l, nr, nl = running(right), running(left), size(right), size(left)
-    for o in range(side + 1):
-        ok = np.flatnonzero((nl >= o) & (nr >= side - o))
-        yield ok, mix(seed[ok] ^ mix(l[o][ok] + np.uint64(7)) + r[side - o][ok])
+def _agree(group: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """[k][row]: number of the class of rows of one group that have the same first k words; -1 for rows with fewer.
+
+    Rows are sorted; neighbours' common prefixes tell where classes end: at length k between two that share fewer words.
+    """
+    n, side = flat.shape
+    order = np.lexsort((*flat.T[::-1], group))
+    g, x = group[order], flat[order]
+    differs = x[1:] != x[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), side)
+    common = np.where(g[1:] == g[:-1], common, -1)
+    out = np.empty((side + 1, n), np.int64)
+    for k in range(side + 1):
+        out[k, order] = np.concatenate([[0], np.cumsum(common < k)])
+        out[k, size < k] = -1
+    return out
 
 
 def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.ndarray, length: int, k: int, is_open: np.ndarray) -> tuple[tuple, tuple]:
@@ -115,11 +124,18 @@ def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.nda
     document) of their distinct windows; the row is -1 where the window has its match here.
     """
     side, n = length - k, len(seed)
+    (after, nr), (before, nl) = _packed(right, side), _packed(left, side)
+    to_right, to_left = _agree(seed, after, nr), _agree(seed, before, nl)
+    some = np.flatnonzero(is_open)
+    hash_of = _window_hashes(seed[some], after[some], before[some], side) if len(some) else None
+    at = np.cumsum(is_open) - 1  # a row's place among the open ones
     hit = np.zeros((side + 1, n), bool)
     left_open = []
-    for o, (ok, key) in enumerate(_around(seed, right, left, side)):
+    for o in range(side + 1):  # o words to the left, side - o to the right of the seed's
+        ok = np.flatnonzero((to_left[o] >= 0) & (to_right[side - o] >= 0))
         if not len(ok):
             continue
+        key = to_left[o][ok] * n + to_right[side - o][ok]
         order = np.lexsort((doc[ok], key))
         key, who, row = key[order], doc[ok][order], ok[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -129,12 +145,14 @@ def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.nda
         hit[o, row] = each
         done = np.flatnonzero(several & is_open[row[first]])
         alone = np.flatnonzero(~each & is_open[row])
-        left_open.append(
-            (
-                np.append(np.full(len(done), -1), row[alone]), np.full(len(done) + len(alone), o), mix(np.append(key[first[done]], key[alone]) + np.uint64(o)),
-                np.append(who[first[done]], who[alone]), np.append(who[last[done]], who[alone]),
-            )
-        )
+        if len(done) or len(alone):
+            shown = hash_of(o)
+            left_open.append(
+                (
+                    np.append(np.full(len(done), -1), row[alone]), np.full(len(done) + len(alone), o), np.append(shown[at[row[first[done]]]], shown[at[row[alone]]]),
+                    np.append(who[first[done]], who[alone]), np.append(who[last[done]], who[alone]),
+                )
+            )
     pad = np.zeros((1, n), np.int8)
     step = np.diff(np.concatenate([pad, hit.astype(np.int8), pad]), axis=0)
     low_row, low = np.nonzero(step.T == 1)
@@ -143,6 +161,20 @@ def matches(seed: np.ndarray, right: list[bytes], left: list[bytes], doc: np.nda
     return (low_row, low, high - 1), still
 
 
+def _window_hashes(seed: np.ndarray, after: np.ndarray, before: np.ndarray, side: int):
+    """Function from the words to the left to the hashes of all rows' windows; runs must agree on them."""
+
+    def running(x: np.ndarray) -> np.ndarray:
+        """Hash of the first 0, 1, .. side words."""
+        out = np.zeros((side + 1, len(x)), np.uint64)
+        for j in range(side):
+            out[j + 1] = mix(out[j] * np.uint64(0x100000001B3) + x[:, j] + np.uint64(1))
+        return out
+
+    r, l = running(after), running(before)
+    return lambda o: mix(mix(seed ^ mix(l[o] + np.uint64(7)) + r[side - o]) + np.uint64(o))
+
+
 def compare(suffixes: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows: int = RUN) -> DataFrame:
     """doc_id, start, end (words) of the matches; and for the windows of seeds whose rows may be dealt to several runs
     window (hash), low and high (documents), with doc_id, start and end of those that have no match in their run."""
@@ -189,9 +221,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, run_rows:
     empty and short texts share nothing; rows without doc_id are left out; rows with one doc_id are one document.
     """
     docs = docs.filter("doc_id is not null")
-    kept = selected(docs, length, seed)
-    often = kept.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("seed")
-    wanted = kept.join(often, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    kept = cut(selected(docs, length, seed).select("doc_id", "seed"))
+    often = cut(kept.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("seed", "n"))
+    hot = F.broadcast(cut(often.filter(F.col("n") >= HOT).orderBy(F.desc("n"), "seed").limit(FEW).select("seed")))
+    rare = kept.join(hot, "seed", "left_anti").join(often.join(hot, "seed", "left_anti").select("seed"), "seed")
+    wanted = rare.union(kept.join(hot, "seed").select(rare.columns)).groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     suffixes = cut(with_context(docs, wanted, length, seed))
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["seed", "right", "left", "doc_id", "at"]
