@@ -1,11 +1,12 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are of two kinds: lines of twenty words and more, and, since passages may stand inside longer lines, 20-word
-stretches that begin at content-selected words (any run of 50 words holds a whole one that its copies hold too).
+Paragraphs are of two kinds: lines of five words and more, and, since passages may stand inside longer lines, 16-word
+stretches that begin at content-selected words (any run of 36 words holds a whole one that its copies hold too).
 Equal paragraphs collapse by their hash. Lines also get MinHash bands of their five-word shingles; distinct lines that
-collide in a band are compared by exact Jaccard similarity in numpy inside the task, and only a spanning forest of the
-similar ones leaves it. A band value that very many distinct lines share is dealt again by bands of further MinHashes.
-Components of similar lines are the classes; the first paragraph of a class stays, the others are removals.
+collide in a band are candidates, and a SimHash of their shingles says early which of them can't be similar. The others
+are verified by exact Jaccard similarity. A band value that very many distinct lines share is worked off in blocks, so
+none of its pairs is lost. Components of similar lines are the classes; the first paragraph of a class stays, the others
+are removals.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, per_text
+from .common import components, cut, per_text, picked
 from .shingle import Hasher, grams, minimisers, mix
+from .simhash import majority, near_pairs
 
 SHINGLE, SIMILARITY = 5, 0.8
-MIN_WORDS, STRETCH, PASSAGE = 20, 20, 50
-#: Two hashes a band and four bands: a pair of similarity 0.8 collides with probability 0.983. Then three a band and
-#: six bands for values shared by more than BUCKET distinct lines.
-BANDS, ROWS = 4, 2
-FINE_BANDS, FINE_ROWS, BUCKET = 6, 3, 1000
-_SEEDS = mix(np.arange(1, 1 + BANDS * ROWS + FINE_BANDS * FINE_ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+MIN_WORDS, STRETCH, PASSAGE = 5, 16, 36
+#: Bands of one hash each: a pair of similarity 0.8 collides with probability 0.992. Lines of so few shingles that only
+#: equal sets are similar need one band.
+BANDS, FEW_SHINGLES = 3, 3
+#: Most bits in which the SimHashes of similar lines differ (in simulations 7 of 10,000 differ in more at worst).
+RADIUS = 22
+#: A shared paragraph of so many words counts as a long one.
+LONG = 16
+#: Lines of a block of a band value that many share.
+GROUP = 1000
+_SEEDS = mix(np.arange(1, 1 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _lines(words: list[list[bytes]], texts: list[str]) -> list[np.ndarray]:
@@ -37,6 +44,20 @@ def _lines(words: list[list[bytes]], texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _ranges(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the words low to high of each range, never equal to those of stretches."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * _powers(len(words)))])
+    return mix((total[high] - total[low]) * _powers(-len(words) - 1)[low] + (high - low).astype(np.uint64))
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers 0, 1, .. of an odd number modulo 2 ** 64; of its inverse for negative n."""
+    base = 0xD6E8FEB86659FD93
+    out = np.full(abs(n), base if n > 0 else pow(base, -1, 1 << 64), np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
 def _shingles(h: np.ndarray, a: int, b: int, words: np.ndarray) -> np.ndarray:
     """Distinct five-word shingles of the words a to b; of fewer words the whole."""
     return np.unique(h[a : b - SHINGLE + 1]) if b - a >= SHINGLE else grams(words[a:b], b - a)
@@ -50,39 +71,37 @@ def paragraphs(docs: DataFrame, lower: bool = True) -> DataFrame:
 
         def f(ids: list, texts: list) -> dict:
             words, edge, split = hash_words(texts, lower)
-            h5, h20 = grams(words, SHINGLE), grams(words, STRETCH)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words))])
-            doc, at, n, line, key, lows, highs = [], [], [], [], [], [], []
+            h5, h16 = grams(words, SHINGLE), grams(words, STRETCH)
+            doc, at, n, key, lows, highs = [], [], [], [], [], []
+            which, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, bounds in enumerate(_lines(split, texts)):
                 base, end = int(edge[i]), int(edge[i + 1])
                 for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
                     if b - a >= MIN_WORDS:
-                        doc.append(i), at.append(a), n.append(b - a), line.append(True)
-                        key.append(grams(words[base + a : base + b], b - a)[0])
-                        lows.append(base + a), highs.append(base + b - SHINGLE + 1)
+                        doc.append(i), at.append(a), n.append(b - a)
+                        lows.append(base + a), highs.append(base + b)
                 if end - base >= STRETCH:
-                    m = minimisers(h20[base : end - STRETCH + 1], PASSAGE - STRETCH + 1)
-                    doc += [i] * len(m)
-                    at += m.tolist()
-                    n += [STRETCH] * len(m)
-                    line += [False] * len(m)
-                    key += h20[base + m].tolist()
-            is_line = np.array(line, bool)
-            key = np.array(key, np.uint64)
-            key = np.where(is_line, mix(key + np.uint64(1)), key)  # a line and a stretch are never one class
-            bands = [None] * len(doc)
+                    m = minimisers(h16[base : end - STRETCH + 1], PASSAGE - STRETCH + 1)
+                    which.append(np.full(len(m), i))
+                    place.append(m)
+            which, place = np.concatenate(which), np.concatenate(place)
+            low, high = np.array(lows, np.int64), np.array(highs, np.int64)
+            bands: list = []
             if lows:
-                low, high = np.array(lows), np.array(highs)
-                pick = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
-                start = np.cumsum(high - low) - (high - low)
-                chosen = h5[pick]
-                mins = [np.minimum.reduceat(mix(chosen ^ s), start) for s in _SEEDS[: BANDS * ROWS]]
-                both = np.stack([mix(sum((mins[ROWS * j + r] * np.uint64(2 * r + 3) for r in range(ROWS)), np.uint64(j))) for j in range(BANDS)], axis=1).view(np.int64)
-                for k, row in zip(np.flatnonzero(is_line).tolist(), both, strict=True):
-                    bands[k] = row
+                key = _ranges(words, low, high)
+                many = high - low - SHINGLE + 1
+                start = np.cumsum(many) - many
+                chosen = h5[np.repeat(low - start, many) + np.arange(many.sum())]
+                mins = np.stack([mix(np.minimum.reduceat(mix(chosen ^ s), start) + np.uint64(k)) for k, s in enumerate(_SEEDS)], axis=1).view(np.int64)
+                bands = [x[: 1 if k <= FEW_SHINGLES else BANDS] for x, k in zip(mins, many.tolist(), strict=True)]
+            stretch = h16[edge[which] + place] if len(which) else np.zeros(0, np.uint64)
             return {
-                "doc_id": pa.array(ids, pa.int64()).take(pa.array(doc, pa.int64())),
-                "at": np.array(at, np.int32), "n": np.array(n, np.int32), "line": is_line, "hash": key.view(np.int64), "bands": bands,
+                "doc_id": pa.array(ids, pa.int64()).take(pa.array(np.append(np.array(doc, np.int64), which))),
+                "at": np.append(np.array(at, np.int32), place.astype(np.int32)),
+                "n": np.append(np.array(n, np.int32), np.full(len(which), STRETCH, np.int32)),
+                "line": np.append(np.ones(len(doc), bool), np.zeros(len(which), bool)),
+                "hash": np.append(np.array(key, np.uint64), stretch).view(np.int64),
+                "bands": bands + [None] * len(which),
             }
 
         return f
@@ -91,7 +110,7 @@ def paragraphs(docs: DataFrame, lower: bool = True) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
-    """(doc_id, lines: array of (at, n, hash)) -> hash, shingles (distinct, sorted), fine: bands of further MinHashes."""
+    """(doc_id, lines: array of (at, n, hash)) -> id (the hash), n, fp (SimHash), shingles (distinct, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_words = Hasher()
@@ -100,99 +119,72 @@ def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
                 part = batch.slice(low, 200)
                 words, edge, _ = hash_words([t or "" for t in part.column(0).to_pylist()], lower)
                 h5 = grams(words, SHINGLE)
-                key, sets, fine = [], [], []
+                key, sets = [], []
                 for i, lines in enumerate(part.column(1).to_pylist()):
                     for x in lines:
-                        s = _shingles(h5, int(edge[i]) + x["at"], int(edge[i]) + x["at"] + x["n"], words)
-                        mins = [mix(s ^ c).min() for c in _SEEDS[BANDS * ROWS :]]
-                        bands = [mix(np.array([sum(int(mins[FINE_ROWS * j + r]) * (2 * r + 3) for r in range(FINE_ROWS)) + j & (1 << 64) - 1], np.uint64)) for j in range(FINE_BANDS)]
-                        key.append(x["hash"]), sets.append(s.view(np.int64)), fine.append(np.concatenate(bands).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int64()))], names=["hash", "shingles", "fine"])
-
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, "hash long, shingles array<long>, fine array<long>")
-
-
-def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """(first, member): what is reached over pairs of sets whose Jaccard similarity is at least the threshold, as stars
-    around the first set of each component."""
-    n = len(sets)
-    parent = list(range(n))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), size)
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    by_code = owner[np.argsort(code, kind="stable")]
-    edge = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
-    codes = np.split(code, np.cumsum(size)[:-1])
-    for i in range(n):  # shared shingles of i with all others, by the lists of who has each
-        shared = np.bincount(np.concatenate([by_code[edge[c] : edge[c + 1]] for c in codes[i]]), minlength=n)
-        for j in np.flatnonzero(shared >= similarity * (size + size[i] - shared)).tolist():
-            if (a := top(i)) != (b := top(j)):
-                parent[max(a, b)] = min(a, b)
-    return [(top(i), i) for i in range(n) if top(i) != i]
-
-
-def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, at, n, hash, bands), one row for each distinct line -> a, b: hashes of similar lines, a spanning forest."""
-    keyed = lines.select("hash", F.explode("bands").alias("band"))
-    sizes = cut(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = cut(keyed.join(sizes, "band"))
+                        key.append(x["hash"]), sets.append(_shingles(h5, int(edge[i]) + x["at"], int(edge[i]) + x["at"] + x["n"], words))
+                fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "fp", "shingles"])
+
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, "id long, n int, fp long, shingles array<long>")
+
+
+def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """(doc_id, at, n, hash, bands), one row for each distinct line -> a, b: hashes of similar lines that connect all
+    lines which similar lines of a band value connect."""
+    keyed = lines.select("hash", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
+    members = cut(keyed.join(sizes, "key"))
     wanted = lines.join(members.select("hash").distinct(), "hash").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "hash")).alias("lines"))
-    sets = cut(_sets(docs, wanted))
-    few = members.filter(F.col("n") <= bucket).select("band", "hash").join(sets.select("hash", "shingles"), "hash")
-    many = members.filter(F.col("n") > bucket).select("band", "hash").join(sets, "hash")
-    many = many.select(F.explode("fine").alias("f"), "band", "hash", "shingles").select(F.xxhash64("band", "f").alias("band"), "hash", "shingles")
+    sets = cut(_sets(docs, wanted).dropDuplicates(["id"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for group in batch.column(0).to_pylist():
-                group.sort(key=lambda x: x["hash"])  # so that the bands' stars have the same middle
-                if len(group) > 1:
-                    for i, j in similar([np.array(x["shingles"], np.int64) for x in group], similarity):
-                        a.append(group[i]["hash"]), b.append(group[j]["hash"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        same = F.size(F.array_intersect("sa", "sb"))
+        return cut(both.filter(same >= similarity * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"))
 
-    groups = few.unionByName(many).groupBy("band").agg(F.collect_list(F.struct("hash", "shingles")).alias("g")).filter(F.size("g") > 1)
-    return groups.select("g").mapInArrow(run, "a long, b long").distinct()
+    alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    return near_pairs(members.select("key", F.col("hash").alias("id")).join(sets.select("id", "n", "fp"), "id"), verified, RADIUS, group, alike)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """doc_id, at, n, line, class_id, class_docs, first_id: paragraphs whose class has paragraphs of several documents.
 
     first_id is the least doc_id of the class, class_docs its number of paragraphs. Null, empty and short texts have no
-    paragraphs; rows without doc_id are left out; rows with one doc_id are one document.
+    paragraphs; rows without doc_id are left out; rows with one doc_id are one document; a paragraph that only one
+    document repeats is not shared. Extra columns are ignored; empty tables give no rows.
     """
     docs = docs.filter("doc_id is not null")
     all_ = cut(paragraphs(docs))
-    place = F.struct("doc_id", "at", "n", "bands")
-    distinct = all_.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("many"), F.max("line").alias("line"))
-    distinct = cut(distinct)
-    first = all_.filter("line").groupBy("hash").agg(F.min(place).alias("p")).select("hash", "p.*")
-    found = components(links(cut(first), docs, similarity, bucket))
-    labelled = distinct.join(found, distinct.hash == found.node, "left").select("hash", "low", "high", "many", F.coalesce("component", "hash").alias("class_id"))
+    place = F.min(F.struct("doc_id", "at", "n"))
+    distinct = all_.groupBy("hash").agg(place.alias("p"), F.max("doc_id").alias("high"), F.count("*").alias("many"), F.max("line").alias("line"), F.max("bands").alias("bands"))
+    distinct = cut(distinct.filter("line or p.doc_id <> high").select("hash", "p.*", "high", "many", "line", "bands"))
+    found = components(links(distinct.filter("line"), docs, similarity, group))
+    labelled = distinct.select("hash", F.col("doc_id").alias("low"), "high", "many").join(found, distinct.hash == found.node, "left")
+    labelled = cut(labelled.filter("low <> high or node is not null").select("hash", "low", "high", "many", F.coalesce("component", "hash").alias("class_id")))
     shared = labelled.groupBy("class_id").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"), F.sum("many").alias("class_docs")).filter("first_id <> last_id")
-    member = labelled.join(shared, "class_id").select("hash", "class_id", "class_docs", "first_id")
-    return all_.select("doc_id", "at", "n", "line", "hash").join(member, "hash").select("doc_id", "at", "n", "line", "class_id", "class_docs", "first_id")
+    member = cut(labelled.join(shared, "class_id").select("hash", "class_id", "class_docs", "first_id"))
+    return picked(all_.select("doc_id", "at", "n", "line", "hash"), member, "hash", "inner").select("doc_id", "at", "n", "line", "class_id", "class_docs", "first_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """A row for each document with a paragraph that others have too: how many, how many of them are removals, where,
-    and first_ids: the documents (least doc_id of each class) that keep them."""
+    """A row for each doc_id: how many of its paragraphs others have too (0 if none); how many of them are removals; how
+    many are long ones, of LONG words and more; where they are; and first_ids: the documents (least doc_id of each
+    class) that keep them."""
     spot = F.concat_ws(":", "at", F.col("at") + F.col("n"))
-    return (
+    found = (
         classes(docs)
         .groupBy("doc_id")
         .agg(
             F.count("*").alias("n_shared"),
             F.sum((F.col("doc_id") != F.col("first_id")).cast("long")).alias("n_removed"),
+            F.sum((F.col("n") >= LONG).cast("long")).alias("n_long"),
             F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", spot.alias("s")))), lambda x: x["s"]), ",").alias("spans"),
             F.array_sort(F.collect_set("first_id")).alias("first_ids"),
         )
     )
+    zero = {"n_shared": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_long": F.lit(0).cast("long"), "spans": F.lit(""), "first_ids": F.array().cast("array<bigint>")}
+    ids = docs.filter("doc_id is not null").select("doc_id").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", *[F.coalesce(c, z).alias(c) for c, z in zero.items()])
