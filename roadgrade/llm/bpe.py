@@ -115,6 +115,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: No rank.
+NONE = np.iinfo(np.int32).max
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the adjacent pair of least rank is merged first, the leftmost of equals."""
     if piece in ranks:
@@ -160,9 +164,89 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for i, p in enumerate(parts) if not gone[i]]
 
 
+class Merger:
+    """Merges many pieces side by side: in each round every piece merges its adjacent pair of least rank, the leftmost of
+    equals, until none has one left."""
+
+    WIDEST = 32  #: bytes of the longest pieces that are merged side by side
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        if len(ranks) >= 1 << 31 or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("the file of ranks lacks a byte")
+        keys, to = [], []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
+                    keys.append(a << 32 | b)
+                    to.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.pair = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.to = np.append(np.array(to, np.int32)[order], NONE)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that two tokens make; NONE if they make none or one of them is -1."""
+        key = a.astype(np.int64) << 32 | b.astype(np.int64)
+        at = np.searchsorted(self.pair, key)
+        at[key < 0] = len(self.pair) - 1
+        return np.where(self.pair[at] == key, self.to[at], NONE)
+
+    def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        out: list = [(r,) if (r := self.ranks.get(p)) is not None else None for p in pieces]
+        by_width: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            if out[i] is None:
+                wide = next((w for w in (8, 12, 16, self.WIDEST) if len(p) <= w), 0)
+                if wide:
+                    by_width.setdefault(wide, []).append(i)
+                else:
+                    out[i] = tuple(merge(p, self.ranks))
+        for wide, at in by_width.items():
+            for low in range(0, len(at), 1 << 15):
+                some = at[low : low + (1 << 15)]
+                for i, ids in zip(some, self._side_by_side([pieces[i] for i in some], wide), strict=True):
+                    out[i] = ids
+        return out
+
+    def _side_by_side(self, pieces: list[bytes], wide: int) -> list[tuple[int, ...]]:
+        n = len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, n)
+        inside = np.arange(wide) < size[:, None]
+        ids = np.full((n, wide), -1, np.int32)
+        ids[inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.broadcast_to(np.arange(1, wide + 1), (n, wide)).copy()  # the next token's place
+        before = after - 2
+        rank = np.full((n, wide), NONE, np.int32)  # of the pair that begins here
+        pairs = inside[:, 1:]
+        rank[:, :-1][pairs] = self.rank(ids[:, :-1][pairs], ids[:, 1:][pairs])
+        alive, rows = inside, np.arange(n)
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            least = rank[rows, i]
+            some = least < NONE
+            rows, i, least = rows[some], i[some], least[some]
+            j = after[rows, i]
+            k = after[rows, j]  # the one after the pair
+            ids[rows, i] = least
+            alive[rows, j] = False
+            rank[rows, j] = NONE
+            after[rows, i] = k
+            more = k < size[rows]
+            before[rows[more], k[more]] = i[more]
+            rank[rows, i] = NONE
+            rank[rows[more], i[more]] = self.rank(least[more], ids[rows[more], k[more]])
+            h = before[rows, i]
+            less = h >= 0
+            rank[rows[less], h[less]] = self.rank(ids[rows[less], h[less]], least[less])
+        flat = ids[alive].tolist()
+        edge = np.cumsum(np.concatenate([[0], alive.sum(axis=1)])).tolist()
+        return [tuple(flat[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+
+
 @lru_cache(4)  # the cache of pieces lasts as long as the Python worker
 def _encoder(path: str, offsets: bool = True) -> Callable[[list, list], dict]:
-    ranks = read_ranks(path)
+    merger = Merger(read_ranks(path))
     cache: dict[str, tuple[int, ...]] = {}
 
     def encode(ids: list, texts: list) -> dict:
@@ -182,8 +266,8 @@ def _encoder(path: str, offsets: bool = True) -> Callable[[list, list], dict]:
         starts = np.flatnonzero(piece_starts(codes, first))
         edges = np.append(starts, len(codes)).tolist()
         pieces = [whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        for p in set(pieces).difference(cache):
-            cache[p] = tuple(merge(p.encode("utf-8", "surrogatepass"), ranks))
+        fresh = list(set(pieces).difference(cache))
+        cache.update(zip(fresh, merger([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True))
         found = [cache[p] for p in pieces]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         tokens = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
@@ -250,11 +334,52 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def decode_range(encoded: DataFrame, ranks_path: str, start: int, end: int) -> DataFrame:
+    """doc_id, ids, decoded: of a text encoded with offsets, only the pieces that hold its code points start to end - 1.
+
+    The offsets say which ids these are; the others are not decoded.
+    """
+    starts = F.concat("piece_start", F.array(F.lit(2**31 - 1)))
+    which = F.filter(F.sequence(F.lit(0), F.size("piece_start")), lambda i: (i < F.size("piece_start")) & (F.get(starts, i) < end) & (F.get(starts, i + 1) > start))
+    sum_ = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    first, many = F.coalesce(F.try_element_at(which, F.lit(1)), F.lit(0)), F.size(which)
+    low = sum_(F.slice("piece_tokens", F.lit(1), first))
+    return decode(encoded.select("doc_id", F.slice("ids", low + 1, sum_(F.slice("piece_tokens", first + 1, many))).alias("ids")), ranks_path)
+
+
+@lru_cache(4)
+def _digester(path: str) -> Callable[[list, list], dict]:
+    """Encodes texts, decodes them piece by piece with the retained offsets, and hashes both."""
+    from hashlib import sha256
+
+    encode = _encoder(path)
+    blob, start, size = _token_table(path)
+    shown = [str(i) for i in range(len(size))]
+
+    def f(doc_ids: list, texts: list) -> dict:
+        out = encode(doc_ids, texts)
+        ids_sha, decoded_sha = [], []
+        for ids, piece_start, piece_tokens in zip(out["ids"], out["piece_start"], out["piece_tokens"], strict=True):
+            ids_sha.append(sha256(",".join([shown[i] for i in ids.tolist()]).encode()).hexdigest())
+            n = size[ids]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            flat = blob[np.repeat(start[ids] - ends[:-1], n) + np.arange(ends[-1])]
+            # code points before each piece: bytes that don't continue one
+            points = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])
+            if not np.array_equal(points[ends[np.cumsum(piece_tokens) - piece_tokens]], piece_start):
+                raise ValueError("decoded pieces don't stand where their offsets say")
+            decoded_sha.append(sha256(flat.tobytes()).hexdigest())
+        return {
+            "doc_id": doc_ids, "n_tokens": [len(x) for x in out["ids"]], "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "n_pieces": [len(x) for x in out["piece_start"]],
+        }
+
+    return f
+
+
 def digest(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """One row a document: n_tokens and digests of its ids and of the bytes that they decode to."""
-    return decode(encode(docs, ranks_path, offsets=False), ranks_path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """One row a document: n_tokens, digests of its ids and of the bytes that they decode to, and n_pieces.
+
+    Encoding and decoding are one pass: ids and offsets never leave the task. Decoded pieces must stand where their
+    offsets say. The cases are those of ``encode``; empty tables give no rows.
+    """
+    return per_text(docs, lambda: _digester(ranks_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long")

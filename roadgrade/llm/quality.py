@@ -18,6 +18,8 @@ from .toxicity import logistic
 
 #: Bound of the labelled rows of each class that the fit reads; those of least hash of doc_id.
 MAX_ROWS = 1500
+#: The fit passes over labelled rows with longer texts, so what it reads is bounded in bytes too.
+MAX_CHARS = 50_000
 BITS = 17
 #: A text is kept at this probability of quality 1 and above.
 THRESHOLD = 0.5
@@ -88,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     some = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS) for y in (0, 1)]
     sample = F.broadcast(some[0].union(some[1]))  # 2 * MAX_ROWS rows at most
-    got = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()
+    got = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= MAX_CHARS).collect()
     got = sorted({(r["doc_id"], r["y"]): r["text"] for r in got}.items())
     y = np.array([k[1] for k, _ in got], float)
     if len(set(y)) < 2:
@@ -133,7 +135,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept and p_quality, one row for each input row.
 
     A null text counts as an empty one; texts under ten words, and those over a fifth of whose words stand in repeated
-    5-word windows, fail without a verdict of the model. Without labels of both classes the base rules alone decide.
+    5-word windows, fail without a verdict of the model. Without labels of both classes the base rules alone decide. A
+    probability of exactly THRESHOLD is kept. Repeated rows are scored each, rows without doc_id like others; extra
+    columns are ignored; an empty table gives no rows.
     """
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats
@@ -157,7 +161,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose text is kept: the verdict is made in the same pass, no join of the texts."""
+    """The documents whose text is kept: the verdict is made in the same pass, no join of the texts.
+
+    Each row is judged by its text alone, so repeated rows and rows without doc_id stay or go like others. Null, empty and
+    short texts go (under ten words). Extra columns stay, whatever their names. Without labels of both classes the base
+    rules alone decide; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     return _filter(docs, model)
 

@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what sets toxic text apart (words that hold byte
-5-grams found in a clearly larger share of toxic texts). A window of words is compressed with the ordinary dictionary
-and with both joined; what the toxic one saves is the window's distance. A logistic curve over a text's windows, fitted
-on other texts than the dictionaries', turns the savings into a probability.
+Two zstandard dictionaries are trained: one on ordinary text, one on toxic text, of which only the words that set it
+apart are used (those that hold byte 5-grams found in a clearly larger share of toxic texts): toxic texts are nearly all
+ordinary words, and dictionaries trained on all of them tell too little (README). A window of words is compressed with
+the ordinary dictionary and with both joined; what the toxic one saves is the window's distance. A logistic curve over a
+text's windows, fitted on other texts than the dictionaries', turns the savings into a probability.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from .common import per_text
 
 #: Bound of the labelled rows that the fit reads, toxic and ordinary; those of least hash of doc_id.
 MAX_TOXIC, MAX_ORDINARY = 1000, 3000
+#: The fit passes over labelled rows with longer texts, so what it reads is bounded in bytes too.
+MAX_CHARS = 50_000
+#: Windows of ordinary text that the dictionary is trained on, those of least hash among all sampled rows'.
+MAX_WINDOWS = 60_000
 WINDOW, GRAM, LEVEL, THRESHOLD = 16, 5, 3, 0.3
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 65536
 _EDGE = b".,!#$%&*|?;:\"'()<>-"
@@ -65,7 +70,8 @@ def _train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes
         except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
             return b"".join(dict.fromkeys(samples))[-size:]
 
-    return content([w for words in ordinary for w in _windows(words)][:60000], ORDINARY_BYTES), content(marked, TOXIC_BYTES)
+    windows = sorted((w for words in ordinary for w in _windows(words)), key=zlib.crc32)[:MAX_WINDOWS]
+    return content(windows, ORDINARY_BYTES), content(marked, TOXIC_BYTES)
 
 
 def _scorer(contents: tuple[bytes, bytes]):
@@ -114,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> dict | None:
         return None
     some = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
     sample = F.broadcast(some[0].union(some[1]))  # MAX_TOXIC + MAX_ORDINARY rows at most
-    got = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).collect()
+    got = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= MAX_CHARS).collect()
     got = sorted({(r["doc_id"], r["y"]): r["text"] for r in got}.items())
     words, y = [_words(t) for _, t in got], np.array([k[1] for k, _ in got], float)
     if len(set(y)) < 2:
@@ -155,7 +161,9 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted. Repeated rows are scored each; a null doc_id counts as not held out."""
+    """doc_id, held_out, score, predicted. Repeated rows are scored each; a null doc_id counts as not held out, and nothing
+    is learnt from it. Null and empty texts count as one empty window. A score of exactly THRESHOLD is predicted 1.
+    Without labels of both classes every score is 0. Extra columns are ignored; empty tables give no rows."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
     return score(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
