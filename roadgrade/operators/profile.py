@@ -27,8 +27,14 @@ def along(keys: Sequence[str] = ROAD, by: str = "k") -> W:
 
 
 def to_arrays(samples: DataFrame, keys: Sequence[str] = ROAD, columns: Sequence[str] = ("d", "elev", "b")) -> DataFrame:
-    """A row for each road with one array for each column, in order of k. A road is one row of the result by nature."""
-    got = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias("s"))
+    """A row for each road with one array for each column, in order of k. A road is one row of the result by nature.
+
+    The number of partitions is set: what a kernel does with a road takes far longer than its few bytes tell, so adaptive
+    execution must not merge them.
+    """
+    session = samples.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    got = samples.repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias("s"))
     return got.select(*keys, *[F.col(f"s.{c}").alias(c) for c in columns])
 
 
@@ -59,21 +65,22 @@ def resample(pts: DataFrame, step: float = SAMPLE_STEP, keys: Sequence[str] = ("
         F.min("i").over(W.partitionBy(*keys)).alias("head"),
     )
     n = F.greatest(F.floor(F.col("total") / step + 0.5), F.lit(1)).cast("int")
-    # a segment holds the samples after its start (the first also that at its start) up to its end
+    # a segment holds the samples after its start (the first also that at its start) up to its end, the last one all that
+    # are left: k * (total / n) may come out above total. So each sample lies on one segment.
     seg = seg.withColumn("n", n).withColumn("gap", F.col("total") / F.col("n"))
     single = seg.filter((F.col("total") == 0) & (F.col("i") == F.col("head"))).select(*keys, F.lit(0).alias("k"), "lat", "lon", F.lit(0.0).alias("d"), "b")
     seg = seg.filter("d2 is not null and total > 0")
-    low = F.when(F.col("i") == F.col("head"), F.lit(0)).otherwise(F.floor(F.col("d") / F.col("gap")).cast("int"))
-    high = F.least(F.ceil(F.col("d2") / F.col("gap")).cast("int"), F.col("n"))
+    first, last = F.col("i") == F.col("head"), F.col("i") + 1 == F.col("last")
+    low = F.greatest(F.floor(F.col("d") / F.col("gap")) - 1, F.lit(0)).cast("int")
+    high = F.when(last, F.col("n")).otherwise(F.least(F.ceil(F.col("d2") / F.col("gap")) + 1, F.col("n"))).cast("int")
     at = F.col("k") * F.col("gap")
-    first = F.col("i") == F.col("head")
-    mine = ((at > F.col("d")) | first) & ((at <= F.col("d2")) | ((F.col("i") + 1 == F.col("last")) & (F.col("k") == F.col("n")))) & ((F.col("d2") > F.col("d")) | (first & (F.col("k") == 0)))
+    mine = ((at > F.col("d")) | (first & (F.col("k") == 0))) & ((at <= F.col("d2")) | last)
     rows = seg.select("*", F.explode(F.sequence(low, F.greatest(high, low))).alias("k")).filter(mine)
     t = F.coalesce(F.least(F.try_divide(at - F.col("d"), F.col("d2") - F.col("d")), F.lit(1.0)), F.lit(0.0))
     out = rows.select(
         *keys, "k", (F.col("lat") + (F.col("lat2") - F.col("lat")) * t).alias("lat"), (F.col("lon") + (F.col("lon2") - F.col("lon")) * t).alias("lon"),
         at.alias("d"), (F.col("b") & F.col("b2")).alias("b"),
-    ).dropDuplicates([*keys, "k"])
+    )
     return out.unionByName(single)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import profile as kernels
-from ..params import BOX_PAD, COL_FRAC, DIP_ABS, DIP_FRAC, GRADE_MIN, HALF_STEP, INCLINE_GRADE
+from ..params import BOX_PAD, COL_FRAC, GRADE_MIN, HALF_STEP
 from .profile import ROAD, along, by_road, islands
 
 
@@ -31,7 +31,7 @@ def min_windows(samples: DataFrame, window: float, keys: Sequence[str] = ROAD) -
 
 
 def segment_sustained(samples: DataFrame, window: float, keys: Sequence[str] = ROAD) -> DataFrame:
-    """(keys, k, value): of each segment the grade of the steepest window over it; no rows for a road that is shorter."""
+    """(keys, k, value): of each segment the largest grade of a window over it; no rows for a road that is shorter."""
     w = min_windows(samples, window, keys)
     return w.select(*keys, F.explode(F.sequence("i", F.col("j") - 1)).alias("k"), "grade").groupBy(*keys, "k").agg(F.max("grade").alias("value"))
 
@@ -43,7 +43,7 @@ def sustained_grade(samples: DataFrame, window: float, keys: Sequence[str] = ROA
 
 
 def best_window(samples: DataFrame, window: float, keys: Sequence[str] = ROAD) -> DataFrame:
-    """(keys, i, j, span, grade) of each road's steepest window, the first of equals."""
+    """(keys, i, j, span, grade) of each road's window of largest grade, the first of equals."""
     pick = F.max(F.struct("grade", (-F.col("i")).alias("minus_i"), "i", "j", "span")).alias("x")
     return min_windows(samples, window, keys).groupBy(*keys).agg(pick).select(*keys, "x.i", "x.j", "x.span", "x.grade")
 
@@ -80,7 +80,7 @@ def _schema(**kinds: T.DataType) -> T.StructType:
 
 
 def sustained_stretches(roads: DataFrame, window: float, min_grade: float, most: int = 3, keys: Sequence[str] = ROAD) -> DataFrame:
-    """(keys, n, i, j, grade, span): a road's separate steep stretches, steepest first. From array form."""
+    """(keys, n, i, j, grade, span): a road's separate steep stretches, largest grade first. From array form."""
     make = lambda d, e: [(n, *x) for n, x in enumerate(kernels.stretches(d, e, window, min_grade, most))]
     return by_road(roads, make, _schema(n=_I, i=_I, j=_I, grade=_D, span=_D), keys)
 
@@ -107,25 +107,20 @@ def longest_inclines(roads: DataFrame, min_span: float, keys: Sequence[str] = RO
     return by_road(roads, make, _schema(n=_I, i=_I, j=_I, span=_D, gain=_D, grade=_D), keys)
 
 
-def qualifying_pairs(prefixed: DataFrame, min_span: float, keys: Sequence[str] = ROAD, reach: float = 1500.0) -> DataFrame:
-    """(keys, i, j, span, net): pairs of samples (up to ``reach`` metres apart) that pass the incline tests but for rests."""
-    a, b = (prefixed.select(*keys, *[F.col(c).alias(f"{c}{s}") for c in ("k", "d", "elev", "up", "down")]) for s in "12")
-    span, net = F.col("d2") - F.col("d1"), F.col("elev2") - F.col("elev1")
-    gain = F.when(net > 0, F.col("up2") - F.col("up1")).otherwise(F.col("down2") - F.col("down1"))
-    counter = F.when(net > 0, F.col("down2") - F.col("down1")).otherwise(F.col("up2") - F.col("up1"))
-    ok = (span >= min_span - HALF_STEP) & (span <= reach) & (F.abs(net) / span >= INCLINE_GRADE) & (counter <= F.greatest(F.lit(DIP_ABS), DIP_FRAC * (gain + counter)))
-    return a.join(b, list(keys)).filter(F.col("k1") < F.col("k2")).filter(ok).select(*keys, F.col("k1").alias("i"), F.col("k2").alias("j"), span.alias("span"), net.alias("net"))
+def qualifying_pairs(roads: DataFrame, min_span: float, keys: Sequence[str] = ROAD) -> DataFrame:
+    """(keys, i, j, span, net): of each sample the farthest one with which it passes the incline tests but for rests. From
+    array form: the pairs of a road's samples are looked at inside its row and never become rows."""
+    return by_road(roads, lambda d, e: kernels.farthest(d, e, min_span), _schema(i=_I, j=_I, span=_D, net=_D), keys)
 
 
-def climb_core(prefixed: DataFrame, keys: Sequence[str] = ROAD) -> DataFrame:
-    """(keys, i, j, value, net): of each road the pair of samples with the largest gain squared over distance."""
-    a, b = (prefixed.select(*keys, *[F.col(c).alias(f"{c}{s}") for c in ("k", "d", "elev", "up", "down")]) for s in "12")
-    span, net = F.col("d2") - F.col("d1"), F.col("elev2") - F.col("elev1")
-    gain = F.when(net > 0, F.col("up2") - F.col("up1")).otherwise(F.col("down2") - F.col("down1"))
-    counter = F.when(net > 0, F.col("down2") - F.col("down1")).otherwise(F.col("up2") - F.col("up1"))
-    pairs = a.join(b, list(keys)).filter(F.col("k1") < F.col("k2")).filter((net != 0) & (counter <= F.greatest(F.lit(DIP_ABS), DIP_FRAC * (gain + counter))))
-    pairs = pairs.select(*keys, F.struct((net * net / span).alias("value"), (-F.col("k1")).alias("a"), (-F.col("k2")).alias("b"), net.alias("net")).alias("x"))
-    return pairs.groupBy(*keys).agg(F.max("x").alias("x")).select(*keys, (-F.col("x.a")).alias("i"), (-F.col("x.b")).alias("j"), "x.value", "x.net")
+def climb_core(roads: DataFrame, keys: Sequence[str] = ROAD) -> DataFrame:
+    """(keys, i, j, value, net): of each road the pair of samples with the largest gain squared over distance. From array form."""
+
+    def make(d: np.ndarray, e: np.ndarray) -> list:
+        found = kernels.core(d, e)
+        return [] if found is None else [(found[1], found[2], found[0], float(e[found[2]] - e[found[1]]))]
+
+    return by_road(roads, make, _schema(i=_I, j=_I, value=_D, net=_D), keys)
 
 
 def climb_effort(segs: DataFrame, climbs: DataFrame, keys: Sequence[str] = ROAD) -> DataFrame:
@@ -217,7 +212,7 @@ def window_monotone(short: DataFrame, long: DataFrame, keys: Sequence[str] = ROA
     return x.filter("long is not null").withColumn("ok", F.col("long") <= F.col("short") + 1e-9)
 
 
-def steepest_in(value: DataFrame, extents: DataFrame, keys: Sequence[str] = ROAD) -> DataFrame:
+def largest_in(value: DataFrame, extents: DataFrame, keys: Sequence[str] = ROAD) -> DataFrame:
     """(keys, n, k, value): the segment of largest sustained grade in each extent, the first of equals."""
     on = extents.select(*keys, "n", "i", "j").join(value, list(keys)).filter((F.col("k") >= F.col("i")) & (F.col("k") < F.col("j")))
     best = F.max(F.struct("value", (-F.col("k")).alias("minus_k"))).alias("x")

@@ -105,8 +105,8 @@ def containing_extent(spark, sf):
     f"""{EXT} select road_id, n, k, round(value, 9) as value from (select e.road_id, e.n, v.k, v.value,
  row_number() over (partition by e.road_id, e.n order by v.value desc, v.k) as rn from ext e join val v on v.road_id = e.road_id and v.k >= e.i and v.k < e.j) t where rn = 1"""
 )
-def steepest_in(spark, sf):
-    return rounded(ranking.steepest_in(ranking.segment_sustained(prof(spark, sf), WINDOW), extents(spark, sf)), 9, "value")
+def largest_in(spark, sf):
+    return rounded(ranking.largest_in(ranking.segment_sustained(prof(spark, sf), WINDOW), extents(spark, sf)), 9, "value")
 
 
 @query(
@@ -147,12 +147,15 @@ def ascent_prefix(spark, sf):
 
 @query(f"{P}, {UPDOWN} select road_id, round(max(net*net/span), 6) as value from okp group by road_id")
 def climb_core(spark, sf):
-    return rounded(ranking.climb_core(profile.ascent_prefixes(prof(spark, sf))).select("road_id", "value"), 6, "value")
+    return rounded(ranking.climb_core(arrays(spark, sf)).select("road_id", "value"), 6, "value")
 
 
-@query(f"{P}, {UPDOWN} select road_id, i, j, span, round(net, 6) as net from okp where span >= {SPAN - 12.5}e0 and span <= 1500e0 and abs(net)/span >= 0.03e0")
+@query(
+    f"""{P}, {UPDOWN}, far as (select road_id, i, max(j) as j from okp where span >= {SPAN - 12.5}e0 and abs(net)/span >= 0.03e0 group by road_id, i)
+ select f.road_id, f.i, f.j, o.span, round(o.net, 6) as net from far f join okp o on o.road_id = f.road_id and o.i = f.i and o.j = f.j"""
+)
 def incline_pairs(spark, sf):
-    return rounded(ranking.qualifying_pairs(profile.ascent_prefixes(prof(spark, sf)), SPAN), 6, "net")
+    return rounded(ranking.qualifying_pairs(arrays(spark, sf), SPAN), 6, "net")
 
 
 @query()

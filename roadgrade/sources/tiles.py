@@ -77,16 +77,16 @@ def needed_tiles(samples: DataFrame, loaded: DataFrame | None = None, zoom: int
     return need if loaded is None else need.join(loaded.select("z", "x", "y"), ["z", "x", "y"], "left_anti")
 
 
-def elevate(samples: DataFrame, tiles: DataFrame, zoom: int = TILE_ZOOM, size: int = TILE_SIZE, salts: int = 1) -> DataFrame:
+def elevate(samples: DataFrame, tiles: DataFrame, zoom: int = TILE_ZOOM, size: int = TILE_SIZE, piece: int = 4096) -> DataFrame:
     """samples with elev, from the one tile that each lies in; null where the tile is missing.
 
-    A tile's samples are gathered in pieces before they meet its raster, so that the raster isn't copied for each.
-    ``salts`` splits the samples of a crowded tile over so many pieces.
+    A tile's samples are gathered in pieces before they meet its raster, so that the raster isn't copied for each. A
+    piece holds those of some ``piece`` neighbouring rows, so no tile, however crowded, is gathered whole.
     """
     t = tile_xy(F.col("lat"), F.col("lon"), zoom)
     cols = samples.columns
-    s = samples.select(F.struct(*cols).alias("s"), t.alias("t"), F.pmod(F.xxhash64(*cols), F.lit(salts)).alias("salt"))
-    s = s.groupBy(F.lit(zoom).alias("z"), "t.x", "t.y", "salt").agg(F.collect_list(F.struct("s", F.col("t.px").alias("px"), F.col("t.py").alias("py"))).alias("many"))
+    s = samples.select(F.struct(*cols).alias("s"), t.alias("t"), F.floor(F.monotonically_increasing_id() / piece).alias("piece"))
+    s = s.groupBy(F.lit(zoom).alias("z"), "t.x", "t.y", "piece").agg(F.collect_list(F.struct("s", F.col("t.px").alias("px"), F.col("t.py").alias("py"))).alias("many"))
     on = s.join(tiles, ["z", "x", "y"], "left")
     at = F.transform("many", lambda m: F.struct(m["s"].alias("s"), F.when(F.col("raster").isNotNull(), bilinear(F.col("raster"), m["px"], m["py"], size)).alias("elev")))
     return on.select(F.explode(at).alias("r")).select("r.s.*", "r.elev")

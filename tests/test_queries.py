@@ -93,6 +93,26 @@ def test_resample_gives_41_samples(spark):
     assert got[0]["n"] == 41 and got[0]["d"] == pytest.approx(1000.75, abs=0.1) and got[1]["n"] == 1
 
 
+def test_resample_keeps_the_last_sample_of_a_repeated_end_point(spark):
+    """n * (total / n) may exceed total by rounding, and the last segment may have no length."""
+    rng = np.random.default_rng(4)
+    data = []
+    for way in range(300):
+        pts = np.cumsum(rng.uniform(-0.002, 0.002, (6, 2)), axis=0) + [35.0, -82.0]
+        pts = np.concatenate([pts[:1], pts, pts[-1:]]) if way % 3 else np.concatenate([pts, pts[-1:], pts[-1:]])
+        data += [(way, i, float(a), float(b)) for i, (a, b) in enumerate(pts)]
+    df = spark.createDataFrame(data, "way_id long, i int, lat double, lon double")
+    total = {r["way_id"]: r["d"] for r in profile.cumulative_distance(df).groupBy("way_id").agg(F.max("d").alias("d")).collect()}
+    got = profile.resample(df).toPandas()
+    for way, part in got.groupby("way_id"):
+        n = max(1, math.floor(total[way] / 25 + 0.5))
+        assert sorted(part.k) == list(range(n + 1))
+        end = part[part.k == n].iloc[0]
+        want = [x for x in data if x[0] == way][-1]
+        assert end.lat == pytest.approx(want[2], abs=1e-9) and end.lon == pytest.approx(want[3], abs=1e-9)
+    assert any(n * (t / n) > t for t in total.values() for n in [max(1, math.floor(t / 25 + 0.5))])
+
+
 def test_decks(spark):
     rows_ = [(1, k, k * 25.0, 200.0 - (50 if 3 <= k <= 5 else 0), 3 <= k <= 5) for k in range(10)] + [(2, k, k * 25.0, 200.0 + (k % 2) * 40, True) for k in range(5)]
     got = profile.deck_elevations(spark.createDataFrame(rows_, "road_id long, k int, d double, elev double, b boolean")).toPandas()
@@ -144,7 +164,7 @@ def test_tiles_from_files(spark, tmp_path):
     flat[..., 0], flat[..., 1] = 130, 7
     (tmp_path / f"13/{x}/{y}.png").write_bytes(png(flat, [0]))
     samples = spark.createDataFrame([(1, lat, lon), (2, lat + 5, lon)], "id long, lat double, lon double")
-    got = {r["id"]: r["elev"] for r in tiles.elevate(samples, tiles.read_tiles(spark, str(tmp_path)), salts=3).collect()}
+    got = {r["id"]: r["elev"] for r in tiles.elevate(samples, tiles.read_tiles(spark, str(tmp_path)), piece=1).collect()}
     assert got == {1: 130 * 256 + 7 - 32768, 2: None}
 
 
