@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree of fixed depth.
 
-The tree's first level is a line's number of tokens, the next ones its leading tokens; tokens with a digit count as
-variable. The lines of a leaf have the same places. A token that is rare at its place among the lines of its leaf is a
+The tree's first level is a line's number of tokens, the next ones its two leading tokens, three in lines of eight tokens
+and more; tokens with a digit count as variable. The lines of a leaf have the same places. A token that is rare at its place among the lines of its leaf is a
 variable field, and a line's template is what stays when these are left out. How rare is tried in three steps (fewer
 than MIN_DOCS documents, an eighth, a half of those of the leaf), each of which widens the template; one of which too
 little stays is none. Templates are counted over documents; lines of recurring templates are dropped from all documents
@@ -21,13 +21,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import FEW, cut, let, numbered, per_text
 
-LEADING = 2
+#: Levels of leading tokens below the number of tokens; one more in lines of MANY tokens and more.
+LEADING, MANY = 2, 8
 #: A template recurs if so many documents have it.
 MIN_DOCS = 3
 #: Steps of the shares of a leaf's documents below which a token is a variable field, beside MIN_DOCS itself.
 SHARES = (0.0, 0.125, 0.5)
-#: Share of a line's tokens that must stay in a template; all of them in lines of fewer than SHORT tokens.
-FIXED, SHORT = 0.7, 5
+#: Share of a line's tokens that must stay in a template, and in lines of fewer than SHORT tokens.
+FIXED, SHORT, FIXED_SHORT = 0.7, 5, 0.5
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -38,7 +39,10 @@ def tokens_of(line: bytes) -> list[bytes]:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, text) -> row, line, leaf, whole (hash of the leaf and all tokens), fresh (its first place in its document)."""
+    """(row, doc_id, text) -> row, line, short, leaf, whole (hash of all tokens), fresh (its first place in its document).
+
+    Lines of which too little can stay are left out.
+    """
 
     def make():
         import xxhash
@@ -46,22 +50,23 @@ def _lines(rows: DataFrame) -> DataFrame:
         h = xxhash.xxh64_intdigest
 
         def f(ids: list, texts: list) -> dict:
-            row, line, leaf, whole, fresh = [], [], [], [], []
+            row, line, short, leaf, whole, fresh = [], [], [], [], [], []
             for d, t in zip(ids, texts, strict=True):
                 seen: set[int] = set()
                 for i, x in enumerate(t.encode("utf-8", "surrogatepass").split(b"\n")):
                     tokens = tokens_of(x)
-                    if tokens:
+                    n = len(tokens)
+                    if n and n - tokens.count(b"") >= (FIXED if n >= SHORT else FIXED_SHORT) * n:
                         k = h(b"\n".join(tokens))
-                        row.append(d), line.append(i), whole.append(k), fresh.append(k not in seen)
-                        leaf.append(h(b"%d\n" % len(tokens) + b"\n".join(tokens[:LEADING])))
+                        row.append(d), line.append(i), short.append(n < SHORT), whole.append(k), fresh.append(k not in seen)
+                        leaf.append(h(b"%d\n" % n + b"\n".join(tokens[: LEADING + (n >= MANY)])))
                         seen.add(k)
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            return {"row": np.array(row, np.int64), "line": np.array(line, np.int32), "leaf": signed(leaf), "whole": signed(whole), "fresh": np.array(fresh, bool)}
+            return {"row": np.array(row, np.int64), "line": np.array(line, np.int32), "short": np.array(short, bool), "leaf": signed(leaf), "whole": signed(whole), "fresh": np.array(fresh, bool)}
 
         return f
 
-    return per_text(rows, make, "row long, line int, leaf long, whole long, fresh boolean", "row")
+    return per_text(rows, make, "row long, line int, short boolean, leaf long, whole long, fresh boolean", "row")
 
 
 def _tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -90,7 +95,9 @@ def _tokens(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """leaf, whole, key: the templates of each distinct line of a leaf that min_docs documents have at least."""
-    distinct = cut(lines.filter("fresh").groupBy("leaf", "whole").agg(F.count("*").alias("docs"), F.min(F.struct("row", "line")).alias("at")))
+    distinct = cut(lines.filter("fresh").groupBy("leaf", "whole", "short").agg(F.count("*").alias("docs"), F.min(F.struct("row", "line")).alias("at")))
+    short = distinct.filter(F.col("short") & (F.col("docs") >= min_docs)).select("leaf", "whole", F.xxhash64("leaf", "whole").alias("key"))
+    distinct = distinct.filter(~F.col("short"))
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs)
     x = F.struct("at.line", "leaf", "whole", "docs", "all_docs")
     wanted = distinct.join(leaves, "leaf").groupBy(F.col("at.row").alias("row")).agg(F.collect_list(x).alias("lines"))
@@ -105,11 +112,11 @@ def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
 
     def key(k: int, share: float):
         fixed = F.transform("tokens", lambda t: F.when(t["n"] >= F.greatest(F.lit(min_docs), share * F.col("all_docs")), t["token"]).otherwise(F.lit(0)))
-        enough = lambda x: F.size(F.filter(x, lambda t: t != 0)) >= F.when(F.size(x) < SHORT, 1.0).otherwise(FIXED) * F.size(x)
+        enough = lambda x: F.size(F.filter(x, lambda t: t != 0)) >= FIXED * F.size(x)
         return let(fixed, lambda x: F.when(enough(x), F.xxhash64("leaf", x)))
 
     keys = F.array_distinct(F.filter(F.array(*[key(k, s) for k, s in enumerate(SHARES)]), lambda k: k.isNotNull()))
-    return seen.select("leaf", "whole", F.explode(keys).alias("key"))
+    return short.union(seen.select("leaf", "whole", F.explode(keys).alias("key")))
 
 
 def recurring_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

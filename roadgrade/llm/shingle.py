@@ -27,7 +27,7 @@ class Hasher:
 
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         split = [(r.lower() if lower else r).split() for r in raw]
-        if len(self.known) > 500_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         known, h = self.known, xxhash.xxh64_intdigest
         for w in {w for words in split for w in words}.difference(known):
