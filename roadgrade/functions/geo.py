@@ -48,12 +48,11 @@ def interior_ref(pts: Column, end: int) -> Column:
     return F.element_at(p, found + 1)
 
 
-def turn_angle(pts_a: Column, end_a: int, pts_b: Column, end_b: int) -> Column:
-    """Angle by which one turns when leaving way a at its end and entering way b at its own."""
-    ra, rb = interior_ref(pts_a, end_a), interior_ref(pts_b, end_b)
-    out = F.element_at(pts_a, 1 if end_a == 0 else -1)
-    into = F.element_at(pts_b, 1 if end_b == 0 else -1)
-    return fold_angle(bearing_rad(ra["lat"], ra["lon"], out["lat"], out["lon"]), bearing_rad(into["lat"], into["lon"], rb["lat"], rb["lon"]))
+def end_bearing(pts: Column, end: int, entering: bool = False) -> Column:
+    """Bearing in which one leaves a way at its start (end 0) or end (1), or in which one enters it there."""
+    ref, tip = interior_ref(pts, end), F.element_at(pts, 1 if end == 0 else -1)
+    a, b = (tip, ref) if entering else (ref, tip)
+    return bearing_rad(a["lat"], a["lon"], b["lat"], b["lon"])
 
 
 def segment_cross_frac(a: list[Column], b: list[Column], c: list[Column], d: list[Column]) -> Column:

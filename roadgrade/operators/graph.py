@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -11,24 +12,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import js_round, planar_xy
+from ..functions.geo import box_cells, js_round, planar_xy
 from ..kernels import profile as kernels
 from ..kernels.stitch import distance
 from ..params import BOX_PAD, JOIN_TOL
-from .ranking import dedupe_inclines
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of ``spark.checkpoint.dir`` and read again; only a local session may make one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
 def connected(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(a, b) -> (node, component): labels fall to the least id of each component, with pointer jumping between rounds.
 
-    a and b may be ids of different kinds (ways and hashed nodes); all of them are labelled, a shared value would join.
+    Ids of different kinds must be told apart by the caller (hash them with a tag); all of them are labelled.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")))
@@ -44,6 +47,42 @@ def connected(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def losers(conflicts: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(better, worse) -> id: what a walk from the best to the worst leaves out, when it keeps each that is in conflict
+    with none kept so far.
+
+    In each round those without a better one left are winners, and what they are in conflict with loses; both leave the
+    table. Rounds follow the longest chain of ever worse ones, so a whole network needs no task of its own.
+    """
+    left = checkpointed(conflicts.select("better", "worse").distinct())
+    out = left.select(F.col("worse").alias("id")).limit(0)
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            return out
+        winners = left.select(F.col("better").alias("id")).distinct().join(left.select(F.col("worse").alias("id")), "id", "left_anti")
+        lost = checkpointed(left.join(winners, left.better == winners.id).select("id", "worse").select(F.col("worse").alias("id")).distinct())
+        out = out.union(lost)
+        left = left.join(lost, left.better == lost.id, "left_anti").join(lost, F.col("worse") == lost.id, "left_anti")
+        left = checkpointed(left)
+    raise RuntimeError("conflicts did not settle")
+
+
+def same_name_conflicts(items: DataFrame, area: Sequence[str], better, cell: float = 0.005) -> DataFrame:
+    """(better, worse) of items (id, road_id, name, box columns) of one name on different roads whose boxes meet.
+
+    Boxes meet on a grid, so a name that stands in every town is looked at town by town; ``better(x, y)`` compares the
+    columns with suffix _x and _y.
+    """
+    box = ("lat_min", "lat_max", "lon_min", "lon_max")
+    at = F.explode(box_cells(F.col("lat_min"), F.col("lon_min"), F.col("lat_max"), F.col("lon_max"), cell))
+    cells = items.select("*", at.alias("c")).select(*items.columns, "c.cy", "c.cx")
+    on = [*area, "name", "cy", "cx"]
+    x, y = (cells.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in items.columns if c not in on]) for s in "xy")
+    meet = (F.col("lat_min_x") <= F.col("lat_max_y")) & (F.col("lat_min_y") <= F.col("lat_max_x")) & (F.col("lon_min_x") <= F.col("lon_max_y")) & (F.col("lon_min_y") <= F.col("lon_max_x"))
+    assert set(box) <= set(items.columns)
+    return x.join(y, on).filter((F.col("road_id_x") != F.col("road_id_y")) & meet & better("x", "y")).select(F.col("id_x").alias("better"), F.col("id_y").alias("worse"))
+
+
 def endpoint_junctions(samples: DataFrame, area: Sequence[str] = ()) -> DataFrame:
     """(area, road_id, end, other_id, other_k, dist): the nearest sample of each other road within 20 m of a road's end.
 
@@ -65,41 +104,47 @@ def endpoint_junctions(samples: DataFrame, area: Sequence[str] = ()) -> DataFram
     return best.select(*area, "road_id", "end", "other_id", F.col("m.other_k").alias("other_k"), F.col("m.dist").alias("dist"))
 
 
-def chains(roads: DataFrame, junctions: DataFrame, max_roads: int = 1) -> DataFrame:
-    """(segs): slices (road_id, from, to) of up to max_roads connected roads, every prefix of every chain.
+def chains(roads: DataFrame, junctions: DataFrame | None, max_roads: int = 1, area: Sequence[str] = ()) -> DataFrame:
+    """(area, segs): slices (road_id, from, to) of up to max_roads connected roads, every prefix of every chain.
 
-    roads: (road_id, n samples). A chain begins with a whole road (in either direction if there may be more); from the
-    end that it arrives at it goes on along a road met there, from the junction to either of its ends, no road twice.
+    roads: (area, road_id, n samples). A chain begins with a whole road (in either direction if there may be more); from
+    the end that it arrives at it goes on along a road met there, from the junction to either of its ends, no road twice.
     """
     step = lambda a, b: F.struct(F.col("road_id").alias("road_id"), a.alias("from"), b.alias("to"))
     last = F.col("n") - 1
     zero = F.lit(0)
-    start = [roads.select(F.array(step(zero, last)).alias("segs"), "road_id", F.lit(1).alias("end"))]
+    start = [roads.select(*area, F.array(step(zero, last)).alias("segs"), "road_id", F.lit(1).alias("end"))]
     if max_roads > 1:
-        start.append(roads.select(F.array(step(last, zero)).alias("segs"), "road_id", zero.alias("end")))
+        start.append(roads.select(*area, F.array(step(last, zero)).alias("segs"), "road_id", zero.alias("end")))
     now = start[0] if len(start) == 1 else start[0].union(start[1])
-    out = now.select("segs")
-    size = roads.select(F.col("road_id").alias("other_id"), F.col("n").alias("other_n"))
+    out = now.select(*area, "segs")
+    size = roads.select(*area, F.col("road_id").alias("other_id"), F.col("n").alias("other_n"))
     for _ in range(max_roads - 1):
-        met = now.join(junctions.select("road_id", "end", "other_id", "other_k"), ["road_id", "end"]).filter("not exists(segs, s -> s.road_id = other_id)").join(size, "other_id")
+        met = now.join(junctions.select(*area, "road_id", "end", "other_id", "other_k"), [*area, "road_id", "end"])
+        met = met.filter("not exists(segs, s -> s.road_id = other_id)").join(size, [*area, "other_id"])
         ways = F.explode(F.array(F.struct(zero.alias("end"), zero.alias("to")), F.struct(F.lit(1).alias("end"), (F.col("other_n") - 1).alias("to"))))
-        met = met.select("segs", "other_id", "other_k", ways.alias("w")).filter("w.to <> other_k")
+        met = met.select(*area, "segs", "other_id", "other_k", ways.alias("w")).filter("w.to <> other_k")
         more = F.array(F.struct(F.col("other_id").alias("road_id"), F.col("other_k").alias("from"), F.col("w.to").alias("to")))
-        now = met.select(F.concat("segs", more).alias("segs"), F.col("other_id").alias("road_id"), F.col("w.end").alias("end"))
-        out = out.union(now.select("segs"))
+        now = met.select(*area, F.concat("segs", more).alias("segs"), F.col("other_id").alias("road_id"), F.col("w.end").alias("end"))
+        out = out.union(now.select(*area, "segs"))
     return out
 
 
+def _area_schema(df: DataFrame, area: Sequence[str]) -> str:
+    return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in area)
+
+
 COMBINED = "chain string, segs array<struct<road_id:long,from:int,to:int>>, d array<double>, elev array<double>, lat array<double>, lon array<double>, src array<struct<road_id:long,k:int>>"
 
 
-def combine_steps(chain_rows: DataFrame, samples: DataFrame) -> DataFrame:
+def combine_steps(chain_rows: DataFrame, samples: DataFrame, area: Sequence[str] = ()) -> DataFrame:
     """Chains with their joined profile: distances between successive samples anew, elevations, and where each is from."""
-    c = chain_rows.select(F.to_json("segs").alias("chain"), "segs").select("chain", "segs", F.posexplode("segs").alias("part", "s"))
-    rows = c.select("chain", "segs", "part", "s.*").join(samples.select("road_id", "k", "lat", "lon", "elev"), "road_id")
+    c = chain_rows.select(*area, F.to_json("segs").alias("chain"), "segs").select(*area, "chain", "segs", F.posexplode("segs").alias("part", "s"))
+    rows = c.select(*area, "chain", "segs", "part", "s.*").join(samples.select(*area, "road_id", "k", "lat", "lon", "elev"), [*area, "road_id"])
     rows = rows.filter(F.col("k").between(F.least("from", "to"), F.greatest("from", "to")))
     order = F.when(F.col("from") <= F.col("to"), F.col("k")).otherwise(-F.col("k"))
-    got = rows.groupBy("chain").agg(F.first("segs").alias("segs"), F.array_sort(F.collect_list(F.struct("part", order.alias("o"), "road_id", "k", "lat", "lon", "elev"))).alias("p"))
+    got = rows.groupBy(*area, "chain").agg(F.first("segs").alias("segs"), F.array_sort(F.collect_list(F.struct("part", order.alias("o"), "road_id", "k", "lat", "lon", "elev"))).alias("p"))
+    names = [*area, "chain", "segs", "d", "elev", "lat", "lon", "src"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,23 +152,26 @@ def combine_steps(chain_rows: DataFrame, samples: DataFrame) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 p = row.p
                 d = np.cumsum([0.0, *(distance((a["lat"], a["lon"]), (b["lat"], b["lon"])) for a, b in zip(p, p[1:], strict=False))])
-                out.append((row.chain, row.segs, d, [x["elev"] for x in p], [x["lat"] for x in p], [x["lon"] for x in p], [{"road_id": x["road_id"], "k": x["k"]} for x in p]))
-            yield pd.DataFrame(out, columns=["chain", "segs", "d", "elev", "lat", "lon", "src"])
+                out.append((*[getattr(row, c) for c in area], row.chain, row.segs, d, [x["elev"] for x in p], [x["lat"] for x in p], [x["lon"] for x in p], [{"road_id": x["road_id"], "k": x["k"]} for x in p]))
+            yield pd.DataFrame(out, columns=names)
 
-    return got.mapInPandas(run, COMBINED)
+    return got.mapInPandas(run, _area_schema(samples, area) + COMBINED)
 
 
-INCLINE = "seq string, road_id long, name string, unnamed boolean, head long, i int, j int, span double, gain double, grade double, segs array<struct<road_id:long,from:int,to:int>>, lat_min double, lat_max double, lon_min double, lon_max double, start struct<lat:double,lon:double,elev:double>, end struct<lat:double,lon:double,elev:double>"
+INCLINE = "seq string, road_id long, i int, j int, span double, gain double, grade double, segs array<struct<road_id:long,from:int,to:int>>, lat_min double, lat_max double, lon_min double, lon_max double, start struct<lat:double,lon:double,elev:double>, end struct<lat:double,lon:double,elev:double>"
 
 
-def longest_incline_paths(samples: DataFrame, names: DataFrame, min_span: float, max_roads: int = 1) -> DataFrame:
-    """Long inclines over up to max_roads connected roads, without those that overlap a longer one.
+def longest_incline_paths(samples: DataFrame, names: DataFrame, min_span: float, max_roads: int = 1, area: Sequence[str] = ()) -> DataFrame:
+    """Long inclines over up to max_roads connected roads, without those that overlap a longer one or, on another road of
+    the same name, lie in the same place. Each place (area) is searched by itself.
 
-    samples: (road_id, k, lat, lon, elev); names: (road_id, name, unnamed). Start is the lower end.
+    samples: (area, road_id, k, lat, lon, elev); names: (area, road_id, name, unnamed). road_id and name are those of the
+    first road; names has those of all roads in order, joined by " + ", n_roads their number. Start is the lower end.
     """
-    roads = samples.groupBy("road_id").agg(F.count("*").cast("int").alias("n"))
-    junctions = endpoint_junctions(samples) if max_roads > 1 else None
-    combined = combine_steps(chains(roads, junctions, max_roads), samples)
+    roads = samples.groupBy(*area, "road_id").agg(F.count("*").cast("int").alias("n"))
+    junctions = checkpointed(endpoint_junctions(samples, area)) if max_roads > 1 else None
+    combined = combine_steps(chains(roads, junctions, max_roads, area), samples, area)
+    columns = [*area, *(f.split()[0] for f in re.sub("<.*?>+", "", INCLINE).split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,20 +187,40 @@ def longest_incline_paths(samples: DataFrame, names: DataFrame, min_span: float,
                     la, lo = np.asarray(row.lat[i : j + 1]), np.asarray(row.lon[i : j + 1])
                     a, b = (i, j) if e[i] <= e[j] else (j, i)
                     pt = lambda k: {"lat": row.lat[k], "lon": row.lon[k], "elev": float(e[k])}  # noqa: E731, B023
-                    head = segs[0]["road_id"]
-                    out.append((f"{row.chain}#{n:03d}", head, None, None, head, i, j, span, gain, grade, segs, la.min() - BOX_PAD, la.max() + BOX_PAD, lo.min() - BOX_PAD, lo.max() + BOX_PAD, pt(a), pt(b)))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in "seq,road_id,name,unnamed,head,i,j,span,gain,grade,segs,lat_min,lat_max,lon_min,lon_max,start,end".split(",")])
-
-    found = combined.mapInPandas(run, INCLINE).drop("name", "unnamed").join(names.select("road_id", "name", "unnamed"), "road_id")
-    cols = ["seq", "name", "unnamed", "head", "i", "j", "span", "gain", "grade", "segs", "lat_min", "lat_max", "lon_min", "lon_max", "start", "end"]
-    found = checkpointed(found.select(*cols))
-    # conflicts stay within a component of inclines that share a road or a name, so each is judged on its own
-    on = found.select("seq", F.explode("segs.road_id").alias("r")).select(F.xxhash64("seq").alias("a"), F.xxhash64(F.lit("road"), "r").alias("b"))
-    by_name = found.filter("not unnamed").select(F.xxhash64("seq").alias("a"), F.xxhash64(F.lit("name"), "name").alias("b"))
-    comp = connected(on.union(by_name))
-    return found.join(comp, F.xxhash64("seq") == comp.node).drop("node").groupBy("component").applyInPandas(lambda pdf: dedupe_inclines(pdf)[cols], found.schema)
-
-
-def incline_virtual_road(inclines: DataFrame) -> DataFrame:
-    """(road_id, name, span, grade): an incline as a road of its own, its id the start at five decimals."""
-    return inclines.select(F.format_string("incline:%.5f,%.5f", F.col("start.lat"), F.col("start.lon")).alias("road_id"), "name", "span", "gain", "grade", "segs")
+                    where = [getattr(row, c) for c in area]
+                    out.append((*where, f"{row.chain}#{n:03d}", segs[0]["road_id"], i, j, span, gain, grade, segs, la.min() - BOX_PAD, la.max() + BOX_PAD, lo.min() - BOX_PAD, lo.max() + BOX_PAD, pt(a), pt(b)))
+            yield pd.DataFrame(out, columns=columns)
+
+    found = combined.mapInPandas(run, _area_schema(samples, area) + INCLINE)
+    # chains that go on and chains walked backwards find an incline again: one of each stays
+    slices = F.array_sort(F.transform("segs", lambda s: F.struct(s["road_id"].alias("road_id"), F.least(s["from"], s["to"]).alias("low"), F.greatest(s["from"], s["to"]).alias("high"))))
+    found = found.groupBy(*area, slices.alias("slices")).agg(F.min_by(F.struct(*[c for c in columns if c not in area]), F.struct(-F.col("span"), "seq")).alias("x")).select(*area, "slices", "x.*")
+    found = checkpointed(found.join(names.select(*area, "road_id", "name", "unnamed"), [*area, "road_id"]).withColumn("id", F.xxhash64(*area, "seq")))
+    kept = found.join(losers(_incline_conflicts(found, area)), "id", "left_anti")
+    named = kept.select("id", *area, F.posexplode("segs").alias("at", "s")).select("id", *area, "at", F.col("s.road_id").alias("road_id")).join(names.select(*area, "road_id", F.col("name").alias("one")), [*area, "road_id"])
+    joined = named.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "road_id", "one"))).alias("l")).select(
+        "id", F.array_join(F.array_distinct("l.one"), " + ").alias("names"), F.size(F.array_distinct("l.road_id")).alias("n_roads")
+    )
+    return kept.join(joined, "id").drop("id", "slices")
+
+
+def _incline_conflicts(found: DataFrame, area: Sequence[str]) -> DataFrame:
+    """(better, worse): both lie on one piece of road, or on different roads of one name in one place."""
+    better = lambda x, y: (F.col(f"span_{x}") > F.col(f"span_{y}")) | ((F.col(f"span_{x}") == F.col(f"span_{y}")) & (F.col(f"seq_{x}") < F.col(f"seq_{y}")))
+    part = found.select(*area, "id", "span", "seq", F.explode("slices").alias("s")).select(*area, "id", "span", "seq", "s.*")
+    x, y = (part.select(*area, "road_id", *[F.col(c).alias(f"{c}_{t}") for c in ("id", "span", "seq", "low", "high")]) for t in "xy")
+    over = F.greatest("low_x", "low_y") < F.least("high_x", "high_y")
+    on_road = x.join(y, [*area, "road_id"]).filter(better("x", "y") & over).select(F.col("id_x").alias("better"), F.col("id_y").alias("worse"))
+    named = found.filter("not unnamed").select(*area, "id", "span", "seq", "name", "road_id", "lat_min", "lat_max", "lon_min", "lon_max")
+    return on_road.union(same_name_conflicts(named, area, better))
+
+
+def incline_virtual_road(inclines: DataFrame, area: Sequence[str] = ()) -> DataFrame:
+    """(area, road_id, name, n_roads, span, gain, grade, segs): an incline as a road of its own, its id the start at five
+    decimals, its name those of its roads."""
+    return inclines.select(*area, F.format_string("incline:%.5f,%.5f", F.col("start.lat"), F.col("start.lon")).alias("road_id"), F.col("names").alias("name"), "n_roads", "span", "gain", "grade", "segs")
+
+
+def with_virtual_roads(roads: DataFrame, virtual: DataFrame) -> DataFrame:
+    """Ranked roads and the virtual roads of inclines in one table; what one side lacks is null. road_id becomes text."""
+    return roads.withColumn("road_id", F.col("road_id").cast("string")).unionByName(virtual, allowMissingColumns=True)

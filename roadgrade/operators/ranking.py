@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,22 +156,16 @@ def climb_of_stretch(stretches: DataFrame, climbs: DataFrame, keys: Sequence[str
 def dedupe_same_hill(entries: DataFrame, area: Sequence[str] = (), order: Sequence[str] = ("rank_key",)) -> DataFrame:
     """Best-first (least of ``order``) without those whose padded box meets that of a kept entry of another road of the same name.
 
-    Needs road_id, name, unnamed and the box columns. Only rows of one name in one area ever meet; unnamed roads pass by.
+    Needs road_id, name, unnamed and the box columns. Conflicts are found on a grid and worked off in rounds
+    (``graph.losers``), so no name is gathered in one task; unnamed roads pass by.
     """
+    from .graph import checkpointed, losers, same_name_conflicts
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        box = pdf[["lat_min", "lat_max", "lon_min", "lon_max"]].to_numpy()
-        road, kept = pdf["road_id"].to_numpy(), []
-        for k in range(len(pdf)):
-            o = np.array(kept, int)
-            hit = (road[o] != road[k]) & (box[o, 0] <= box[k, 1]) & (box[k, 0] <= box[o, 1]) & (box[o, 2] <= box[k, 3]) & (box[k, 2] <= box[o, 3])
-            if not hit.any():
-                kept.append(k)
-        return pdf.iloc[kept]
-
-    named = entries.filter("not unnamed").groupBy(*area, "name").applyInPandas(greedy, entries.schema)
-    return named.unionByName(entries.filter("unnamed"))
+    box = ("lat_min", "lat_max", "lon_min", "lon_max")
+    rows = checkpointed(entries.withColumn("id", F.monotonically_increasing_id()))
+    items = rows.filter("not unnamed").select(*area, "id", "name", "road_id", *box, F.struct(*[c for c in order], F.col("id").alias("_id")).alias("order"))
+    lost = losers(same_name_conflicts(items, area, lambda x, y: F.col(f"order_{x}") < F.col(f"order_{y}")))
+    return rows.join(lost, "id", "left_anti").select(entries.columns)
 
 
 def rank_stretches(entries: DataFrame, n: int, area: str = "area_id") -> DataFrame:
@@ -233,33 +226,6 @@ def extend_shoulders(value: DataFrame, stretches: DataFrame, keys: Sequence[str]
     return g.select(*keys, "n", F.least(F.coalesce("lo", "first", "i"), F.col("i")).alias("i"), F.greatest(F.coalesce("hi", "last", "j"), F.col("j")).alias("j"))
 
 
-def dedupe_inclines(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best-first by span: an incline goes if it shares a piece of road with a kept one, or if both are named alike and
-    lie on different roads with meeting boxes. For one area's metadata rows (no samples)."""
-    pdf = pdf.sort_values(["span", "seq"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    rows, kept = pdf.to_dict("records"), []
-    by_road: dict[int, list[int]] = {}
-    by_name: dict[str, list[int]] = {}
-
-    def conflict(x: dict, y: dict) -> bool:
-        for s in x["segs"]:
-            for t in y["segs"]:
-                if s["road_id"] == t["road_id"] and max(min(s["from"], s["to"]), min(t["from"], t["to"])) < min(max(s["from"], s["to"]), max(t["from"], t["to"])):
-                    return True
-        same = not x["unnamed"] and not y["unnamed"] and x["name"] == y["name"] and x["head"] != y["head"]
-        return same and x["lat_min"] <= y["lat_max"] and y["lat_min"] <= x["lat_max"] and x["lon_min"] <= y["lon_max"] and y["lon_min"] <= x["lon_max"]
-
-    for k, x in enumerate(rows):  # only kept ones on the same roads or of the same name can be in conflict
-        near = {o for s in x["segs"] for o in by_road.get(s["road_id"], ())}
-        near |= set() if x["unnamed"] else set(by_name.get(x["name"], ()))
-        if not any(conflict(x, rows[o]) for o in near):
-            kept.append(k)
-            for s in x["segs"]:
-                by_road.setdefault(s["road_id"], []).append(k)
-            by_name.setdefault(x["name"], []).append(k)
-    return pdf.iloc[kept]
-
-
 def bar_fraction(ranked: DataFrame, value: str, area: str = "area_id") -> DataFrame:
     """Adds frac: value over the area's top value, two hundredths at least."""
     w = W.partitionBy(area).orderBy("rank")

@@ -67,27 +67,46 @@ def resample_profile(spark, sf):
     return rounded(rounded(profile.resample(view(spark, sf, "v_way_pts")).drop("b"), 3, "d"), 9, "lat", "lon")
 
 
-DECK = f"""{P}, nb as (select *, last_value(case when not b then k end ignore nulls) over (partition by road_id order by k rows between unbounded preceding and current row) as pk,
+def deck_sql(of: str) -> str:
+    """Table dk: of a table of samples, with the elevations of decks."""
+    return f"""nb as (select *, last_value(case when not b then k end ignore nulls) over (partition by road_id order by k rows between unbounded preceding and current row) as pk,
   first_value(case when not b then k end ignore nulls) over (partition by road_id order by k rows between current row and unbounded following) as qk,
-  min(k) over (partition by road_id) as ak, max(k) over (partition by road_id) as zk from v_profile),
- ft as (select nb.*, coalesce(pk, case when qk is null then ak end) as lk, coalesce(qk, case when pk is null then zk end) as hk from nb)
- select f.road_id, f.k, round(case when not f.b then f.elev when l.k is null then h.elev when h.k is null then l.elev when h.d = l.d then l.elev
-   else l.elev + (h.elev-l.elev)*((f.d-l.d)/(h.d-l.d)) end, 6) as deck
- from ft f left join v_profile l on l.road_id = f.road_id and l.k = f.lk left join v_profile h on h.road_id = f.road_id and h.k = f.hk"""
+  min(k) over (partition by road_id) as ak, max(k) over (partition by road_id) as zk from {of}),
+ ft as (select nb.*, coalesce(pk, case when qk is null then ak end) as lk, coalesce(qk, case when pk is null then zk end) as hk from nb),
+ dk as (select f.road_id, f.k, f.d, case when not f.b then f.elev when l.k is null then h.elev when h.k is null then l.elev when h.d = l.d then l.elev
+   else l.elev + (h.elev-l.elev)*((f.d-l.d)/(h.d-l.d)) end as elev
+ from ft f left join {of} l on l.road_id = f.road_id and l.k = f.lk left join {of} h on h.road_id = f.road_id and h.k = f.hk)"""
 
 
-@query(DECK)
+def repair_sql(of: str) -> str:
+    """Table fx: of a table of samples, after repair. jp: jumps; cl: which ones the next jump undoes; wk: those that are
+    looked at, one after the other, without the returns that are used up; ri: rises after repair."""
+    return f"""sg as (select road_id, k, d, elev, lead(d) over w as d2, lead(elev) over w as e2 from {of} window w as (partition by road_id order by k)),
+ jp as (select *, row_number() over (partition by road_id order by k) as r from sg where abs(e2 - elev) > 0.6e0*(d2 - d)),
+ cl as (select a.road_id, a.r, a.k, b.k as jk, a.d, a.elev, b.d2 as jd, b.e2 as je, coalesce(b.d2 - a.d <= 250e0 and abs(b.e2 - a.elev) <= 0.6e0*(b.d2 - a.d), false) as closes
+   from jp a left join jp b on b.road_id = a.road_id and b.r = a.r + 1),
+ wk as (select * from cl where r = 1 union all select c.* from wk w join cl c on c.road_id = w.road_id and c.r = w.r + case when w.closes then 2 else 1 end),
+ ri as (select s.road_id, s.k, s.d, s.elev, case when b.k is not null then (b.je - b.elev)*(s.d2 - s.d)/(b.jd - b.d)
+     when c.k is not null then sign(s.e2 - s.elev)*0.6e0*(s.d2 - s.d) else s.e2 - s.elev end as rise
+   from sg s left join wk b on b.closes and b.road_id = s.road_id and s.k between b.k and b.jk left join wk c on not c.closes and c.road_id = s.road_id and c.k = s.k),
+ fx as (select road_id, k, d, first_value(elev) over (partition by road_id order by k) + coalesce(sum(rise) over (partition by road_id order by k rows between unbounded preceding and 1 preceding), 0) as elev from ri)"""
+
+
+ROUGH = ctes("v_rough").replace("with ", "with recursive ", 1)
+
+
+@query(f"{P}, {deck_sql('v_profile')} select road_id, k, round(elev, 6) as deck from dk")
 def deck_fill(spark, sf):
     return rounded(profile.deck_elevations(prof(spark, sf)).select("road_id", "k", "deck"), 6, "deck")
 
 
-@query()
+@query(f"{ROUGH}, {repair_sql('v_rough')} select road_id, k, d, round(elev, 6) as elev from fx")
 def despike(spark, sf):
     rough = profile.to_arrays(view(spark, sf, "v_rough"), columns=("d", "elev"))
     return rounded(profile.despike(rough), 6, "elev")
 
 
-@query()
+@query(f"{ROUGH}, {deck_sql('v_rough')}, {repair_sql('dk')} select road_id, k, d, round(elev, 6) as elev from fx")
 def analyzed(spark, sf):
     return rounded(profile.analyze(view(spark, sf, "v_rough")), 6, "elev")
 
@@ -190,7 +209,11 @@ def underpass_cuts(spark, sf):
     return rounded(cuts, 3, "cut")
 
 
-@query()
+@query(
+    f"""{CROSS}, {RESAMPLE[len(CUM) + 2 :]}, cuts as (select distinct way_id, d + t*(d2-d) as cut from tu where t > 1e-6 and t < 1 - 1e-6 and u > 1e-6 and u < 1 - 1e-6),
+ near as (select distinct r.way_id, r.k from res r join cuts c on c.way_id = r.way_id and abs(r.d - c.cut) <= 40e0)
+ select r.way_id, count(*) as n, count(case when rk.b or n.k is not null then 1 end) as n_flagged from res r join rk on rk.way_id = r.way_id left join near n on n.way_id = r.way_id and n.k = r.k group by r.way_id"""
+)
 def marked_underpasses(spark, sf):
     pts = road_points(spark, sf)
     cuts = ways.underpass_cuts(pts, deck_points(spark, sf), ("way_id",), ("area_id",))

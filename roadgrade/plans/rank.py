@@ -228,8 +228,8 @@ def ranked_climbs(spark, sf):
 def incline_paths(spark, sf):
     """Inclines over single roads; the search over connected roads is a parameter."""
     p = placed(spark, sf)
-    found = graph.longest_incline_paths(p, p.filter("k = 0").select("road_id", "name", "unnamed"), SPAN, 1)
-    return rounded(found.select(F.col("head").alias("road_id"), "i", "j", "span", "gain", "grade"), 6, "span", "gain", "grade")
+    found = graph.longest_incline_paths(p, p.filter("k = 0").select("area_id", "road_id", "name", "unnamed"), SPAN, 1, ("area_id",))
+    return rounded(found.select("road_id", "i", "j", "span", "gain", "grade"), 6, "span", "gain", "grade")
 
 
 @query(

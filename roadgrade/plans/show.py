@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import graph, paint, profile, ranking
-from ..params import clean_params
+from ..params import RAMPS, clean_params
 from ..sources import store
 from .build import CUM, HAV, PTS, RESAMPLE
-from .rank import BEST, EXT, VALUE, WIN, WINDOW, arrays, extents, placed, prof, rounded, warm_runs
+from .rank import BEST, EXT, P, VALUE, WIN, WINDOW, arrays, extents, placed, prof, rounded, warm_runs
 from .views import ctes, sql, view
 
 QUERIES: dict = {}
@@ -25,13 +25,13 @@ def query(text_: str | None = None):
 
 
 @query(
-    f"""{PTS}, ex as (select way_id, max(i) as last from v_way_pts group by way_id)
+    f"""{PTS}
  select p.way_id, 0 as n, round(min(lat) - 0.0005e0, 6) as lat_min, round(max(lat) + 0.0005e0, 6) as lat_max, round(min(lon) - 0.0005e0, 6) as lon_min, round(max(lon) + 0.0005e0, 6) as lon_max
- from v_way_pts p join ex on ex.way_id = p.way_id where p.i between 0 and least(2, ex.last) group by p.way_id"""
+ from v_way_pts p group by p.way_id"""
 )
 def bbox(spark, sf):
     p = view(spark, sf, "v_way_pts").withColumnRenamed("i", "k")
-    ext = p.filter("k = 0").select("way_id", F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(2).alias("j"))
+    ext = p.groupBy("way_id").agg(F.lit(0).alias("n"), F.min("k").alias("i"), F.max("k").alias("j"))
     return rounded(ranking.bbox(p, ext, ("way_id",)), 6, "lat_min", "lat_max", "lon_min", "lon_max")
 
 
@@ -232,7 +232,16 @@ def view_heading(spark, sf):
     return p.select("way_id", "i", F.round(h, 3).alias("heading"))
 
 
-@query()
+LAID = "laid as (select road_id, k, d, elev, cast(floor(road_id/10) as bigint) as area_id, 35 + floor(road_id/10)*0.1e0 + (road_id % 10)*0.0004e0 as lat, -82 + d/91000.0e0 as lon, printf('Road %d', cast(floor(road_id/3) as bigint)) as name, road_id % 10 = 9 as unnamed from v_profile)"
+BEARING = "degrees(atan2(sin(radians({b}lon-{a}lon))*cos(radians({b}lat)), cos(radians({a}lat))*sin(radians({b}lat))-sin(radians({a}lat))*cos(radians({b}lat))*cos(radians({b}lon-{a}lon))))"
+
+
+@query(
+    f"""{P}, {LAID}, nx as (select *, lead(lat) over w as lat2, lead(lon) over w as lon2, lead(elev) over w as e2 from laid window w as (partition by road_id order by k)),
+ fr as (select *, case when e2 >= elev then lat else lat2 end as a_lat, case when e2 >= elev then lon else lon2 end as a_lon, case when e2 >= elev then lat2 else lat end as b_lat, case when e2 >= elev then lon2 else lon end as b_lon from nx where lat2 is not null),
+ an as (select *, {BEARING.format(a='a_', b='b_')} as h, degrees(atan2(abs(e2-elev), {HAV.format(a='x', b='y').replace('x.', 'a_').replace('y.', 'b_')})) as pitch from fr)
+ select road_id, k, printf('https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=%.6f,%.6f&heading=%.1f&pitch=%.1f', a_lat, a_lon, round(case when h < 0 then h + 360 else h end, 1), round(pitch, 1)) as url from an"""
+)
 def street_views(spark, sf):
     from pyspark.sql import Window as W
 
@@ -242,13 +251,32 @@ def street_views(spark, sf):
     return p.select("road_id", "k", text.street_view_url(a).alias("url"))
 
 
-@query()
+def color_sql(g: str, ramp: str, theme: str) -> str:
+    """rgb() of a grade column g: Oklab between the ramp's three colours, and back through linear light."""
+    low, mid, high = (text._oklab(c) for c in RAMPS[ramp, theme])
+    x = f"least(greatest({g}, 0.03e0), 0.25e0)"
+    lab = [f"(case when {x} <= 0.12e0 then {a!r} + ({x} - 0.03e0)/(0.12e0 - 0.03e0)*({b!r} - {a!r}) else {b!r} + ({x} - 0.12e0)/(0.25e0 - 0.12e0)*({c!r} - {b!r}) end)" for a, b, c in zip(low, mid, high, strict=True)]
+    cone = [f"pow({lab[0]} + {a}*{lab[1]} + {b}*{lab[2]}, 3)" for a, b in (("0.3963377774e0", "0.2158037573e0"), ("-0.1055613458e0", "-0.0638541728e0"), ("-0.0894841775e0", "-1.2914855480e0"))]
+    rows = (("4.0767416621e0", "-3.3077115913e0", "0.2309699292e0"), ("-1.2684380046e0", "2.6097574011e0", "-0.3413193965e0"), ("-0.0041960863e0", "-0.7034186147e0", "1.7076147010e0"))
+    light = ["greatest(" + " + ".join(f"{a}*{c}" for a, c in zip(r, cone, strict=True)) + ", 0)" for r in rows]
+    shown = [f"cast(floor(least(case when {v} <= 0.0031308e0 then 12.92e0*{v} else 1.055e0*pow({v}, 1/2.4e0) - 0.055e0 end, 1)*255 + 0.5e0) as int)" for v in light]
+    return f"printf('rgb(%d,%d,%d)', {', '.join(shown)})"
+
+
+SEGMENTS = "sg as (select road_id, k, (elev2-elev)/(d2-d) as g from (select *, lead(d) over w as d2, lead(elev) over w as elev2 from v_profile window w as (partition by road_id order by k)) t where d2 is not null)"
+
+
+@query(f"{P}, {SEGMENTS} select road_id, k, {color_sql('abs(g)', 'red', 'light')} as light, {color_sql('abs(g)', 'indigo', 'dark')} as dark from sg")
 def grade_colors(spark, sf):
     g = profile.segments(prof(spark, sf))
     return g.select("road_id", "k", text.grade_color(F.abs("grade")).alias("light"), text.grade_color(F.abs("grade"), "indigo", "dark").alias("dark"))
 
 
-@query()
+@query(
+    f"""{WIN}, v as (select p.road_id, cast(floor(p.road_id/10) as bigint) as area_id, max(grade) as value from (select distinct road_id from v_profile) p left join win w on w.road_id = p.road_id group by p.road_id),
+ l as (select * from (select area_id, road_id, row_number() over (partition by area_id order by value desc, road_id) as rank from v where value is not null) t where rank <= 5)
+ select v.area_id, v.road_id, l.rank, row_number() over (partition by v.area_id order by l.rank desc nulls first, v.road_id) as z_order from v left join l on l.road_id = v.road_id"""
+)
 def draw_order(spark, sf):
     value = ranking.sustained_grade(placed(spark, sf), WINDOW, ("area_id", "road_id"))
     listed = ranking.top_by_area(value.filter("value is not null"), 5, F.desc("value"), F.col("road_id")).select("area_id", "road_id", "rank")
@@ -271,9 +299,8 @@ def clean_settings(spark, sf):
 @query()
 def incline_networks(spark, sf):
     """Inclines over up to two connected roads, on ways given elevations by a rule."""
-    s = view(spark, sf, "v_way_pts").select(F.col("way_id").alias("road_id"), F.col("i").alias("k"), "lat", "lon")
+    s = view(spark, sf, "v_way_pts").select("area_id", F.col("way_id").alias("road_id"), F.col("i").alias("k"), "lat", "lon")
     s = s.withColumn("elev", (F.col("lat") % 0.03) * 5000 + (F.col("lon") % 0.03) * 3000)
-    names = s.filter("k = 0").select("road_id", F.format_string("Way %d", F.col("road_id")).alias("name"), F.lit(False).alias("unnamed"))
-    found = graph.longest_incline_paths(s, names, 300.0, 2)
-    out = graph.incline_virtual_road(found)
-    return rounded(out.select("road_id", F.size("segs").alias("roads"), "span", "gain", "grade"), 3, "span", "gain", "grade")
+    names = s.filter("k = 0").select("area_id", "road_id", F.format_string("Way %d", F.col("road_id")).alias("name"), F.lit(False).alias("unnamed"))
+    out = graph.incline_virtual_road(graph.longest_incline_paths(s, names, 300.0, 2, ("area_id",)), ("area_id",))
+    return rounded(out.select("area_id", "road_id", "name", "n_roads", "span", "gain", "grade"), 3, "span", "gain", "grade")
