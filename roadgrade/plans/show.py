@@ -10,7 +10,7 @@ from ..operators import graph, paint, profile, ranking
 from ..params import RAMPS, clean_params
 from ..sources import store
 from .build import CUM, HAV, PTS, RESAMPLE
-from .rank import BEST, EXT, P, VALUE, WIN, WINDOW, arrays, extents, placed, prof, rounded, warm_runs
+from .rank import BEST, EXT, LAID, P, VALUE, WIN, WINDOW, arrays, extents, placed, prof, rounded, warm_runs
 from .views import ctes, sql, view
 
 QUERIES: dict = {}
@@ -232,7 +232,6 @@ def view_heading(spark, sf):
     return p.select("way_id", "i", F.round(h, 3).alias("heading"))
 
 
-LAID = "laid as (select road_id, k, d, elev, cast(floor(road_id/10) as bigint) as area_id, 35 + floor(road_id/10)*0.1e0 + (road_id % 10)*0.0004e0 as lat, -82 + d/91000.0e0 as lon, printf('Road %d', cast(floor(road_id/3) as bigint)) as name, road_id % 10 = 9 as unnamed from v_profile)"
 BEARING = "degrees(atan2(sin(radians({b}lon-{a}lon))*cos(radians({b}lat)), cos(radians({a}lat))*sin(radians({b}lat))-sin(radians({a}lat))*cos(radians({b}lat))*cos(radians({b}lon-{a}lon))))"
 
 
