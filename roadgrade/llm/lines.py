@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import FEW, cut, let, numbered, per_text
+from .common import cut, let, numbered, per_text
 
 #: Levels of leading tokens below the number of tokens; one more in lines of MANY tokens and more.
 LEADING, MANY = 2, 8
@@ -104,8 +104,7 @@ def templates(rows: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> Da
     kept = cut(_tokens(rows, wanted))
     placed = kept.select("leaf", "whole", "docs", "all_docs", F.posexplode("tokens").alias("place", "token"))
     # (document, line) pairs that have the token at its place in the leaf
-    often = cut(placed.filter("token <> 0").groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs))
-    often = F.broadcast(often) if often.count() <= FEW else often
+    often = placed.filter("token <> 0").groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs)
     seen = placed.join(often, ["leaf", "place", "token"], "left").groupBy("leaf", "whole").agg(
         F.max("all_docs").alias("all_docs"), F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("n", F.lit(0)).alias("n")))).alias("tokens")
     )

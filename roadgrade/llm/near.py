@@ -3,9 +3,8 @@
 Equal shingle sets are one from the start. Each set has a SimHash of its shingles; sets are candidates if a binary trie
 self-join finds their fingerprints within RADIUS bits. At similarity 0.8 fingerprints of 64 bits differ in about 10 bits
 and hardly ever in over 22 (7 of 10,000 pairs in the worst simulated case, sets of five shingles): too many for tries
-dealt by blocks of bits, so tries are dealt by a prefix filter, which loses none: with shingles in one fixed order, two
-sets of that similarity share one of the first fifth of their shingles. Shingles that are common in a sample come last in
-the order. Candidates are verified by a bound from their prefixes and then by their whole sets.
+dealt by blocks of bits, so tries are dealt by BANDS bands of WIDE MinHashes, of which sets of that similarity share one
+with probability 0.9998. Candidates are verified by their whole sets.
 """
 
 from __future__ import annotations
@@ -15,22 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, numbered, per_text, picked
-from .shingle import Hasher, grams
+from .shingle import Hasher, grams, mix
 from .simhash import majority, near_pairs
 
 #: Least similarity, as a fraction in whole numbers.
 SHINGLE, OVER, UNDER = 5, 4, 5
 RADIUS = 22
-#: The order of shingles is taken from about so many documents; it changes the work only, not the result.
-SAMPLE, COMMON, MOST = 4000, 6, 200_000
-#: Sets of a block of a shingle that many share.
+BANDS, WIDE = 12, 3
+#: Sets of a block of a band value that many share.
 GROUP = 1000
+_FACTORS = mix(np.arange(1, 1 + BANDS * WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _sets(docs: DataFrame, common: np.ndarray, whole: bool, also: tuple[str, ...] = ()) -> DataFrame:
-    """row, set_id (hash of the distinct shingles), n (how many), fp (their SimHash), part: all of them, or those of the prefix.
+def _sets(docs: DataFrame, whole: bool, also: tuple[str, ...] = ()) -> DataFrame:
+    """row, set_id (hash of the distinct shingles), n (how many), and part, all of them; or fp (their SimHash) and bands.
 
-    A text of fewer than five words is one shingle; one without a word has none. fp is left out with whole.
+    A text of fewer than five words is one shingle; one without a word has none, and no bands.
     """
 
     def make():
@@ -38,42 +37,28 @@ def _sets(docs: DataFrame, common: np.ndarray, whole: bool, also: tuple[str, ...
 
         hash_words = Hasher()
 
-        def ordered(h: np.ndarray) -> np.ndarray:
-            """The hashes with the first bit set for common shingles, so that these come last."""
-            h = h >> np.uint64(1)
-            if len(common):
-                h |= (common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h).astype(np.uint64) << np.uint64(63)
-            return h
-
         def f(ids: list, texts: list) -> dict:
             words, edge, _ = hash_words(texts)
-            plain = grams(words, SHINGLE)
-            h5 = ordered(plain)
-            key, n, fp, part = [], [], [], []
-            for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                raw = plain[a : b - SHINGLE + 1] if b - a >= SHINGLE else grams(words[a:b], b - a) if b > a else words[:0]
-                h, first = np.unique(h5[a : b - SHINGLE + 1] if b - a >= SHINGLE else ordered(raw), return_index=True)
-                key.append(xxhash.xxh64_intdigest(h.tobytes()))
-                n.append(len(h))
-                if not whole:
-                    fp.append(majority(raw[first]))
-                part.append((h if whole else h[: len(h) + OVER * len(h) // -UNDER + 1 if len(h) else 0]).view(np.int64))
-            out = {"row": ids, "set_id": np.array(key, np.uint64).view(np.int64), "n": np.array(n, np.int32), "part": part}
-            return out if whole else out | {"fp": np.array(fp, np.uint64).view(np.int64)}
+            h5 = grams(words, SHINGLE)
+            sets = [np.unique(h5[a : b - SHINGLE + 1] if b - a >= SHINGLE else grams(words[a:b], b - a) if b > a else words[:0]) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+            n = np.array([len(h) for h in sets], np.int32)
+            out = {"row": ids, "set_id": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64), "n": n}
+            if whole:
+                return out | {"part": [h.view(np.int64) for h in sets]}
+            bands: list = [[]] * len(sets)
+            some = np.flatnonzero(n)
+            if len(some):
+                flat, start = np.concatenate(sets), np.cumsum(n[some]) - n[some]
+                least = [np.minimum.reduceat(flat * a, start) for a in _FACTORS]
+                keys = np.stack([mix(sum((mix(least[WIDE * j + r] + np.uint64(r)) for r in range(WIDE)), np.uint64(j))) for j in range(BANDS)], axis=1).view(np.int64)
+                for k, row in zip(some.tolist(), keys, strict=True):
+                    bands[k] = row
+            return out | {"fp": np.array([majority(h) for h in sets], np.uint64).view(np.int64), "bands": bands}
 
         return f
 
     more = "".join(f", {docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in also)
-    return per_text(docs, make, f"row long, set_id long, n int, part array<long>{'' if whole else ', fp long'}{more}", "row", "text", also)
-
-
-def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles that stand in COMMON documents or more of the sample, the MOST commonest, sorted."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0)
-    found = _sets(some, np.zeros(0, np.uint64), True).select(F.explode("part").alias("key")).groupBy("key").count()
-    rows = found.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST).select("key").collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+    return per_text(docs, make, f"row long, set_id long, n int, {'part array<long>' if whole else 'fp long, bands array<long>'}{more}", "row", "text", also)
 
 
 def _alike(n1, n2):
@@ -84,34 +69,24 @@ def _alike(n1, n2):
 def _groups(docs: DataFrame, group: int) -> DataFrame:
     """(row, doc_id, text) -> row, doc_id, first: (no_id, doc_id, row) of the least document reachable over pairs of
     similarity 0.8 and more; those without doc_id come last, equal ones in the order of rows."""
-    common = _common(docs)
-    all_ = cut(_sets(docs, common, False, ("doc_id",)))
+    all_ = cut(_sets(docs, False, ("doc_id",)))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    sets = cut(all_.groupBy("set_id").agg(order.alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("part").alias("part")))
+    sets = cut(all_.groupBy("set_id").agg(order.alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those (a, b) that are similar: by a bound from their prefixes, then by their whole sets."""
+        """Those (a, b) that are similar, by their whole sets."""
         pairs = cut(pairs.distinct())
-        each = lambda p: cut(p.select(F.col("a").alias("set_id")).union(p.select("b")).distinct())
-        some = picked(sets.select("set_id", "n", "part"), each(pairs), "set_id", "left_semi")
-        both = pairs.join(some.toDF("a", "na", "pa"), "a").join(some.toDF("b", "nb", "pb"), "b")
-        # up to the end of the prefix that ends first, prefixes have all that the sets share; beyond it, the set's rest is a bound
-        last = lambda p: F.element_at(p, -1).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-        most = F.size(F.array_intersect("pa", "pb")) + F.when(last("pa") <= last("pb"), F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
-        pairs = cut(both.filter((OVER + UNDER) * most >= OVER * (F.col("na") + F.col("nb"))).select("a", "b"))
-
-        def whole(ids: DataFrame) -> DataFrame:
-            wanted = cut(sets.select("set_id", F.col("first.row").alias("row")).join(ids, "set_id"))
-            found = _sets(picked(docs, cut(wanted.select("row").distinct()), "row", "left_semi"), common, True)
-            return picked(found.select("set_id", "part"), cut(wanted.select("set_id")), "set_id", "left_semi")
-
-        # a's sets meet their b in the task that makes them and move once, to b's
-        one = picked(whole(pairs.select(F.col("a").alias("set_id")).distinct()), pairs.toDF("set_id", "b"), "set_id", "inner")
-        both = one.toDF("a", "pa", "b").join(whole(pairs.select(F.col("b").alias("set_id")).distinct()).toDF("b", "pb"), "b")
-        same = F.size(F.array_intersect("pa", "pb"))
-        return cut(both.filter(UNDER * same >= OVER * (F.size("pa") + F.size("pb") - same)).select("a", "b"))
-
-    keyed = sets.select(F.explode("part").alias("key"), F.col("set_id").alias("id"), "n", "fp")
+
+        def whole(side: str) -> DataFrame:
+            wanted = cut(pairs.select(F.col(side).alias("set_id")).distinct().join(sets.select("set_id", F.col("first.row").alias("row")), "set_id"))
+            found = _sets(picked(docs, wanted.select("row"), "row", "left_semi"), True)
+            return found.select(F.col("set_id").alias(side), F.col("part").alias(f"s{side}"))
+
+        both = whole("a").join(pairs, "a").join(whole("b"), "b")
+        same = F.size(F.array_intersect("sa", "sb"))
+        return cut(both.filter(UNDER * same >= OVER * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
+
+    keyed = sets.select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "n", "fp")
     found = components(near_pairs(keyed, verified, RADIUS, group, _alike))
     labelled = sets.join(found, sets.set_id == found.node, "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("first"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, per_text, picked
+from .common import components, cut, per_text
 
 RADIUS = 3
 #: Most leaves of a trie that one task joins; larger ones are dealt again.
@@ -191,9 +191,9 @@ def near_pairs(keyed: DataFrame, verified, radius: int, group: int = 1000, alike
     alike = alike or (lambda n1, n2: F.lit(True))
     one = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key"))
-    rows = cut(picked(keyed, shared, "key", "inner").select("key", "id", "n", "fp"))
-    leaders = cut(rows.groupBy("key").agg(F.min(F.struct("id", "n", "fp")).alias("x")).select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("n0"), F.col("x.fp").alias("fp0")))
-    led = picked(rows, leaders, "key", "inner").filter((F.col("id") != F.col("leader")) & one("fp", "fp0") & alike("n", "n0"))
+    rows = cut(keyed.join(shared, "key").select("key", "id", "n", "fp"))
+    leaders = rows.groupBy("key").agg(F.min(F.struct("id", "n", "fp")).alias("x")).select("key", F.col("x.id").alias("leader"), F.col("x.n").alias("n0"), F.col("x.fp").alias("fp0"))
+    led = rows.join(leaders, "key").filter((F.col("id") != F.col("leader")) & one("fp", "fp0") & alike("n", "n0"))
     led = cut(led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
     # one leader for each id first; the others only where that leaves two components
     found = verified(led.groupBy("a").agg(F.min("b").alias("b")))
@@ -205,8 +205,7 @@ def near_pairs(keyed: DataFrame, verified, radius: int, group: int = 1000, alike
     label = components(led)
     rest = cut(rows.join(label, rows.id == label.node, "left").select("key", "id", "n", "fp", F.coalesce("component", "id").alias("label")))
     open_ = rest.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_ = cut(open_.select("key", F.ceil(F.col("many") / group).cast("int").alias("blocks")))
-    open_ = picked(rest, open_, "key", "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    open_ = rest.join(open_.select("key", F.ceil(F.col("many") / group).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = open_.select("key", "block", "id", "n", "fp", "label", other)
     dealt = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("fp", "id", "label", "block")).alias("rows"))

@@ -334,5 +334,5 @@ def test_pipeline(spark, sf):
 
 
 def test_all_queries_are_registered():
-    names = list(queries.queries())
+    names = [n for n in queries.queries() if n.startswith("op")]
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and corpus_pipeline.ORACLE_SQL is None
