@@ -25,6 +25,7 @@ STATES = {
     "South Carolina": "SC", "South Dakota": "SD", "Tennessee": "TN", "Texas": "TX", "Utah": "UT", "Vermont": "VT", "Virginia": "VA",
     "Washington": "WA", "West Virginia": "WV", "Wisconsin": "WI", "Wyoming": "WY",
 }
+# fixed values: parts of a label that are left out, and what counts as coordinates
 DROPPED_PLACES = "(County|Parish|Borough|Census Area|Municipality)"
 COORDINATES = r"^(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)$"
 
@@ -101,6 +102,7 @@ def street_view_url(angles: Column) -> Column:
     )
 
 
+# fixed values in the next two functions: the public matrices between linear light, cones and Oklab, and sRGB's curve
 def _oklab(rgb: str) -> tuple[float, float, float]:
     lin = [(c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4) for c in (int(rgb[k : k + 2], 16) / 255 for k in (1, 3, 5))]
     cone = [

@@ -256,6 +256,31 @@ def needed_tiles(spark, sf):
     return tiles.needed_tiles(view(spark, sf, "v_way_pts"))
 
 
+@query(f"{PTS} select distinct 13 as z, cast(x as int) as x, cast(y as int) as y from (select {TXY} from v_way_pts) t where (cast(x as int) + cast(y as int)) % 3 <> 0")
+def missing_tiles(spark, sf):
+    """Needed tiles without a third that are loaded."""
+    p = view(spark, sf, "v_way_pts")
+    return tiles.needed_tiles(p, tiles.needed_tiles(p).filter((F.col("x") + F.col("y")) % 3 == 0))
+
+
+def shared_path(spark, name: str) -> str:
+    """A new folder that all executors see."""
+    import uuid
+
+    from ..operators.graph import checkpointed
+
+    checkpointed(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{BOTH}, s as (select way_id, count(*) as n_points from v_way_pts group by way_id) select t.way_id, highway, n_points from v_way_tags t join s on s.way_id = t.way_id")
+def stored_ways(spark, sf):
+    """Ways written as a table and read as a source."""
+    path = shared_path(spark, "ways")
+    raw_ways(spark, sf).drop("area_id").write.parquet(path)
+    return osm.read_ways(spark, path, "parquet").select(F.col("id").alias("way_id"), F.col("tags")["highway"].alias("highway"), F.size("geometry").cast("long").alias("n_points"))
+
+
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, 128*256.0e0 + l_partkey%256 + (l_suppkey%256)/256.0e0 - 32768.0e0 as elev from lineitem")
 def terrarium(spark, sf):
     g, b = F.col("l_partkey") % 256, F.col("l_suppkey") % 256

@@ -389,9 +389,10 @@ def roads_with_inclines(spark, sf):
 
 
 @query(
-    f"""{WIN}, v as (select p.road_id, max(grade) as value from (select distinct road_id from v_profile) p left join win w on w.road_id = p.road_id group by p.road_id)
- select cast(floor(road_id/10) as bigint) as area_id, count(value) as n_roads, 0 as n_inclines from v group by 1 having count(value) > 0"""
+    f"""{PATHS}, {win_sql(WINDOW)}, va as (select l.area_id, count(distinct l.road_id) as n_roads from laid l join win w on w.road_id = l.road_id group by l.area_id),
+ ni as (select area_id, count(*) as n_inclines from kp group by area_id)
+ select coalesce(v.area_id, n.area_id) as area_id, coalesce(n_roads, 0) as n_roads, coalesce(n_inclines, 0) as n_inclines from va v full join ni n on n.area_id = v.area_id"""
 )
 def ranking_summary(spark, sf):
     value = ranking.sustained_grade(placed(spark, sf), WINDOW, ("area_id", "road_id"))
-    return ranking.ranking_summary(value, value.limit(0)).withColumn("n_inclines", F.col("n_inclines").cast("int"))
+    return ranking.ranking_summary(value, found_inclines(spark, sf))

@@ -10,7 +10,7 @@ from ..operators import graph, paint, profile, ranking
 from ..params import RAMPS, clean_params
 from ..sources import store
 from .build import CUM, HAV, PTS, RESAMPLE
-from .rank import BEST, EXT, LAID, P, VALUE, WIN, WINDOW, arrays, extents, placed, prof, rounded, warm_runs
+from .rank import BEST, EXT, LAID, P, PATHS, RP, SPAN, UPDOWN, VALUE, WIN, WINDOW, arrays, climbs_sql, extents, found_inclines, inclines_sql, placed, prof, rounded, warm_runs, win_sql
 from .views import ctes, sql, view
 
 QUERIES: dict = {}
@@ -106,6 +106,27 @@ def drawn_roads(spark, sf):
     return rounded(paint.drawn_roads(p, value.filter("value >= 0.1"), value), 9, "value", "fine")
 
 
+FINE = "fi as (select a.road_id, max(abs(b.elev-a.elev)/(b.d-a.d)) as fine from v_profile a join v_profile b on a.road_id = b.road_id and b.k = a.k + 1 group by a.road_id)"
+
+
+@query(
+    f"""{P}, {UPDOWN}, {climbs_sql()}, {FINE}, li as (select road_id, max(score) as value from cl group by road_id)
+ select f.road_id, round(l.value, 6) as value, round(fine, 9) as fine, l.road_id is not null as listed from fi f left join li l on l.road_id = f.road_id where l.road_id is not null or fine >= 0.03e0"""
+)
+def drawn_climbs(spark, sf):
+    best = ranking.hardest_climbs(arrays(spark, sf)).groupBy("road_id").agg(F.max("score").alias("value"))
+    return rounded(rounded(paint.drawn_roads(prof(spark, sf), best, best), 6, "value"), 9, "fine")
+
+
+@query(
+    f"""{RP}, {inclines_sql('v_profile')}, {FINE}, li as (select road_id, max(span) as value from q_in group by road_id)
+ select f.road_id, round(l.value, 6) as value, round(fine, 9) as fine, l.road_id is not null as listed from fi f left join li l on l.road_id = f.road_id where l.road_id is not null or fine >= 0.03e0"""
+)
+def drawn_inclines(spark, sf):
+    longest = ranking.longest_inclines(arrays(spark, sf), SPAN).groupBy("road_id").agg(F.max("span").alias("value"))
+    return rounded(rounded(paint.drawn_roads(prof(spark, sf), longest, longest), 6, "value"), 9, "fine")
+
+
 CURVES = f"""{PTS}, {CUM}, nx as (select *, lead(lat) over w as lat2, lead(lon) over w as lon2 from cum window w as (partition by way_id order by i)),
  bg as (select way_id, i, d, atan2(sin(radians(lon2-lon))*cos(radians(lat2)), cos(radians(lat))*sin(radians(lat2))-sin(radians(lat))*cos(radians(lat2))*cos(radians(lon2-lon))) as b from nx),
  df as (select *, abs(b - lag(b) over (partition by way_id order by i)) as x from bg),
@@ -187,6 +208,51 @@ def export_names(spark, sf):
     return view(spark, sf, "v_labels").select("c_custkey", text.export_name(F.lit("sustained"), F.lit(249.7), F.col("label")).alias("file"))
 
 
+def _ends_sql(low: str, high: str) -> str:
+    """The columns of a slope's two ends; low and high: aliases of laid."""
+    return ", ".join(f"printf('%.6f', {x}.lat), printf('%.6f', {x}.lon), printf('%.3f', round({x}.elev, 7))" for x in (low, high))
+
+
+@query(
+    f"""{P}, {UPDOWN}, {climbs_sql()}, {LAID}, rk as (select *, row_number() over (order by score desc, road_id, n) as rank from cl)
+ select cast(rank as int) as rank, concat_ws(',', cast(rank as varchar), printf('Road %d', r.road_id), printf('%.3f', round(score, 7)), printf('%.3f', round(gain/span*100, 7)), printf('%.3f', round(gain, 7)), printf('%.3f', span), {_ends_sql('a', 'z')}) as line
+ from rk r join laid a on a.road_id = r.road_id and a.k = case when dir > 0 then i else j end join laid z on z.road_id = r.road_id and z.k = case when dir > 0 then j else i end where rank <= 15"""
+)
+def csv_climbs(spark, sf):
+    top = ranking.top(ranking.hardest_climbs(arrays(spark, sf)), 15, F.desc("score"), F.col("road_id"), F.col("n"))
+    up = F.col("dir") > 0
+    top = top.withColumns({"a": F.when(up, F.col("i")).otherwise(F.col("j")), "z": F.when(up, F.col("j")).otherwise(F.col("i"))})
+    at = lambda c, e: placed(spark, sf).select("road_id", F.col("k").alias(c), *[F.round(x, 7 if x == "elev" else 12).alias(f"{e}_{x}{'_m' if x == 'elev' else ''}") for x in ("lat", "lon", "elev")])
+    r = top.join(at("a", "start"), ["road_id", "a"]).join(at("z", "end"), ["road_id", "z"])
+    return store.csv_rows(r.withColumns({"name": F.format_string("Road %d", "road_id"), "score": F.round("score", 7), "grade_pct": F.round(F.col("grade") * 100, 7), "gain_m": F.round("gain", 7), "length_m": F.col("span")}), "climb")
+
+
+@query(
+    f"""{PATHS}, rk as materialized (select *, row_number() over (order by span desc, area_id, seq) as rank from kp), la as materialized (select * from laid),
+ tw as (select rank, r.name, span, grade, gain, list({{'lat': l.lat, 'lon': l.lon, 'elev': l.elev}} order by l.elev, l.k) as e from rk r join la l on l.road_id = r.road_id where l.k in (r.i, r.j) and rank <= 15 group by all)
+ select cast(rank as int) as rank, concat_ws(',', cast(rank as varchar), name, '1', printf('%.3f', round(span, 5)), printf('%.3f', round(grade*100, 7)), printf('%.3f', round(gain, 7)), {_ends_sql("e[1]", "e[2]")}) as line from tw"""
+)
+def csv_inclines(spark, sf):
+    top = ranking.top(found_inclines(spark, sf), 15, F.desc("span"), F.col("area_id"), F.col("seq"))
+    ends = {f"{e}_{x}{'_m' if x == 'elev' else ''}": F.round(F.col(f"{e}.{x}"), 7 if x == "elev" else 12) for e in ("start", "end") for x in ("lat", "lon", "elev")}
+    r = top.withColumns({**ends, "name": F.col("names"), "roads": F.col("n_roads"), "length_m": F.round("span", 5), "grade_pct": F.round(F.col("grade") * 100, 7), "gain_m": F.round("gain", 7)})
+    return store.csv_rows(r, "incline")
+
+
+def _pct_sql(g: str) -> str:
+    return f"printf('%.1f%%', case when abs({g}) < 0.0005e0 then 0.0e0 else {g}*100 end)"
+
+
+@query(
+    f"""{P}, {UPDOWN}, {climbs_sql()} select road_id, n, concat(printf('↑%dm/%dm ≈ ', cast(floor(round(gain, 7) + 0.5e0) as bigint), cast(floor(span + 0.5e0) as bigint)), {_pct_sql('round(gain/span, 8)')}) as climb,
+ concat(printf('↑%dm ≈ ', cast(floor(round(gain, 7) + 0.5e0) as bigint)), {_pct_sql('round(gain/span, 8)')}) as incline from cl"""
+)
+def slope_labels(spark, sf):
+    c = ranking.hardest_climbs(arrays(spark, sf))
+    gain, grade = F.round("gain", 7), F.round("grade", 8)
+    return c.select("road_id", "n", text.fmt_climb(gain, F.col("span"), grade).alias("climb"), text.fmt_incline(gain, grade).alias("incline"))
+
+
 @query(
     f"""{WIN}, {BEST}, t as (select b.*, row_number() over (order by grade desc, road_id) as rank from best b)
  select t.rank, concat_ws(',', cast(t.rank as varchar), case when t.road_id % 2 = 0 then concat('"Road ', cast(t.road_id as varchar), ', "" north"') else concat('Road ', cast(t.road_id as varchar)) end,
