@@ -123,7 +123,7 @@ def _spans_sql(kinds: list[tuple[str, str, int, str]], by: str) -> str:
         )
     counts = ", ".join(f"count(case when k = {k} then 1 end) as n_{kind}" for k, (kind, *_) in enumerate(kinds))
     return f"""with sp as ({' union all '.join(parts)})
- select d.doc_id, {counts}, sha256(coalesce(string_agg(concat(kind, ':', a, ':', b), ',' order by {by}), '')) as base_sha256 from documents d left join sp on sp.doc_id = d.doc_id group by d.doc_id"""
+ select d.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by {by}), '')) as base_sha256 from documents d left join sp on sp.doc_id = d.doc_id group by d.doc_id"""
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"

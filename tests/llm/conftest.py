@@ -1,6 +1,6 @@
 import pytest
 
-EXTRA = ["fp", "key", "n", "at", "line", "h", "start", "words", "k", "v", "component", "node", "row", "context", "tokens", "n_lines", "y", "class_id", "hash", "size"]
+EXTRA = ["fp", "key", "n", "at", "line", "h", "start", "words", "k", "v", "component", "node", "row", "context", "tokens", "n_lines", "y", "class_id", "hash", "size", "row_0", "lines_0", "dropped_0", "_dropped_lines", "leaf", "whole", "id", "bands", "first", "part", "wanted", "pattern"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 
 

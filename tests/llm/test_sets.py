@@ -102,6 +102,22 @@ def test_trie_room(make):
         assert roots(len(fp), zip(a.tolist(), b.tolist())) == want
 
 
+def test_trie_pairs_equal_brute_force():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    one = lambda n: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    fp = base[rng.integers(0, 6, 500)] ^ one(500) ^ one(500) ^ one(500)
+    fp[:40] = fp[0]  # equal fingerprints
+    group, label = rng.integers(0, 3, 500), rng.integers(0, 9, 500)
+    order = np.lexsort((fp, group))
+    fp, group, label = fp[order], group[order], label[order]
+    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 6) & (group[:, None] == group[None, :]) & (label[:, None] != label[None, :])
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near, 1))), strict=True))
+    for room in (30, 1 << 20):
+        got = [p for a, b in simhash.trie_pairs(group, fp, label, 6, room) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want
+
+
 def test_odd_documents_and_empty_tables(spark, make, odd):
     benchmark = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, None), (3, ""), (4, "one")], "item_id long, text string")
     assert simhash.report(odd).count() == odd.count() and simhash.report(make([])).count() == 0

@@ -1,6 +1,7 @@
 """Operators on single texts: BPE, secrets, personal data, toxicity, quality."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -138,6 +139,57 @@ def test_random_tokens_are_added_and_words_are_not(make):
     assert sum(got[i] for i in range(40)) >= 37 and sum(got[100 + i] for i in range(30)) == 0
 
 
+def slow_cutoffs(rows, rate, wrong):
+    """The two rates by their definitions, over the distinct tokens of each class."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        level = {t: math.floor(-100 * math.log10(max(p, 1e-60))) for k, p, t in rows if k == c}
+        ps = sorted(10 ** (-x / 100) for x in level.values())
+        m = len(ps)
+        ordinary = [p for k, p in enumerate(ps, 1) if p <= rate * sum(q <= p for q in ps) / m]
+        first = max(ordinary, default=None)
+        random = min(sum(p > 0.05 for p in ps) / 0.95 + 1, m)
+        share = lambda cut: 1 - random * (1 - cut) / left if (left := sum(p > cut for p in ps)) else 0
+        second = None
+        if share(0) > wrong:
+            low = [p for p in ps if p <= 0.05]
+            second = min((p for p in low if share(p) <= wrong), default=max(low, default=None))
+        found = max((p for p in (first, second) if p is not None), default=None)
+        if found is not None:
+            out[c] = round(-100 * math.log10(found))
+    return out
+
+
+def test_false_discovery_rates_equal_plain_loops(spark):
+    rng = random.Random(17)
+    rows = []
+    for c, n, share in (("a", 1000, 0.001), ("b", 600, 0.0167), ("c", 500, 0.2), ("d", 300, 0.0), ("e", 40, 0.5), ("f", 1, 1.0)):
+        for k in range(n):
+            odd = k < share * n
+            p = 4e-43 if odd and rng.random() < 0.5 else 10 ** -rng.uniform(1, 12) if odd else rng.random()
+            rows += [(c, p, f"{c}{k}")] * rng.choice([1, 1, 3])
+    df = spark.createDataFrame(rows, "class string, p double, token string")
+    for rate, wrong in ((0.05, 0.1), (0.05, 1.0), (0.2, 0.01), (0.001, 0.1)):
+        assert secrets.cutoffs(df, rate, wrong) == slow_cutoffs(rows, rate, wrong)
+    # ten hopeless tokens among 600 random ones are called ordinary, and only few random ones with them
+    at = secrets.cutoffs(df, 0.05, 1.0)["b"]
+    assert 0 < at <= 4300 and sum(c == "b" and math.floor(-100 * math.log10(p)) >= at for c, p, _ in set(rows)) <= 15
+    assert secrets.cutoffs(df.limit(0)) == {}
+
+
+def test_three_seeds_and_words_of_any_length(make):
+    far = "x" * 300  # a word that is longer than any fixed reach
+    rows = [(i, f"{far} reference a{i}@b.com stands here") for i in range(3)] + [(10, f"{far} reference QQ99-1234 stands here"), (11, f"{far[1:]}y remark QQ99-5678 stood there")]
+    got = {r["doc_id"]: r["n_context"] for r in pii.report(make(rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 10: 1, 11: 0}
+
+
+def test_common_contexts_prove_nothing(make):
+    """The word stands before many other words, too."""
+    rows = [(i, f"to a{i}@b.com and to the house, to the river, to a hill, to us") for i in range(6)] + [(10, "go to AB123456 at once")]
+    assert {r["n_context"] for r in pii.report(make(rows)).collect()} == {0}
+
+
 def test_contexts_find_unseen_identifiers(make):
     seen = ["a@b.com", "c@d.org", "e.f@g.net", "h@i.com", "+1 (523) 555-1055"]
     rows = [(i, f"please write customer number {x} about it") for i, x in enumerate([*seen, "ZZ991234", "QX889911"])] + [(50 + i, f"an odd year was {190000 + i} then") for i in range(9)]
