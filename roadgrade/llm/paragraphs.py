@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, per_text
 from .shingle import Hasher, grams, minimisers, mix
-from .simhash import majority, near_pairs
+from .simhash import double, near_pairs
 
 SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS, STRETCH, PASSAGE = 5, 16, 36
 #: Bands of one hash each: a pair of similarity 0.8 collides with probability 0.992. Lines of so few shingles that only
 #: equal sets are similar need one band.
 BANDS, FEW_SHINGLES = 3, 3
-#: Most bits in which the SimHashes of similar lines differ (in simulations 7 of 10,000 differ in more at worst).
-RADIUS = 22
+#: Most bits in which the SimHashes of similar lines differ, one and two together (of pairs of similarity 0.8 in simulations 20 of 10,000 with five shingles, 3 with more differ in more).
+RADIUS, BOTH = 22, 36
 #: A shared paragraph of so many words counts as a long one.
 LONG = 16
 #: Lines of a block of a band value that many share.
@@ -110,7 +110,7 @@ def paragraphs(docs: DataFrame, lower: bool = True) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
-    """(doc_id, lines: array of (at, n, hash)) -> id (the hash), n, fp (SimHash), shingles (distinct, sorted)."""
+    """(doc_id, lines: array of (at, n, hash)) -> id (the hash), n, fp, fp2 (two SimHashes), shingles (distinct, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_words = Hasher()
@@ -123,11 +123,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
                 for i, lines in enumerate(part.column(1).to_pylist()):
                     for x in lines:
                         key.append(x["hash"]), sets.append(_shingles(h5, int(edge[i]) + x["at"], int(edge[i]) + x["at"] + x["n"], words))
-                fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
-                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "fp", "shingles"])
+                fp = np.array([double(s) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
+                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "fp", "fp2", "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, "id long, n int, fp long, shingles array<long>")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, "id long, n int, fp long, fp2 long, shingles array<long>")
 
 
 def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
@@ -146,7 +146,7 @@ def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, gro
         return cut(both.filter(same >= similarity * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"))
 
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    return near_pairs(members.select("key", F.col("hash").alias("id")).join(sets.select("id", "n", "fp"), "id"), verified, RADIUS, group, alike)
+    return near_pairs(members.select("key", F.col("hash").alias("id")).join(sets.select("id", "n", "fp", "fp2"), "id"), verified, RADIUS, BOTH, group, alike)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
