@@ -2,8 +2,8 @@
 
 Equal shingle sets are one from the start. Each set has a SimHash of its shingles; sets are candidates if a binary trie
 self-join finds their fingerprints within RADIUS bits. At similarity 0.8 fingerprints of 64 bits differ in about 10 bits
-and hardly ever in over 22 (7 of 10,000 pairs in the worst simulated case, sets of five shingles), and two fingerprints
-together in over 36 (20 of 10,000 pairs of sets of five shingles, 3 of larger ones); at similarity 0.3 nine in ten pairs do. That is too many for tries dealt by blocks of bits, so tries are dealt by BANDS bands of WIDE MinHashes, of which sets of that similarity share one
+and hardly ever in over 22, and four fingerprints together hardly ever in over 68 (15 of 10,000 simulated pairs of sets of
+five shingles, 10 of larger ones at most), while at similarity 0.33 ninety-nine in a hundred pairs do. That is too many for tries dealt by blocks of bits, so tries are dealt by BANDS bands of WIDE MinHashes, of which sets of that similarity share one
 with probability 0.9998. Candidates are verified by their whole sets.
 """
 
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, numbered, per_text, picked
 from .shingle import Hasher, grams, mix
-from .simhash import double, near_pairs
+from .simhash import PRINTS, near_pairs, prints
 
 #: Least similarity, as a fraction in whole numbers.
 SHINGLE, OVER, UNDER = 5, 4, 5
-RADIUS, BOTH = 22, 36
+RADIUS, ALL_BITS = 22, 68
 BANDS, WIDE = 12, 3
 #: Sets of a block of a band value that many share.
 GROUP = 1000
@@ -27,7 +27,7 @@ _FACTORS = mix(np.arange(1, 1 + BANDS * WIDE, dtype=np.uint64) * np.uint64(0x9E3
 
 
 def _sets(docs: DataFrame, whole: bool, also: tuple[str, ...] = ()) -> DataFrame:
-    """row, set_id (hash of the distinct shingles), n (how many), and part, all of them; or fp, fp2 (two SimHashes) and bands.
+    """row, set_id (hash of the distinct shingles), n (how many), and part, all of them; or their SimHashes and bands.
 
     A text of fewer than five words is one shingle; one without a word has none, and no bands.
     """
@@ -53,13 +53,13 @@ def _sets(docs: DataFrame, whole: bool, also: tuple[str, ...] = ()) -> DataFrame
                 keys = np.stack([mix(sum((mix(least[WIDE * j + r] + np.uint64(r)) for r in range(WIDE)), np.uint64(j))) for j in range(BANDS)], axis=1).view(np.int64)
                 for k, row in zip(some.tolist(), keys, strict=True):
                     bands[k] = row
-            fp = np.array([double(h) for h in sets], np.uint64).view(np.int64).reshape(-1, 2)
-            return out | {"fp": fp[:, 0], "fp2": fp[:, 1], "bands": bands}
+            fps = np.array([prints(h) for h in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
+            return out | dict(zip(PRINTS, fps.T, strict=True)) | {"bands": bands}
 
         return f
 
     more = "".join(f", {docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in also)
-    return per_text(docs, make, f"row long, set_id long, n int, {'part array<long>' if whole else 'fp long, fp2 long, bands array<long>'}{more}", "row", "text", also)
+    return per_text(docs, make, f"row long, set_id long, n int, {'part array<long>' if whole else ', '.join(f'{c} long' for c in PRINTS) + ', bands array<long>'}{more}", "row", "text", also)
 
 
 def _alike(n1, n2):
@@ -72,7 +72,7 @@ def _groups(docs: DataFrame, group: int) -> DataFrame:
     similarity 0.8 and more; those without doc_id come last, equal ones in the order of rows."""
     all_ = cut(_sets(docs, False, ("doc_id",)))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    sets = cut(all_.groupBy("set_id").agg(order.alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("bands").alias("bands")))
+    sets = cut(all_.groupBy("set_id").agg(order.alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in PRINTS], F.first("bands").alias("bands")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those (a, b) that are similar, by their whole sets."""
@@ -87,8 +87,8 @@ def _groups(docs: DataFrame, group: int) -> DataFrame:
         same = F.size(F.array_intersect("sa", "sb"))
         return cut(both.filter(UNDER * same >= OVER * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
 
-    keyed = sets.select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "n", "fp", "fp2")
-    found = components(near_pairs(keyed, verified, RADIUS, BOTH, group, _alike))
+    keyed = sets.select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "n", *PRINTS)
+    found = components(near_pairs(keyed, verified, RADIUS, ALL_BITS, group, _alike))
     labelled = sets.join(found, sets.set_id == found.node, "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("first"))
     of_set = labelled.select("set_id", "component").join(least, "component").select("set_id", "first")

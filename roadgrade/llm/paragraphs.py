@@ -2,11 +2,9 @@
 
 Paragraphs are of two kinds: lines of five words and more, and, since passages may stand inside longer lines, 16-word
 stretches that begin at content-selected words (any run of 36 words holds a whole one that its copies hold too).
-Equal paragraphs collapse by their hash. Lines also get MinHash bands of their five-word shingles: the least fifth of their
-hashes, of which two lines of similarity 0.8 share one for certain. Shingles that are common in a sample count as greater
-than all others, so that a passage which many lines hold seldom makes them collide. Distinct lines that collide in a band
-are candidates, and two SimHashes of their shingles say early which of them can't be similar. The others are verified by
-exact Jaccard similarity. A band value that very many distinct lines share is worked off in blocks, so
+Equal paragraphs collapse by their hash. Lines also get MinHash bands of their five-word shingles; distinct lines that
+collide in a band are candidates, and SimHashes of their shingles say early which of them can't be similar. The others
+are verified by exact Jaccard similarity. A band value that very many distinct lines share is worked off in blocks, so
 none of its pairs is lost. Components of similar lines are the classes; the first paragraph of a class stays, the others
 are removals.
 """
@@ -22,19 +20,21 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, per_text
 from .shingle import Hasher, grams, minimisers, mix
-from .simhash import double, near_pairs
+from .simhash import PRINTS, near_pairs, prints
 
 SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS, STRETCH, PASSAGE = 5, 16, 36
-#: The order of shingles is taken from about so many documents: those that COMMON of them hold, the MOST commonest. It
-#: changes the work only, not the result.
-SAMPLE, COMMON, MOST = 4000, 4, 200_000
-#: Most bits in which the SimHashes of similar lines differ, one and two together (of pairs of similarity 0.8 in simulations 20 of 10,000 with five shingles, 3 with more differ in more).
-RADIUS, BOTH = 22, 36
+#: Bands of one hash each: a pair of similarity 0.8 collides with probability 0.992. Lines of so few shingles that only
+#: equal sets are similar need one band.
+BANDS, FEW_SHINGLES = 3, 3
+#: Most bits in which SimHashes of similar lines differ: the first, and all four together. Of simulated pairs of similarity
+#: 0.8 with five shingles 15 of 10,000 differ in more, of those with more shingles 10 at most; at 0.33, 99 in a hundred.
+RADIUS, ALL_BITS = 22, 68
 #: A shared paragraph of so many words counts as a long one.
 LONG = 16
 #: Lines of a block of a band value that many share.
 GROUP = 1000
+_SEEDS = mix(np.arange(1, 1 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _lines(words: list[list[bytes]], texts: list[str]) -> list[np.ndarray]:
@@ -64,47 +64,7 @@ def _shingles(h: np.ndarray, a: int, b: int, words: np.ndarray) -> np.ndarray:
     return np.unique(h[a : b - SHINGLE + 1]) if b - a >= SHINGLE else grams(words[a:b], b - a)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that stand in COMMON documents or more of the sample, the MOST commonest, sorted: MOST numbers at most."""
-
-    def make():
-        hash_words = Hasher()
-
-        def f(ids: list, texts: list) -> dict:
-            words, edge, _ = hash_words(texts)
-            h5 = grams(words, SHINGLE)
-            return {"doc_id": ids, "part": [np.unique(h5[a : max(a, b - SHINGLE + 1)]).view(np.int64) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]}
-
-        return f
-
-    share = max(1, docs.count() // SAMPLE)
-    some = per_text(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0), make, "doc_id long, part array<long>")
-    found = some.select(F.explode("part").alias("key")).groupBy("key").count().filter(F.col("count") >= COMMON)
-    rows = found.orderBy(F.desc("count"), "key").limit(MOST).select("key").collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
-
-
-def _least(h: np.ndarray, low: np.ndarray, high: np.ndarray, common: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """Of the hashes low to high of each line, those of its bands: the n - ceil(similarity * n) + 1 least of its n distinct
-    ones, common ones last."""
-    many = high - low
-    start = np.cumsum(many) - many
-    line = np.repeat(np.arange(len(many)), many)
-    x = h[np.repeat(low - start, many) + np.arange(many.sum())]
-    last = np.zeros(len(x), bool)
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
-    order = np.lexsort((x, last, line))
-    x, line = x[order], line[order]
-    fresh = np.append(True, (x[1:] != x[:-1]) | (line[1:] != line[:-1]))
-    x, line = x[fresh], line[fresh]
-    n = np.bincount(line, minlength=len(many))
-    first = np.cumsum(n) - n
-    keep = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-    return [x[a : a + k].view(np.int64) for a, k in zip(first.tolist(), keep.tolist(), strict=True)]
-
-
-def paragraphs(docs: DataFrame, common: np.ndarray, similarity: float = SIMILARITY, lower: bool = True) -> DataFrame:
+def paragraphs(docs: DataFrame, lower: bool = True) -> DataFrame:
     """doc_id, at, n (words), line (is it a whole line), hash, bands (of lines)."""
 
     def make():
@@ -130,7 +90,11 @@ def paragraphs(docs: DataFrame, common: np.ndarray, similarity: float = SIMILARI
             bands: list = []
             if lows:
                 key = _ranges(words, low, high)
-                bands = _least(h5, low, high - SHINGLE + 1, common, similarity)
+                many = high - low - SHINGLE + 1
+                start = np.cumsum(many) - many
+                chosen = h5[np.repeat(low - start, many) + np.arange(many.sum())]
+                mins = np.stack([mix(np.minimum.reduceat(mix(chosen ^ s), start) + np.uint64(k)) for k, s in enumerate(_SEEDS)], axis=1).view(np.int64)
+                bands = [x[: 1 if k <= FEW_SHINGLES else BANDS] for x, k in zip(mins, many.tolist(), strict=True)]
             stretch = h16[edge[which] + place] if len(which) else np.zeros(0, np.uint64)
             return {
                 "doc_id": pa.array(ids, pa.int64()).take(pa.array(np.append(np.array(doc, np.int64), which))),
@@ -147,7 +111,7 @@ def paragraphs(docs: DataFrame, common: np.ndarray, similarity: float = SIMILARI
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
-    """(doc_id, lines: array of (at, n, hash)) -> id (the hash), n, fp, fp2 (two SimHashes), shingles (distinct, sorted)."""
+    """(doc_id, lines: array of (at, n, hash)) -> id (the hash), n, four SimHashes, shingles (distinct, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_words = Hasher()
@@ -160,11 +124,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
                 for i, lines in enumerate(part.column(1).to_pylist()):
                     for x in lines:
                         key.append(x["hash"]), sets.append(_shingles(h5, int(edge[i]) + x["at"], int(edge[i]) + x["at"] + x["n"], words))
-                fp = np.array([double(s) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
-                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "fp", "fp2", "shingles"])
+                fps = np.array([prints(s) for s in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
+                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(x) for x in fps.T.copy()], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *PRINTS, "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, "id long, n int, fp long, fp2 long, shingles array<long>")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, f"id long, n int, {', '.join(f'{c} long' for c in PRINTS)}, shingles array<long>")
 
 
 def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
@@ -183,7 +147,7 @@ def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, gro
         return cut(both.filter(same >= similarity * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"))
 
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    return near_pairs(members.select("key", F.col("hash").alias("id")).join(sets.select("id", "n", "fp", "fp2"), "id"), verified, RADIUS, BOTH, group, alike)
+    return near_pairs(members.select("key", F.col("hash").alias("id")).join(sets.select("id", "n", *PRINTS), "id"), verified, RADIUS, ALL_BITS, group, alike)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
@@ -194,7 +158,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP)
     document repeats is not shared. Extra columns are ignored; empty tables give no rows.
     """
     docs = docs.filter("doc_id is not null")
-    all_ = cut(paragraphs(docs, common_shingles(docs), similarity))
+    all_ = cut(paragraphs(docs))
     place = F.min(F.struct("doc_id", "at", "n"))
     distinct = all_.groupBy("hash").agg(place.alias("p"), F.max("doc_id").alias("high"), F.count("*").alias("many"), F.max("line").alias("line"), F.max("bands").alias("bands"))
     distinct = cut(distinct.filter("line or p.doc_id <> high").select("hash", "p.*", "high", "many", "line", "bands"))

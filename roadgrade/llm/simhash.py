@@ -180,16 +180,20 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def double(hashes: np.ndarray) -> tuple[int, int]:
-    """Two independent fingerprints of the same hashes."""
-    return majority(hashes), majority(mix(hashes + np.uint64(0x9E3779B97F4A7C15)))
+#: Names of the fingerprints of ``prints``.
+PRINTS = ("fp", "fp2", "fp3", "fp4")
 
 
-def near_pairs(keyed: DataFrame, verified, radius: int, both: int, group: int = 1000, alike=None) -> DataFrame:
-    """(key, id, n, fp, fp2), distinct -> (a, b): verified links that connect all ids that verified pairs of one key connect.
+def prints(hashes: np.ndarray) -> list[int]:
+    """Four independent fingerprints of the same hashes."""
+    return [majority(hashes if k == 0 else mix(hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64))) for k in range(len(PRINTS))]
+
+
+def near_pairs(keyed: DataFrame, verified, radius: int, all_bits: int, group: int = 1000, alike=None) -> DataFrame:
+    """(key, id, n, fp, fp2, fp3, fp4), distinct -> (a, b): verified links that connect all ids that verified pairs of one key connect.
 
     ``verified`` takes (a, b), pairs of ids, and returns those that are similar; ids whose first fingerprints differ in
-    more than ``radius`` bits, or both together in more than ``both``, are taken not to be, nor those whose sizes n
+    more than ``radius`` bits, or all together in more than ``all_bits``, are taken not to be, nor those whose sizes n
     ``alike(n1, n2)`` tells apart. The trie is that of the first fingerprints. Each key's ids are
     first compared with one of them, so that a large group of copies becomes one component by few links. Where a key's
     ids are left in several components, they are dealt to blocks of some ``group`` ids; a task joins two blocks' trie,
@@ -198,9 +202,9 @@ def near_pairs(keyed: DataFrame, verified, radius: int, both: int, group: int =
     alike = alike or (lambda n1, n2: F.lit(True))
     bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key"))
-    rows = cut(keyed.join(shared, "key").select("key", "id", "n", "fp", "fp2"))
-    leaders = rows.groupBy("key").agg(F.min(F.struct("id", "n", "fp", "fp2")).alias("x")).select("key", *[F.col(f"x.{c}").alias(f"{c}_0") for c in ("id", "n", "fp", "fp2")])
-    close = (bits("fp", "fp_0") <= radius) & (bits("fp", "fp_0") + bits("fp2", "fp2_0") <= both) & alike("n", "n_0")
+    rows = cut(keyed.join(shared, "key").select("key", "id", "n", *PRINTS))
+    leaders = rows.groupBy("key").agg(F.min(F.struct("id", "n", *PRINTS)).alias("x")).select("key", *[F.col(f"x.{c}").alias(f"{c}_0") for c in ("id", "n", *PRINTS)])
+    close = (bits("fp", "fp_0") <= radius) & (sum(bits(c, f"{c}_0") for c in PRINTS) <= all_bits) & alike("n", "n_0")
     led = rows.join(leaders, "key").filter((F.col("id") != F.col("id_0")) & close)
     led = cut(led.select(F.col("id").alias("a"), F.col("id_0").alias("b")).distinct())
     # one leader for each id first; the others only where that leaves two components
@@ -211,26 +215,27 @@ def near_pairs(keyed: DataFrame, verified, radius: int, both: int, group: int =
     led = found.union(verified(more))
 
     label = components(led)
-    rest = cut(rows.join(label, rows.id == label.node, "left").select("key", "id", "fp", "fp2", F.coalesce("component", "id").alias("label")))
+    rest = cut(rows.join(label, rows.id == label.node, "left").select("key", "id", *PRINTS, F.coalesce("component", "id").alias("label")))
     open_ = rest.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     open_ = rest.join(open_.select("key", F.ceil(F.col("many") / group).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = open_.select("key", "block", "id", "fp", "fp2", "label", other)
-    dealt = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct("fp", "fp2", "id", "label", "block")).alias("rows"))
+    dealt = open_.select("key", "block", "id", *PRINTS, "label", other)
+    dealt = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct(*PRINTS, "id", "label", "block")).alias("rows"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             flat = lists.flatten()
-            fp, fp2, id_, label, block = (np.asarray(flat.field(k)) for k in range(5))
-            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+            id_, label, block = (np.asarray(flat.field(k)) for k in range(len(PRINTS), len(PRINTS) + 3))
+            every = [np.asarray(flat.field(k)).view(np.uint64) for k in range(len(PRINTS))]
             size = np.diff(np.asarray(lists.offsets))
             group = np.repeat(np.arange(len(size)), size)
             cross = np.repeat(np.asarray(batch.column(1)), size)  # is the task's pair of blocks of two different ones?
-            order = np.lexsort((fp, group))
-            group, fp, fp2, id_, label, block, cross = (x[order] for x in (group, fp, fp2, id_, label, block, cross))
-            for a, b in trie_pairs(group, fp, label, radius):
-                keep = (~cross[a] | (block[a] != block[b])) & (np.bitwise_count(fp[a] ^ fp[b]) + np.bitwise_count(fp2[a] ^ fp2[b]) <= both)
+            order = np.lexsort((every[0], group))
+            group, id_, label, block, cross, *every = (x[order] for x in (group, id_, label, block, cross, *every))
+            for a, b in trie_pairs(group, every[0], label, radius):
+                bits = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int16) for x in every)
+                keep = (~cross[a] | (block[a] != block[b])) & (bits <= all_bits)
                 a, b = id_[a[keep]], id_[b[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
