@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, per_text
+from .common import components, cut, per_text, stored
 from .shingle import Hasher, grams, minimisers, mix
 from .simhash import PRINTS, near_pairs, prints
 
@@ -158,10 +158,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP)
     document repeats is not shared. Extra columns are ignored; empty tables give no rows.
     """
     docs = docs.filter("doc_id is not null")
-    all_ = cut(paragraphs(docs))
+    all_ = stored(paragraphs(docs))
     place = F.min(F.struct("doc_id", "at", "n"))
     distinct = all_.groupBy("hash").agg(place.alias("p"), F.max("doc_id").alias("high"), F.count("*").alias("many"), F.max("line").alias("line"), F.max("bands").alias("bands"))
-    distinct = cut(distinct.filter("line or p.doc_id <> high").select("hash", "p.*", "high", "many", "line", "bands"))
+    distinct = stored(distinct.filter("line or p.doc_id <> high").select("hash", "p.*", "high", "many", "line", "bands"))
     found = components(links(distinct.filter("line"), docs, similarity, group))
     labelled = distinct.select("hash", F.col("doc_id").alias("low"), "high", "many").join(found, distinct.hash == found.node, "left")
     labelled = cut(labelled.filter("low <> high or node is not null").select("hash", "low", "high", "many", F.coalesce("component", "hash").alias("class_id")))
