@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lines, paragraphs, pii, quality, secrets, simhash, suffixes, toxicity
+from . import audit, bpe, decontaminate, lines, paragraphs, pii, quality, runs, secrets, simhash, sketch, suffixes, toxicity
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.report(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 finds by the base patterns alone."""
     return secrets.report(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -76,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array, op2_byte_bpe, op3_secrets, op4_pii, op5_simhash,
         op6_lines, op7_toxicity, op8_decontaminate, op9_quality, op10_paragraphs,
+        op11_filter_audit, op12_minhash, op13_runs,
         secrets_base, pii_base, quality_base,
     )
     return {f.__name__: f for f in found}
@@ -156,5 +169,36 @@ COUNTS = f"""with w as (select doc_id, coalesce(text, '') as text, regexp_extrac
  select *, n_words < 10 or 100*n_repeat_words > 20*n_words as base_failed from al"""
 
 
+# each text's failing filters, counted by part and set; every order of the five; a row for each part, order and step
+_ORDERS = "select a.f || b.f || c.f || d.f || e.f as filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5"
+INTERACTIONS = f"""with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+ w as (select *, regexp_extract_all(text, '{WORD}') as words, min(doc_id) over (partition by text) as first_id from t),
+ lb as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+ fl as (select w.doc_id, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+   case when len(words) < 50 then 'A' else '' end || case when 100*len(list_distinct(words)) < 65*len(words) then 'B' else '' end
+   || case when 100*length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5*length(text) then 'C' else '' end || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+   || case when w.doc_id > first_id then 'E' else '' end as fails from w left join lb on lb.doc_id = w.doc_id),
+ ce as (select part, fails, count(*) as n, sum(good) as n_good, sum(toxic) as n_toxic from fl group by part, fails),
+ l as (select * from (values ('A'), ('B'), ('C'), ('D'), ('E')) v(f)), o as ({_ORDERS}),
+ st as (select *, filter_order[step] as f, filter_order[1:step-1] as before from o, (values (1), (2), (3), (4), (5)) v(step)),
+ x as (select part, filter_order, step, st.f, n, n_good, n_toxic, contains(fails, st.f) as hit, regexp_matches(fails, '[' || before || '-]') as gone, fails = st.f as alone from ce, st),
+ r as (select part, filter_order, cast(step as int) as step, f,
+   cast(coalesce(sum(n) filter (not gone and not hit), 0) as bigint) as kept, cast(coalesce(sum(n) filter (not gone and hit), 0) as bigint) as removed,
+   cast(coalesce(sum(n) filter (gone and hit), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (alone), 0) as bigint) as unique_fails,
+   cast(coalesce(sum(n_good) filter (not gone and hit), 0) as bigint) as good_lost, cast(coalesce(sum(n_toxic) filter (not gone and hit), 0) as bigint) as toxic_lost
+   from x group by part, filter_order, step, f)
+ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from r"""
+
+# all pairs that share a shingle, and what is reachable over those that share enough
+SIMILAR = f"""with recursive w as (select doc_id, regexp_extract_all({LOWER}, '{WORD}') as words from documents),
+ sh as (select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')] else list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' ')) end) as s from w),
+ e as (select doc_id, unnest(s) as x from sh),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+ k as (select a, b from p join sh x on x.doc_id = a join sh y on y.doc_id = b where 100*n >= 85*(len(x.s) + len(y.s) - n)),
+ r as (select a, b from k union select r.a, k.b from r join k on k.a = r.b),
+ c as (select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce((select min(b) from r where r.a = doc_id), doc_id)) as component_id from sh)
+ select *, doc_id = component_id as kept from c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array": SHARED, "op6_lines": TEMPLATES, "secrets_base": SECRETS, "pii_base": PRIVATE, "quality_base": COUNTS}
+    return {"op1_suffix_array": SHARED, "op6_lines": TEMPLATES, "secrets_base": SECRETS, "pii_base": PRIVATE, "quality_base": COUNTS, "op11_filter_audit": INTERACTIONS, "op12_minhash": SIMILAR}
