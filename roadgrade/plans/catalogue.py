@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import build, rank, show
+from . import build, network, rank, show
 
-_PARTS = (build, rank, show)
+_PARTS = (build, rank, show, network)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -106,25 +106,28 @@ def drawn_roads(spark, sf):
     return rounded(paint.drawn_roads(p, value.filter("value >= 0.1"), value), 9, "value", "fine")
 
 
-FINE = "fi as (select a.road_id, max(abs(b.elev-a.elev)/(b.d-a.d)) as fine from v_profile a join v_profile b on a.road_id = b.road_id and b.k = a.k + 1 group by a.road_id)"
-
-
 @query(
-    f"""{P}, {UPDOWN}, {climbs_sql()}, {FINE}, li as (select road_id, max(score) as value from cl group by road_id)
- select f.road_id, round(l.value, 6) as value, round(fine, 9) as fine, l.road_id is not null as listed from fi f left join li l on l.road_id = f.road_id where l.road_id is not null or fine >= 0.03e0"""
+    f"""{WIN}, {BEST}, {UPDOWN}, {climbs_sql()}, li as (select road_id, max(score) as score from cl group by road_id)
+ select b.road_id, round(b.grade, 9) as value, round(l.score, 6) as score from best b join li l on l.road_id = b.road_id"""
 )
 def drawn_climbs(spark, sf):
-    best = ranking.hardest_climbs(arrays(spark, sf)).groupBy("road_id").agg(F.max("score").alias("value"))
-    return rounded(rounded(paint.drawn_roads(prof(spark, sf), best, best), 6, "value"), 9, "fine")
+    value = ranking.sustained_grade(prof(spark, sf), WINDOW)
+    return rounded(rounded(paint.drawn_climb_roads(value, ranking.hardest_climbs(arrays(spark, sf))), 9, "value"), 6, "score")
+
+
+LISTED = 40
 
 
 @query(
-    f"""{RP}, {inclines_sql('v_profile')}, {FINE}, li as (select road_id, max(span) as value from q_in group by road_id)
- select f.road_id, round(l.value, 6) as value, round(fine, 9) as fine, l.road_id is not null as listed from fi f left join li l on l.road_id = f.road_id where l.road_id is not null or fine >= 0.03e0"""
+    f"""{RP}, {win_sql(600.0)}, {inclines_sql('v_profile')}, va as (select road_id, max(grade) as value from win group by road_id),
+ li as (select road_id from q_in order by span desc, road_id, n limit {LISTED})
+ select coalesce(v.road_id, l.road_id) as road_id, round(v.value, 9) as value, l.road_id is not null as listed from va v full join (select distinct road_id from li) l on l.road_id = v.road_id"""
 )
 def drawn_inclines(spark, sf):
-    longest = ranking.longest_inclines(arrays(spark, sf), SPAN).groupBy("road_id").agg(F.max("span").alias("value"))
-    return rounded(rounded(paint.drawn_roads(prof(spark, sf), longest, longest), 6, "value"), 9, "fine")
+    """A window longer than some roads: they are drawn if one of the longest inclines runs over them."""
+    value = ranking.sustained_grade(prof(spark, sf), 600.0)
+    listed = ranking.top(ranking.longest_inclines(arrays(spark, sf), SPAN), LISTED, F.desc("span"), F.col("road_id"), F.col("n"))
+    return rounded(paint.drawn_incline_roads(value, listed), 9, "value")
 
 
 CURVES = f"""{PTS}, {CUM}, nx as (select *, lead(lat) over w as lat2, lead(lon) over w as lon2 from cum window w as (partition by way_id order by i)),
@@ -359,13 +362,3 @@ def clean_settings(spark, sf):
         "s_suppkey", F.when(s % 5 != 0, s * 0.4).alias("radius_km"), (s * 3.0).alias("window_m"), (s * 20.0).alias("long_m"), s.alias("list_size"), (s % 9).alias("max_roads")
     )
     return clean_params(p)
-
-
-@query()
-def incline_networks(spark, sf):
-    """Inclines over up to two connected roads, on ways given elevations by a rule."""
-    s = view(spark, sf, "v_way_pts").select("area_id", F.col("way_id").alias("road_id"), F.col("i").alias("k"), "lat", "lon")
-    s = s.withColumn("elev", (F.col("lat") % 0.03) * 5000 + (F.col("lon") % 0.03) * 3000)
-    names = s.filter("k = 0").select("area_id", "road_id", F.format_string("Way %d", F.col("road_id")).alias("name"), F.lit(False).alias("unnamed"))
-    out = graph.incline_virtual_road(graph.longest_incline_paths(s, names, 300.0, 2, ("area_id",)), ("area_id",))
-    return rounded(out.select("area_id", "road_id", "name", "n_roads", "span", "gain", "grade"), 3, "span", "gain", "grade")

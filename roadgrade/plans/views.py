@@ -52,7 +52,18 @@ from customer join nation on c_nationkey = n_nationkey
 ENTRIES = """
 select concat(cast(o_custkey as varchar(20)), ',5000') as search_key, 9 + o_orderkey % 2 as version, o_orderdate as captured_at, o_orderkey as entry_id from orders
 """
-VIEWS = {"v_profile": PROFILE, "v_rough": ROUGH, "v_way_pts": WAY_PTS, "v_way_tags": WAY_TAGS, "v_tile_samples": TILE_SAMPLES, "v_labels": LABELS, "v_entries": ENTRIES}
+#: Profiles as pairs of roads that meet end to end, in areas of five parallels; the second road of a pair goes on at the
+#: first one's last elevation and begins twelve metres before its end. Three roads in a row share a name. Samples lie ever
+#: farther apart, so that no two stretches are equally long.
+NETWORK = f"""
+with p as ({PROFILE}), e as (select road_id, max(d) as len, min_by(elev, k) as first_e, max_by(elev, k) as last_e from p group by road_id)
+select cast(floor(p.road_id/10.0e0) as bigint) as area_id, p.road_id, p.k, case when q.len is null then p.elev else p.elev - s.first_e + q.last_e end as elev,
+ 35.0e0 + cast(floor(p.road_id/10.0e0) as double)*0.1e0 + cast(floor((p.road_id % 10)/2.0e0) as double)*0.0004e0 as lat,
+ -82.0e0 + (p.d + coalesce(q.len - 12.0e0, 0.0e0))*(1.0e0 + (p.d + coalesce(q.len - 12.0e0, 0.0e0))*1e-6)/91000.0e0 as lon,
+ concat('Road ', cast(cast(floor(p.road_id/3.0e0) as bigint) as varchar(20))) as name, p.road_id % 10 = 9 as unnamed
+from p join e s on s.road_id = p.road_id left join e q on q.road_id = p.road_id - 1 and p.road_id % 2 = 1
+"""
+VIEWS = {"v_profile": PROFILE, "v_rough": ROUGH, "v_way_pts": WAY_PTS, "v_way_tags": WAY_TAGS, "v_tile_samples": TILE_SAMPLES, "v_labels": LABELS, "v_entries": ENTRIES, "v_network": NETWORK}
 _TABLES = ("events", "orders", "lineitem", "customer", "nation", "supplier", "embeddings")
 
 
