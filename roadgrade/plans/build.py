@@ -179,9 +179,50 @@ def stitched_roads(spark, sf):
     return roads.select("area_id", "road_id", "name", "unnamed", F.size("pts").alias("n_points"))
 
 
-@query()
+def rounds(spark, sf) -> DataFrame:
+    """Roundabout ways in the shape that is read from files."""
+    w = view(spark, sf, "v_rounds").groupBy("area_id", "way_id").agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lon"))).alias("p"))
+    geometry = F.transform("p", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    return w.select("area_id", F.lit("way").alias("type"), F.col("way_id").alias("id"), F.create_map(F.lit("junction"), F.lit("circular")).alias("tags"), geometry.alias("geometry"))
+
+
+# a step of rs joins, of each area that still can, the first open way and the first other one that ends where it does;
+# rg: what is left, with its nodes
+RINGS = f"""{ctes('v_rounds').replace('with ', 'with recursive ', 1)},
+ rw as (select area_id, way_id, list({{'k': printf('%.6f,%.6f', lat, lon), 'lat': lat, 'lon': lon}} order by i) as p from v_rounds group by area_id, way_id),
+ rs as (select area_id, 0 as n, list({{'l': 0, 'f': way_id, 'p': p}}) as ways from rw group by area_id
+  union all select area_id, n + 1, list_append(list_filter(ways, lambda w: (w.l, w.f) <> (x.l, x.f) and (w.l, w.f) <> (y.l, y.f)), {{'l': x.l + 1, 'f': x.f, 'p':
+    case when y.p[1].k = x.p[-1].k then list_concat(x.p, y.p[2:]) when y.p[-1].k = x.p[-1].k then list_concat(x.p, list_reverse(y.p)[2:])
+     when y.p[-1].k = x.p[1].k then list_concat(y.p, x.p[2:]) else list_concat(list_reverse(y.p), x.p[2:]) end}})
+   from (select area_id, n, any_value(ways) as ways, arg_min(x, (x.l, x.f, y.l, y.f)) as x, arg_min(y, (x.l, x.f, y.l, y.f)) as y from (select area_id, n, ways, x, unnest(ways) as y from (select *, unnest(ways) as x from rs) t) t
+    where (x.l, x.f) < (y.l, y.f) and x.p[1].k <> x.p[-1].k and y.p[1].k <> y.p[-1].k and (x.p[1].k in (y.p[1].k, y.p[-1].k) or x.p[-1].k in (y.p[1].k, y.p[-1].k)) group by area_id, n) m),
+ rg as (select area_id, unnest(arg_max(ways, n)) as w from rs group by area_id),
+ rp as (select area_id, w.l as l, w.f as ring_id, w.p[1].k = w.p[-1].k as closed, len(w.p) as n_points, i - 1 as i, w.p[i].k as node, w.p[i].lat as lat, w.p[i].lon as lon from rg, unnest(range(1, len(w.p) + 1)) as g(i))"""
+
+
+@query(f"{RINGS} select distinct area_id, ring_id, closed, cast(n_points as int) as n_points from rp")
 def roundabout_rings(spark, sf):
-    return ways.roundabout_rings(raw_ways(spark, sf), ("area_id",)).select("ring_id", "closed", F.size("pts").alias("n_points"))
+    return ways.roundabout_rings(rounds(spark, sf), ("area_id",)).select("area_id", "ring_id", "closed", F.size("pts").alias("n_points"))
+
+
+# of every two nodes of a ring both ways round are walked
+ARCS = f"""{RINGS}, nd as (select area_id, node, min((l, ring_id, i)) as x from rp group by area_id, node),
+ st as (select a.area_id, a.ring_id, a.closed, a.i, a.n_points - 1 as m, {HAV.format(a='a', b='b')} as step from rp a join rp b on b.area_id = a.area_id and b.ring_id = a.ring_id and b.i = a.i + 1),
+ pr as (select a.area_id, a.x[2] as ring_id, a.node as a, b.node as b, a.x[3] as i, b.x[3] as j from nd a join nd b on b.area_id = a.area_id and b.x[2] = a.x[2] and b.x[3] <> a.x[3]),
+ ln as (select p.area_id, p.ring_id, p.a, p.b, abs(p.i - p.j) as n_in, any_value(s.m) as m, any_value(s.closed) as closed, sum(case when s.i >= least(p.i, p.j) and s.i < greatest(p.i, p.j) then step else 0 end) as inner_m, sum(step) as total
+  from pr p join st s on s.area_id = p.area_id and s.ring_id = p.ring_id group by p.area_id, p.ring_id, p.a, p.b, p.i, p.j)"""
+
+
+@query(f"{ARCS} select area_id, ring_id, a, b, round(case when closed then least(inner_m, total - inner_m) else inner_m end, 4) as length, cast(case when not closed or inner_m <= total - inner_m then n_in - 1 else m - n_in - 1 end as int) as n_points from ln where not (closed and 2*n_in = m)")
+def roundabout_arcs(spark, sf):
+    """Every arc between two nodes of a ring but for half circles, which either way round may win by rounding."""
+    rings = ways.roundabout_rings(rounds(spark, sf), ("area_id",))
+    nodes = ways.ring_nodes(rings, ("area_id",))
+    pairs = nodes.select("area_id", "ring_id", F.col("node").alias("a")).join(nodes.select("area_id", "ring_id", F.col("node").alias("b")), ["area_id", "ring_id"]).select("area_id", "a", "b")
+    out = ways.ring_arcs(pairs, rings, ("area_id",))
+    half = F.size("arc") == F.when(F.col("closed"), (F.col("n") - 1) / 2 - 1)
+    out = out.join(rings.select("area_id", "ring_id", "closed", F.size("pts").alias("n")), ["area_id", "ring_id"]).filter(~F.coalesce(half, F.lit(False)))
+    return rounded(out.select("area_id", "ring_id", "a", "b", "length", F.size("arc").alias("n_points")), 4, "length")
 
 
 CROSS = f"""{RANKED}, {DECKS}, {CUM},

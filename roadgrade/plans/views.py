@@ -63,8 +63,20 @@ select cast(floor(p.road_id/10.0e0) as bigint) as area_id, p.road_id, p.k, case
  concat('Road ', cast(cast(floor(p.road_id/3.0e0) as bigint) as varchar(20))) as name, p.road_id % 10 = 9 as unnamed
 from p join e s on s.road_id = p.road_id left join e q on q.road_id = p.road_id - 1 and p.road_id % 2 = 1
 """
-VIEWS = {"v_profile": PROFILE, "v_rough": ROUGH, "v_way_pts": WAY_PTS, "v_way_tags": WAY_TAGS, "v_tile_samples": TILE_SAMPLES, "v_labels": LABELS, "v_entries": ENTRIES, "v_network": NETWORK}
-_TABLES = ("events", "orders", "lineitem", "customer", "nation", "supplier", "embeddings")
+#: Circles of twelve points from orders, in pairs that touch at one node; each is cut into one to four ways of either
+#: direction, and where there are four one may be missing. Ways are numbered against the order of the pieces.
+ROUNDS = """
+with o as (select o_orderkey as ok, o_custkey % 10000 as area_id, 35.0e0 + cast(floor((o_custkey % 10000)/100.0e0) as double)*0.03e0 + cast(o_orderkey % 23 as double)*0.001e0 as lat0,
+  -82.0e0 + cast(o_custkey % 100 as double)*0.03e0 + cast(o_orderkey % 19 as double)*0.001e0 as lon0 from orders where o_orderkey % 41 = 0),
+ c as (select o.*, n.r_regionkey as c, 1 + cast((o.ok + n.r_regionkey) % 4 as int) as m from o cross join region n where n.r_regionkey < 2),
+ p as (select c.*, g.r_regionkey as j from c cross join region g where g.r_regionkey < c.m and not (c.m = 4 and c.ok % 3 = 0 and g.r_regionkey = 2)),
+ i as (select n_nationkey as i from nation where n_nationkey < 13),
+ q as (select p.*, i.i, case when (p.ok + p.j) % 3 = 0 then -1 else 1 end as turn, p.j*12/p.m as a, (p.j + 1)*12/p.m as b from p cross join i),
+ z as (select *, case when turn = 1 then a + i else b - i end as k from q where i <= b - a)
+select area_id, ok*10 + c*5 + (3 - j) as way_id, i, lat0 + 0.00018e0*cos(radians(30.0e0*k)) + 0.00036e0*c as lat, lon0 + 0.00018e0*sin(radians(30.0e0*k)) as lon from z
+"""
+VIEWS = {"v_profile": PROFILE, "v_rough": ROUGH, "v_way_pts": WAY_PTS, "v_way_tags": WAY_TAGS, "v_tile_samples": TILE_SAMPLES, "v_labels": LABELS, "v_entries": ENTRIES, "v_network": NETWORK, "v_rounds": ROUNDS}
+_TABLES = ("events", "orders", "lineitem", "customer", "nation", "region", "supplier", "embeddings")
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
