@@ -4,13 +4,9 @@ A set's sketch has T coordinates. In round i < T each element goes to one hashed
 keeps the least value of the first round that reached it, and the rounds end when all bins are full: for n elements after
 about T log T / n rounds. Equal coordinates estimate the Jaccard similarity with the concentration of T independent draws.
 
-Bands of WIDE coordinates give candidates. Sets that share a band value are first compared with one of them, so that a
-large group of copies becomes one component by few links. What is left of a band value in several components is dealt
-again by its further bands while it holds more than ``group`` sets, and then compared pair by pair in blocks; sets of the
-component that most of a band value belong to aren't compared with each other. Links are verified by whole sets.
-
-A pair of similarity 0.85 shares no band with probability 7e-9, fewer than two with 2e-7 and fewer than three with 2e-6: the
-share that band values of more than ``group`` sets in several components can lose at the first and second dealing.
+Bands of WIDE coordinates give candidates, which ``groups`` compares by their sketches and verifies by whole sets. A pair of
+similarity 0.85 shares no band with probability 7e-9, fewer than two with 2e-7 and fewer than three with 2e-6: the share
+that band values of more than GROUP sets in several components can lose at the first and second dealing.
 """
 
 from __future__ import annotations
@@ -22,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, per_text, picked, stored
+from .common import per_text, picked, stored
+from .groups import GROUP, Block, Forest, Sets
 from .shingle import Hasher, grams, mix
 
 SHINGLE = 3
@@ -30,10 +27,8 @@ SHINGLE = 3
 LEAST = 85
 BANDS, WIDE = 32, 5
 T = BANDS * WIDE
-#: Least equal coordinates of a pair that is verified: similarity 0.85 gives 136 of 160 with a deviation of 4.5.
-EQUAL = 104
-#: Sets of a block of a band value.
-GROUP = 1000
+#: Least equal coordinates of a pair that is verified: similarity 0.85 gives 136 of 160 with a deviation of 4.5 at most.
+EQUAL = 112
 _SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -110,125 +105,34 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).sum(axis=1).astype(np.int32))], names=["a", "b", "equal"])
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rows): those of a block (own) and those that they are compared with -> (a, b): pairs of different labels whose sizes
-    and sketches allow the similarity."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            rows = batch.column(0)[k].values
-            own, minor, n = (np.asarray(rows.field(c)) for c in ("own", "minor", "n"))
-            label, ids = rows.field("label").dictionary_encode().indices.to_numpy(), rows.field("id")
-            codes = ids.dictionary_encode()
-            code, sketch = codes.indices.to_numpy(), np.frombuffer(b"".join(rows.field("sketch").to_pylist()), "<u2").reshape(-1, T)
-            left, right = np.flatnonzero(own), np.flatnonzero(~own)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            step = max(1, (1 << 16) // max(1, len(right)))
-            for s in range(0, len(left), step):
-                i, j = (x.ravel() for x in np.meshgrid(left[s : s + step], right, indexing="ij"))
-                # two that both are on both sides meet twice
-                may = (label[i] != label[j]) & (~minor[i] | (code[i] < code[j])) & (100 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j]))
-                i, j = i[may], j[may]
-                near = (sketch[i] == sketch[j]).sum(axis=1) >= EQUAL
-                found.append((i[near], j[near]))
-            if found:
-                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
-
-
-class _Links:
-    """The classes of a table of documents and the verified links between them."""
-
-    PAIR = "a decimal(38,0), b decimal(38,0)"
-
-    def __init__(self, docs: DataFrame, group: int) -> None:
-        self.docs, self.group = docs, group
-        self.all = stored(_sets(docs, False))
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")
-        self.classes = stored(self.all.filter("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("doc_id", F.col("first.doc_id")).drop("first"))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those (a, b) whose whole sets are similar."""
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("set_id").join(self.classes.select("set_id", "doc_id"), "set_id"))
-        named = picked(self.docs, wanted.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
+def _near_edges(block: Block) -> pa.RecordBatch:
+    sketch = np.frombuffer(b"".join(block.what.to_pylist()), "<u2").reshape(-1, T)
+    forest = Forest(len(block.ids))
+    for i, j in block.pairs(1 << 16):
+        near = (sketch[i] == sketch[j]).sum(axis=1) >= EQUAL
+        forest.join(block.id[i[near]], block.id[j[near]])
+    return forest.edges_of(block.ids)
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, group: int) -> Sets:
+    """(doc_id, text), (set_id, n, sketch, doc_id of one of its rows)"""
+
+    def whole(ids: DataFrame) -> DataFrame:
+        """The sets of ids, made anew from the texts of those rows."""
+        wanted = stored(ids.join(classes.select(F.col("set_id").alias("id"), "doc_id"), "id"))
+        named = picked(docs, wanted.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
         # a class all of whose rows lack a doc_id is found by its set alone
-        nameless = self.docs.filter("doc_id is null")
-        sets = _sets(named.select("doc_id", "text").union(nameless.select("doc_id", "text")), True)
-        sets = stored(picked(sets, wanted.select("set_id"), "set_id", "left_semi").select("set_id", "part").dropDuplicates(["set_id"]))
-        # one set can stand in very many pairs: those are dealt to salts, and that set to all of them
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / self.group).cast("int").alias("salts"))
-        left = sets.join(salts, sets.set_id == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("part").alias("x"))
-        salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-        right = salted.join(sets, salted.b == sets.set_id).select("a", "b", "salt", F.col("part").alias("y"))
-        same = F.size(F.array_intersect("x", "y"))
-        both = right.join(left, ["a", "salt"]).withColumn("same", same)
-        return stored(both.filter(100 * F.col("same") >= LEAST * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"))
-
-    def with_sketches(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) -> (a, b, equal) of those whose sizes and sketches allow the similarity."""
+        sets = _sets(named.select("doc_id", "text").union(docs.filter("doc_id is null").select("doc_id", "text")), True).withColumnRenamed("set_id", "id")
+        return stored(picked(sets, wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", F.col("part").alias("what")))
+
+    def near(pairs: DataFrame) -> DataFrame:
         for c, n, s in (("a", "n1", "s1"), ("b", "n2", "s2")):
-            pairs = pairs.join(self.classes.select(F.col("set_id").alias(c), F.col("n").alias(n), F.col("sketch").alias(s)), c)
-        return pairs.filter(_alike(F.col("n1"), F.col("n2"))).select("a", "b", "s1", "s2").mapInArrow(_equal, f"{self.PAIR}, equal int").filter(F.col("equal") >= EQUAL)
-
-    def led(self, rows: DataFrame, pick) -> DataFrame:
-        """(key, id) -> verified links of ids with one id of their key, ``pick`` of them; first with the one most like it, and
-        with the others only where that leaves two components."""
-        leaders = rows.groupBy("key").agg(pick("id").alias("b"))
-        near = stored(self.with_sketches(rows.join(leaders, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()))
-        found = self.verified(near.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")))
-        label = components(found)
-        of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
-        more = near.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        return found.union(self.verified(more.select("a", "b")))
-
-    def open_rows(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        """(key, id, last) of the keys whose ids lie in several components, with label, their component."""
-        label = components(links)
-        rows = rows.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "last", "id", F.coalesce("component", "id").alias("label"))
-        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        return stored(rows.join(several, "key"))
-
-    def pairs(self, rows: DataFrame) -> DataFrame:
-        """(key, id, label) -> all candidates (a, b) of one key and different labels."""
-        labels = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-        sizes = labels.groupBy("key").agg(F.sum("c").alias("many"), F.max(F.struct("c", "label")).alias("top"))
-        blocks = lambda c: F.ceil(c / self.group).cast("int")
-        sizes = sizes.select("key", F.col("top.label").alias("major"), blocks(F.col("many")).alias("blocks"), blocks(F.col("many") - F.col("top.c")).alias("others"))
-        rows = rows.join(sizes, "key").withColumn("minor", F.col("label") != F.col("major"))
-        block = lambda seed, count: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count)).cast("int")
-        upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-        side = lambda own, x, y: F.struct(F.lit(own).alias("own"), x.alias("x"), y.alias("y"))
-        mine = F.transform(upto("others"), lambda y: side(True, block(1, "blocks"), y))
-        theirs = F.when(F.col("minor"), F.transform(upto("blocks"), lambda x: side(False, x, block(2, "others")))).otherwise(F.array().cast("array<struct<own:boolean,x:int,y:int>>"))
-        dealt = rows.select("key", "id", "label", "minor", F.explode(F.concat(mine, theirs)).alias("side")).select("key", "id", "label", "minor", "side.*")
-        dealt = dealt.join(self.classes.select(F.col("set_id").alias("id"), "n", "sketch"), "id")
-        groups = dealt.groupBy("key", "x", "y").agg(F.collect_list(F.struct("own", "minor", "n", "label", "id", "sketch")).alias("rows"))
-        return groups.select("rows").mapInArrow(_block_pairs, self.PAIR)
-
-    def components(self, dealings: int = 2) -> DataFrame:
-        """(node, component) of the classes that have a link."""
-        keyed = self.classes.select(F.col("set_id").alias("id"), F.explode(F.array(*[F.struct(_band(k).alias("key"), F.lit(k).alias("last")) for k in range(BANDS)])).alias("x")).select("x.key", "x.last", "id")
-        shared = stored(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key"))
-        rows = stored(keyed.join(shared, "key"))
-        links = self.led(rows, F.min)
-        rows = self.open_rows(rows, links)
-        links = links.union(self.led(rows, F.max))
-        rows, candidates = self.open_rows(rows, links), []
-        for _ in range(dealings):
-            many = stored(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > self.group).select("key"))
-            if many.isEmpty():
-                break
-            candidates.append(self.pairs(rows.join(many, "key", "left_anti")))
-            # two ids of a key meet again under each further band that they share
-            hot = rows.join(many, "key").join(self.classes.select(F.col("set_id").alias("id"), "sketch"), "id")
-            further = F.filter(F.array(*[F.struct(F.xxhash64("key", _band(k)).alias("key"), F.lit(k).alias("last")) for k in range(BANDS)]), lambda x: x["last"] > F.col("last"))
-            rows = hot.select("id", "label", F.explode(further).alias("x")).select("x.key", "x.last", "id", "label")
-            several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-            rows = stored(rows.join(several, "key"))
-        candidates.append(self.pairs(rows))
-        for c in candidates:
-            links = links.union(self.verified(c))
-        return components(links)
+            pairs = pairs.join(classes.select(F.col("set_id").alias(c), F.col("n").alias(n), F.col("sketch").alias(s)), c)
+        found = pairs.filter(_alike(F.col("n1"), F.col("n2"))).select("a", "b", "s1", "s2")
+        return found.mapInArrow(_equal, "a decimal(38,0), b decimal(38,0), equal int").filter(F.col("equal") >= EQUAL)
+
+    bands = F.array(*[_band(k) for k in range(BANDS)])
+    return Sets(classes.select(F.col("set_id").alias("id"), "n", F.col("sketch").alias("what"), bands.alias("more")), whole, near, _near_edges, LEAST, group)
 
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -239,11 +143,16 @@ def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     shingle. Each row is a document: a repeated doc_id keeps its rows. Rows without doc_id link others, but have no
     component_id unless they reach a row that has one. An empty table gives no rows; other columns are ignored.
     """
-    links = _Links(docs.select("doc_id", "text"), group)
-    labelled = links.classes.join(links.components().withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
+    docs = docs.select("doc_id", "text")
+    all_ = stored(_sets(docs, False))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")
+    classes = all_.filter("n > 0").groupBy("set_id").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.select("set_id", "n", "sketch", "first.doc_id"))
+    sets = _sets_of(docs, classes, group)
+    found = sets.components(sets.facts.select(F.posexplode("more").alias("last", "key"), "id").select("key", "last", "id"))
+    labelled = classes.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = labelled.join(least, "component").select("set_id", "component_id")
-    out = links.all.join(of_set, "set_id", "left")
+    out = all_.join(labelled.join(least, "component").select("set_id", "component_id"), "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from roadgrade.llm import sketch
+from roadgrade.llm import groups, sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,6 +45,7 @@ def prose(rng, n, vocabulary=900):
 @pytest.mark.parametrize("group", [5, 1000])
 def test_report_equals_all_pairs(make, group, monkeypatch):
     monkeypatch.setattr(sketch, "GROUP", group)
+    monkeypatch.setattr(groups, "BLOCKS", 1 if group == 5 else groups.BLOCKS)
     rng = random.Random(3)
     rows, hot = [], prose(rng, 90)
     for i in range(40):  # a large group of near copies, some nearer than others
