@@ -10,6 +10,7 @@ from __future__ import annotations
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, let
@@ -102,8 +103,8 @@ def interactions(cells: DataFrame, letters: str) -> DataFrame:
     names = F.array(*[F.lit("".join(letters[k] for k in o)) for o in orders])
     merged = merged.select("part", F.element_at(names, F.expr(f"int(at div {len(letters)}) + 1")).alias("filter_order"), F.expr(f"int(at % {len(letters)}) + 1").alias("step"), "x.*")
     letter = F.substring("filter_order", F.col("step"), F.lit(1))
-    shares = merged.groupBy("part", letter.alias("letter")).agg(F.sum("removed").alias("shapley"))
-    return merged.withColumn("letter", letter).join(shares, ["part", "letter"]).select("part", "filter_order", "step", *COUNTS, "shapley")
+    shapley = F.sum("removed").over(W.partitionBy("part", letter))  # as many rows as there are orders
+    return merged.select("part", "filter_order", "step", *COUNTS, shapley.alias("shapley"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
