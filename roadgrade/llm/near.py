@@ -4,7 +4,8 @@ Equal shingle sets are one from the start. Each set has a SimHash of its shingle
 self-join finds their fingerprints within RADIUS bits. At similarity 0.8 fingerprints of 64 bits differ in about 10 bits
 and hardly ever in over 22, and four fingerprints together hardly ever in over 68 (15 of 10,000 simulated pairs of sets of
 five shingles, 10 of larger ones at most), while at similarity 0.33 ninety-nine in a hundred pairs do. That is too many for tries dealt by blocks of bits, so tries are dealt by BANDS bands of WIDE MinHashes, of which sets of that similarity share one
-with probability 0.9998. Candidates are verified by their whole sets.
+with probability 0.9998. ``groups`` deals the sets of a band to tries of bounded size, those of large bands by FURTHER pairs
+of MinHashes first (of which sets of that similarity share one with probability 0.9999999), and verifies by whole sets.
 """
 
 from __future__ import annotations
@@ -13,21 +14,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, numbered, per_text, picked
+from .common import cut, numbered, per_text, picked, stored
+from .groups import GROUP, Sets
 from .shingle import Hasher, grams, mix
-from .simhash import PRINTS, near_pairs, prints
+from .simhash import PRINTS, near_prints, print_edges, prints
 
 #: Least similarity, as a fraction in whole numbers.
 SHINGLE, OVER, UNDER = 5, 4, 5
 RADIUS, ALL_BITS = 22, 68
-BANDS, WIDE = 12, 3
-#: Sets of a block of a band value that many share.
-GROUP = 1000
+BANDS, WIDE, FURTHER = 12, 3, 16
 _FACTORS = mix(np.arange(1, 1 + BANDS * WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _sets(docs: DataFrame, whole: bool, also: tuple[str, ...] = ()) -> DataFrame:
-    """row, set_id (hash of the distinct shingles), n (how many), and part, all of them; or their SimHashes and bands.
+    """row, set_id (hash of the distinct shingles), n (how many), and part, all of them; or their SimHashes, bands and further keys.
 
     A text of fewer than five words is one shingle; one without a word has none, and no bands.
     """
@@ -45,50 +45,39 @@ def _sets(docs: DataFrame, whole: bool, also: tuple[str, ...] = ()) -> DataFrame
             out = {"row": ids, "set_id": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64), "n": n}
             if whole:
                 return out | {"part": [h.view(np.int64) for h in sets]}
-            bands: list = [[]] * len(sets)
+            bands, more = [[]] * len(sets), [[]] * len(sets)
             some = np.flatnonzero(n)
             if len(some):
                 flat, start = np.concatenate(sets), np.cumsum(n[some]) - n[some]
                 least = [np.minimum.reduceat(flat * a, start) for a in _FACTORS]
                 keys = np.stack([mix(sum((mix(least[WIDE * j + r] + np.uint64(r)) for r in range(WIDE)), np.uint64(j))) for j in range(BANDS)], axis=1).view(np.int64)
-                for k, row in zip(some.tolist(), keys, strict=True):
-                    bands[k] = row
+                pairs = [mix(mix(least[j]) + mix(least[j + FURTHER] + np.uint64(j))) for j in range(FURTHER)]
+                for k, row, further in zip(some.tolist(), keys, np.stack(pairs, axis=1).view(np.int64), strict=True):
+                    bands[k], more[k] = row, further
             fps = np.array([prints(h) for h in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
-            return out | dict(zip(PRINTS, fps.T, strict=True)) | {"bands": bands}
+            return out | dict(zip(PRINTS, fps.T, strict=True)) | {"bands": bands, "more": more}
 
         return f
 
-    more = "".join(f", {docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in also)
-    return per_text(docs, make, f"row long, set_id long, n int, {'part array<long>' if whole else ', '.join(f'{c} long' for c in PRINTS) + ', bands array<long>'}{more}", "row", "text", also)
-
-
-def _alike(n1, n2):
-    """Sizes that allow the similarity."""
-    return UNDER * F.least(n1, n2) >= OVER * F.greatest(n1, n2)
+    also_ = "".join(f", {docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in also)
+    return per_text(docs, make, f"row long, set_id long, n int, {'part array<long>' if whole else ', '.join(f'{c} long' for c in PRINTS) + ', bands array<long>, more array<long>'}{also_}", "row", "text", also)
 
 
 def _groups(docs: DataFrame, group: int) -> DataFrame:
     """(row, doc_id, text) -> row, doc_id, first: (no_id, doc_id, row) of the least document reachable over pairs of
     similarity 0.8 and more; those without doc_id come last, equal ones in the order of rows."""
-    all_ = cut(_sets(docs, False, ("doc_id",)))
+    all_ = stored(_sets(docs, False, ("doc_id",)))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    sets = cut(all_.groupBy("set_id").agg(order.alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in PRINTS], F.first("bands").alias("bands")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those (a, b) that are similar, by their whole sets."""
-        pairs = cut(pairs.distinct())
-
-        def whole(side: str) -> DataFrame:
-            wanted = cut(pairs.select(F.col(side).alias("set_id")).distinct().join(sets.select("set_id", F.col("first.row").alias("row")), "set_id"))
-            found = _sets(picked(docs, wanted.select("row"), "row", "left_semi"), True)
-            return found.select(F.col("set_id").alias(side), F.col("part").alias(f"s{side}"))
+    firsts = [F.first(c).alias(c) for c in ("n", *PRINTS, "bands", "more")]
+    sets = stored(all_.groupBy("set_id").agg(order.alias("first"), *firsts))
+    facts = sets.select(F.col("set_id").alias("id"), "n", F.struct(*PRINTS).alias("what"), "more")
 
-        both = whole("a").join(pairs, "a").join(whole("b"), "b")
-        same = F.size(F.array_intersect("sa", "sb"))
-        return cut(both.filter(UNDER * same >= OVER * (F.size("sa") + F.size("sb") - same)).select("a", "b"))
+    def whole(ids: DataFrame) -> DataFrame:
+        rows = stored(sets.select(F.col("set_id").alias("id"), F.col("first.row").alias("row")).join(ids, "id").select("row"))
+        return stored(_sets(picked(docs, rows, "row", "left_semi"), True).select(F.col("set_id").alias("id"), F.col("part").alias("what")))
 
-    keyed = sets.select(F.explode("bands").alias("key"), F.col("set_id").alias("id"), "n", *PRINTS)
-    found = components(near_pairs(keyed, verified, RADIUS, ALL_BITS, group, _alike))
+    linked = Sets(facts, whole, near_prints(facts, RADIUS, ALL_BITS, 100 * OVER // UNDER), print_edges(RADIUS, ALL_BITS), 100 * OVER // UNDER, group)
+    found = linked.components(sets.select(F.explode("bands").alias("key"), F.lit(-1).alias("last"), F.col("set_id").alias("id")))
     labelled = sets.join(found, sets.set_id == found.node, "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
     least = labelled.groupBy("component").agg(F.min("first").alias("first"))
     of_set = labelled.select("set_id", "component").join(least, "component").select("set_id", "first")

@@ -4,8 +4,8 @@ Paragraphs are of two kinds: lines of five words and more, and, since passages m
 stretches that begin at content-selected words (any run of 36 words holds a whole one that its copies hold too).
 Equal paragraphs collapse by their hash. Lines also get MinHash bands of their five-word shingles; distinct lines that
 collide in a band are candidates, and SimHashes of their shingles say early which of them can't be similar. The others
-are verified by exact Jaccard similarity. A band value that very many distinct lines share is worked off in blocks, so
-none of its pairs is lost. Components of similar lines are the classes; the first paragraph of a class stays, the others
+are verified by exact Jaccard similarity. A band value that very many distinct lines share is dealt again by further
+hashes and worked off in blocks (``groups``). Components of similar lines are the classes; the first paragraph of a class stays, the others
 are removals.
 """
 
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, per_text, stored
+from .common import cut, per_text, picked, stored
+from .groups import GROUP, Sets
 from .shingle import Hasher, grams, minimisers, mix
-from .simhash import PRINTS, near_pairs, prints
+from .simhash import PRINTS, near_prints, print_edges, prints
 
 SHINGLE, SIMILARITY = 5, 0.8
 MIN_WORDS, STRETCH, PASSAGE = 5, 16, 36
@@ -32,9 +33,10 @@ BANDS, FEW_SHINGLES = 3, 3
 RADIUS, ALL_BITS = 22, 68
 #: A shared paragraph of so many words counts as a long one.
 LONG = 16
-#: Lines of a block of a band value that many share.
-GROUP = 1000
-_SEEDS = mix(np.arange(1, 1 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Further hashes by which the lines of a band value that many share are dealt again: similar ones share one of eight with
+#: probability 0.999997.
+FURTHER = 8
+_SEEDS = mix(np.arange(1, 1 + BANDS + FURTHER, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _lines(words: list[list[bytes]], texts: list[str]) -> list[np.ndarray]:
@@ -93,7 +95,7 @@ def paragraphs(docs: DataFrame, lower: bool = True) -> DataFrame:
                 many = high - low - SHINGLE + 1
                 start = np.cumsum(many) - many
                 chosen = h5[np.repeat(low - start, many) + np.arange(many.sum())]
-                mins = np.stack([mix(np.minimum.reduceat(mix(chosen ^ s), start) + np.uint64(k)) for k, s in enumerate(_SEEDS)], axis=1).view(np.int64)
+                mins = np.stack([mix(np.minimum.reduceat(mix(chosen ^ s), start) + np.uint64(k)) for k, s in enumerate(_SEEDS[:BANDS])], axis=1).view(np.int64)
                 bands = [x[: 1 if k <= FEW_SHINGLES else BANDS] for x, k in zip(mins, many.tolist(), strict=True)]
             stretch = h16[edge[which] + place] if len(which) else np.zeros(0, np.uint64)
             return {
@@ -110,8 +112,9 @@ def paragraphs(docs: DataFrame, lower: bool = True) -> DataFrame:
     return per_text(docs, make, "doc_id long, at int, n int, line boolean, hash long, bands array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
-    """(doc_id, lines: array of (at, n, hash)) -> id (the hash), n, four SimHashes, shingles (distinct, sorted)."""
+def _sets(docs: DataFrame, wanted: DataFrame, whole: bool, lower: bool = True) -> DataFrame:
+    """(doc_id, lines: array of (at, n, hash)) -> id (the hash), and shingles (distinct, sorted), or n, four SimHashes and
+    further keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_words = Hasher()
@@ -124,30 +127,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, lower: bool = True) -> DataFrame:
                 for i, lines in enumerate(part.column(1).to_pylist()):
                     for x in lines:
                         key.append(x["hash"]), sets.append(_shingles(h5, int(edge[i]) + x["at"], int(edge[i]) + x["at"] + x["n"], words))
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
+                    continue
                 fps = np.array([prints(s) for s in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
-                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(x) for x in fps.T.copy()], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *PRINTS, "shingles"])
+                more = [[int(mix(mix(s ^ k).min(keepdims=True)).view(np.int64)[0]) for k in _SEEDS[BANDS:]] for s in sets]
+                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(x) for x in fps.T.copy()], pa.array(more, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *PRINTS, "more"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, f"id long, n int, {', '.join(f'{c} long' for c in PRINTS)}, shingles array<long>")
+    schema = "id long, shingles array<long>" if whole else f"id long, n int, {', '.join(f'{c} long' for c in PRINTS)}, more array<long>"
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "lines").mapInArrow(run, schema)
 
 
-def links(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """(doc_id, at, n, hash, bands), one row for each distinct line -> a, b: hashes of similar lines that connect all
-    lines which similar lines of a band value connect."""
+def linked(lines: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """(doc_id, at, n, hash, bands), one row for each distinct line -> (node, component): hashes of lines that similar lines of
+    a band value connect."""
     keyed = lines.select("hash", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    members = cut(keyed.join(sizes, "key"))
-    wanted = lines.join(members.select("hash").distinct(), "hash").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "hash")).alias("lines"))
-    sets = cut(_sets(docs, wanted).dropDuplicates(["id"]))
+    members = stored(keyed.join(sizes, "key"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        same = F.size(F.array_intersect("sa", "sb"))
-        return cut(both.filter(same >= similarity * (F.size("sa") + F.size("sb") - same) - 1e-9).select("a", "b"))
+    def of(ids: DataFrame, whole: bool) -> DataFrame:
+        wanted = picked(lines, ids, "hash", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "hash")).alias("lines"))
+        return stored(_sets(docs, wanted, whole).dropDuplicates(["id"]))
 
-    alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    return near_pairs(members.select("key", F.col("hash").alias("id")).join(sets.select("id", "n", *PRINTS), "id"), verified, RADIUS, ALL_BITS, group, alike)
+    facts = of(stored(members.select("hash").distinct()), False).select("id", "n", F.struct(*PRINTS).alias("what"), "more")
+    least = round(100 * similarity)
+    whole = lambda ids: of(ids.withColumnRenamed("id", "hash"), True).withColumnRenamed("shingles", "what")
+    sets = Sets(facts, whole, near_prints(facts, RADIUS, ALL_BITS, least), print_edges(RADIUS, ALL_BITS), least, group)
+    return sets.components(members.select("key", F.lit(-1).alias("last"), F.col("hash").alias("id")))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
@@ -162,7 +169,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, group: int = GROUP)
     place = F.min(F.struct("doc_id", "at", "n"))
     distinct = all_.groupBy("hash").agg(place.alias("p"), F.max("doc_id").alias("high"), F.count("*").alias("many"), F.max("line").alias("line"), F.max("bands").alias("bands"))
     distinct = stored(distinct.filter("line or p.doc_id <> high").select("hash", "p.*", "high", "many", "line", "bands"))
-    found = components(links(distinct.filter("line"), docs, similarity, group))
+    found = linked(distinct.filter("line"), docs, similarity, group)
     labelled = distinct.select("hash", F.col("doc_id").alias("low"), "high", "many").join(found, distinct.hash == found.node, "left")
     labelled = cut(labelled.filter("low <> high or node is not null").select("hash", "low", "high", "many", F.coalesce("component", "hash").alias("class_id")))
     shared = labelled.groupBy("class_id").agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"), F.sum("many").alias("class_docs")).filter("first_id <> last_id")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, per_text
+from .groups import Block, Forest
 from .shingle import mix
 
 RADIUS = 3
@@ -189,58 +190,36 @@ def prints(hashes: np.ndarray) -> list[int]:
     return [majority(hashes if k == 0 else mix(hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64))) for k in range(len(PRINTS))]
 
 
-def near_pairs(keyed: DataFrame, verified, radius: int, all_bits: int, group: int = 1000, alike=None) -> DataFrame:
-    """(key, id, n, fp, fp2, fp3, fp4), distinct -> (a, b): verified links that connect all ids that verified pairs of one key connect.
+def near_prints(facts: DataFrame, radius: int, all_bits: int, least: int):
+    """facts (id, n, what: struct of PRINTS) -> function of (a, b) that returns (a, b, equal) of the pairs of at most ``radius``
+    different bits of the first fingerprint and ``all_bits`` of all, and of sizes that allow the similarity (hundredths)."""
 
-    ``verified`` takes (a, b), pairs of ids, and returns those that are similar; ids whose first fingerprints differ in
-    more than ``radius`` bits, or all together in more than ``all_bits``, are taken not to be, nor those whose sizes n
-    ``alike(n1, n2)`` tells apart. The trie is that of the first fingerprints. Each key's ids are
-    first compared with one of them, so that a large group of copies becomes one component by few links. Where a key's
-    ids are left in several components, they are dealt to blocks of some ``group`` ids; a task joins two blocks' trie,
-    so no group of unbounded size meets in one place and no pair of such a key is left out.
-    """
-    alike = alike or (lambda n1, n2: F.lit(True))
-    bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key"))
-    rows = cut(keyed.join(shared, "key").select("key", "id", "n", *PRINTS))
-    leaders = rows.groupBy("key").agg(F.min(F.struct("id", "n", *PRINTS)).alias("x")).select("key", *[F.col(f"x.{c}").alias(f"{c}_0") for c in ("id", "n", *PRINTS)])
-    close = (bits("fp", "fp_0") <= radius) & (sum(bits(c, f"{c}_0") for c in PRINTS) <= all_bits) & alike("n", "n_0")
-    led = rows.join(leaders, "key").filter((F.col("id") != F.col("id_0")) & close)
-    led = cut(led.select(F.col("id").alias("a"), F.col("id_0").alias("b")).distinct())
-    # one leader for each id first; the others only where that leaves two components
-    found = verified(led.groupBy("a").agg(F.min("b").alias("b")))
-    label = components(found)
-    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"l{x}"))
-    more = led.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    led = found.union(verified(more))
-
-    label = components(led)
-    rest = cut(rows.join(label, rows.id == label.node, "left").select("key", "id", *PRINTS, F.coalesce("component", "id").alias("label")))
-    open_ = rest.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_ = rest.join(open_.select("key", F.ceil(F.col("many") / group).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = open_.select("key", "block", "id", *PRINTS, "label", other)
-    dealt = dealt.groupBy("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list(F.struct(*PRINTS, "id", "label", "block")).alias("rows"))
+    def near(pairs: DataFrame) -> DataFrame:
+        for c, x in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(facts.select(F.col("id").alias(c), F.struct("n", "what").alias(x)), c)
+        bits = [F.bit_count(F.col(f"x.what.{c}").bitwiseXOR(F.col(f"y.what.{c}"))) for c in PRINTS]
+        found = pairs.withColumn("bits", sum(bits)).filter((bits[0] <= radius) & (F.col("bits") <= all_bits))
+        return found.filter(100 * F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n")).select("a", "b", (-F.col("bits")).alias("equal"))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            flat = lists.flatten()
-            id_, label, block = (np.asarray(flat.field(k)) for k in range(len(PRINTS), len(PRINTS) + 3))
-            every = [np.asarray(flat.field(k)).view(np.uint64) for k in range(len(PRINTS))]
-            size = np.diff(np.asarray(lists.offsets))
-            group = np.repeat(np.arange(len(size)), size)
-            cross = np.repeat(np.asarray(batch.column(1)), size)  # is the task's pair of blocks of two different ones?
-            order = np.lexsort((every[0], group))
-            group, id_, label, block, cross, *every = (x[order] for x in (group, id_, label, block, cross, *every))
-            for a, b in trie_pairs(group, every[0], label, radius):
-                bits = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int16) for x in every)
-                keep = (~cross[a] | (block[a] != block[b])) & (bits <= all_bits)
-                a, b = id_[a[keep]], id_[b[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return near
 
-    pairs = dealt.select("rows", (F.col("x") != F.col("y")).alias("cross")).mapInArrow(join, "a long, b long")
-    return led.union(verified(pairs))
+
+def print_edges(radius: int, all_bits: int):
+    """Function of a block whose rows carry fingerprints: what joins the ids of every pair as near as that, by a trie join."""
+
+    def edges(block: Block) -> pa.RecordBatch:
+        every = [np.asarray(block.what.field(k)).view(np.uint64) for k in range(len(PRINTS))]
+        order, forest = np.argsort(every[0], kind="stable"), Forest(len(block.ids))
+        for i, j in trie_pairs(np.zeros(len(order), np.int64), every[0][order], block.label[order], radius):
+            i, j = order[i], order[j]
+            i, j = np.where(block.own[i], i, j), np.where(block.own[i], j, i)
+            keep = block.own[i] & ~block.own[j] & (sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in every) <= all_bits)
+            i, j = i[keep], j[keep]
+            keep = block.compared(i, j)
+            forest.join(block.id[i[keep]], block.id[j[keep]])
+        return forest.edges_of(block.ids)
+
+    return edges
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, leaves: int = TRIE_LEAVES) -> DataFrame:
@@ -305,9 +284,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, leave
 
 def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the least of their group. Rows of one doc_id stay or go together; those without stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

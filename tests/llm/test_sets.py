@@ -87,8 +87,7 @@ def test_simhash_equals_brute_force(make, documents, leaves):
         fps = [slow_fingerprint(text[i]) for i in ids]
         assert [got[i]["fp"] & (1 << 64) - 1 for i in ids] == fps
         assert [got[i]["component_id"] for i in ids] == slow_groups(ids, fps)
-    kept = simhash.keep_one(make(rows))
-    assert kept.columns == make([]).columns and kept.count() == len(set(slow_groups([r[0] for r in rows], [slow_fingerprint(r[1]) for r in rows])))
+
 
 
 def test_trie_room(make):
@@ -351,4 +350,4 @@ def test_pipeline(spark, sf):
 
 def test_all_queries_are_registered():
     names = [n for n in queries.queries() if n.startswith("op")]
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11)) and corpus_pipeline.ORACLE_SQL is None
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14)) and corpus_pipeline.ORACLE_SQL is None
