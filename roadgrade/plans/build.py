@@ -265,10 +265,14 @@ def marked_underpasses(spark, sf):
 AREAS = "select s_suppkey as area_id, 35.0e0 + cast(floor((s_suppkey % 10000)/100.0e0) as double)*0.03e0 as lat, -82.0e0 + cast(s_suppkey % 100 as double)*0.03e0 as lon, 2000.4e0 as radius_m from supplier"
 
 
+# the nearest point of each segment to each centre, on a plane through the centre
 @query(
-    f"""{BOTH}, ar as ({AREAS}), it as (select way_id from v_way_tags where highway <> 'motorway_link' or bridge = 'yes')
- select distinct a.area_id, p.way_id from ar a join v_way_pts p on p.lat between a.lat - 0.03e0 and a.lat + 0.03e0 and p.lon between a.lon - 0.04e0 and a.lon + 0.04e0 join it on it.way_id = p.way_id
- where {HAV.format(a='a', b='p')} <= 2000"""
+    f"""{BOTH}, ar as ({AREAS}), it as (select way_id from v_way_tags where highway <> 'motorway_link' or bridge = 'yes'),
+ sg as (select p.way_id, p.lat, p.lon, coalesce(q.lat, p.lat) as lat2, coalesce(q.lon, p.lon) as lon2 from v_way_pts p left join v_way_pts q on q.way_id = p.way_id and q.i = p.i + 1),
+ xy as (select a.area_id, s.way_id, (s.lon - a.lon)*111320e0*cos(radians(a.lat)) as x, (s.lat - a.lat)*111320e0 as y, (s.lon2 - s.lon)*111320e0*cos(radians(a.lat)) as dx, (s.lat2 - s.lat)*111320e0 as dy
+   from ar a join sg s on least(s.lat, s.lat2) <= a.lat + 0.03e0 and greatest(s.lat, s.lat2) >= a.lat - 0.03e0 and least(s.lon, s.lon2) <= a.lon + 0.04e0 and greatest(s.lon, s.lon2) >= a.lon - 0.04e0 join it on it.way_id = s.way_id),
+ nr as (select *, greatest(0, least(1, coalesce(-(x*dx + y*dy)/nullif(dx*dx + dy*dy, 0), 0))) as t from xy)
+ select distinct area_id, way_id from nr where pow(x + t*dx, 2) + pow(y + t*dy, 2) <= 2000e0*2000e0"""
 )
 def select_ways(spark, sf):
     found = osm.select_ways(raw_ways(spark, sf).drop("area_id"), sql(spark, sf, AREAS))
@@ -348,6 +352,41 @@ def cache_misses(spark, sf):
     return store.misses(view(spark, sf, "v_entries"), _keys(spark, sf), F.expr(NOW))
 
 
+def commits(spark, sf) -> str:
+    """A store after three writes, of which the second and the third replace entries, and a purge."""
+    path, e = shared_path(spark, "store"), view(spark, sf, "v_entries").select("search_key", "entry_id")
+    day = lambda d: F.expr(f"timestamp '1998-01-{d} 00:00:00'")
+    store.put_profiles(e.filter("entry_id % 2 = 0"), path, day("01"))
+    store.put_profiles(e.filter("entry_id % 4 = 1"), path, day("10"))
+    store.put_profiles(e.filter("entry_id % 40 = 3"), path, day("10"), version=9)
+    store.purge(spark, path, day("20"))
+    return path
+
+
+BATCHES = f"{ctes('v_entries')}, {KEYS}, b1 as (select * from v_entries where entry_id % 2 = 0), b2 as (select * from v_entries where entry_id % 4 = 1), b3 as (select * from v_entries where entry_id % 40 = 3)"
+
+
+@query(f"{BATCHES} select entry_id, search_key from b2 where search_key not in (select search_key from b3) and search_key in (select search_key from keys)")
+def stored_profiles(spark, sf):
+    """What a reader finds: the second write's entries but for those that the third replaced; the first one's are too old."""
+    return store.get_profiles(spark, commits(spark, sf), _keys(spark, sf), F.expr("timestamp '1998-01-20 00:00:00'")).select("entry_id", "search_key")
+
+
+@query(
+    f"""{BATCHES} select cast(n as bigint) as commit, count(distinct search_key) as searches, count(*) as n_rows from (
+   select 1 as n, search_key from b1 union all select 2, search_key from b2 union all select 2, search_key from b1 where search_key not in (select search_key from b2) union all
+   select 3, search_key from b3 union all select 3, search_key from b2 where search_key not in (select search_key from b3) union all select 3, search_key from b1 where search_key not in (select search_key from b2 union select search_key from b3) union all
+   select 4, search_key from b2 where search_key not in (select search_key from b3)) t group by n"""
+)
+def store_commits(spark, sf):
+    """Every commit of a store can still be read."""
+    path, out = commits(spark, sf), None
+    for n in range(1, 5):
+        one = store.read_snapshot(spark, path, store.snapshot(spark, path, n)).agg(F.countDistinct("search_key").alias("searches"), F.count("*").alias("n_rows")).select(F.lit(n).cast("long").alias("commit"), "searches", "n_rows")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query(f"{ctes('v_entries')} select count(distinct search_key) as searches, count(*) as n_rows from v_entries")
 def store_stats(spark, sf):
     return store.store_stats(view(spark, sf, "v_entries"))

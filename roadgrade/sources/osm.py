@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import grid_cell, haversine_m, js_round
-from ..params import DECK_HIGHWAYS, DECK_RAILWAYS, RANKED_HIGHWAYS
+from ..functions.geo import box_cells, grid_cell, js_round
+from ..params import DECK_HIGHWAYS, DECK_RAILWAYS, M_PER_DEG, RANKED_HIGHWAYS
 
 WAY = "type string, id long, tags map<string,string>, geometry array<struct<lat:double,lon:double>>"
 #: Degrees of latitude and longitude of the cells by which areas and ways meet.
@@ -29,18 +29,31 @@ def of_interest(ways: DataFrame) -> DataFrame:
 
 
 def select_ways(ways: DataFrame, areas: DataFrame) -> DataFrame:
-    """Ways of interest with a point within an area's radius, whole, once for each area. areas: (area_id, lat, lon, radius_m).
+    """Ways of interest that come within an area's radius, whole, once for each area. areas: (area_id, lat, lon, radius_m).
 
-    Areas are put in all cells that their radius reaches, points in their own; cells must be equal, then the distance decides.
+    A way crosses a circle with any of its segments, whether or not it has a point inside. Areas are put in all cells that
+    their radius reaches, segments in all that their box touches; a pair that shares several cells is looked at in the
+    least one. Distances are taken on a plane through the area's centre.
     """
     r = js_round(F.col("radius_m"))
     dlat, dlon = r / 111000.0, r / (111000.0 * F.greatest(F.cos(F.radians(F.col("lat"))), F.lit(0.01)))
-    ys = F.explode(F.sequence(grid_cell(F.col("lat") - dlat, CELL), grid_cell(F.col("lat") + dlat, CELL)))
-    a = areas.select("area_id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), r.alias("r"), dlon.alias("dlon"), ys.alias("cy"))
-    a = a.select("*", F.explode(F.sequence(grid_cell(F.col("a_lon") - F.col("dlon"), CELL), grid_cell(F.col("a_lon") + F.col("dlon"), CELL))).alias("cx"))
+    low = [grid_cell(F.col(c) - d, CELL) for c, d in (("lat", dlat), ("lon", dlon))]
+    a = areas.select("area_id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), r.alias("r"), low[0].alias("ay"), low[1].alias("ax"), F.explode(box_cells(F.col("lat") - dlat, F.col("lon") - dlon, F.col("lat") + dlat, F.col("lon") + dlon, CELL)).alias("c"))
+    a = a.select("*", "c.cy", "c.cx").drop("c")
     w = of_interest(ways)
-    p = w.select("id", F.explode("geometry").alias("p")).select("id", "p.lat", "p.lon", grid_cell(F.col("p.lat"), CELL).alias("cy"), grid_cell(F.col("p.lon"), CELL).alias("cx"))
-    near = p.join(a, ["cy", "cx"]).filter(haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon")) <= F.col("r"))
+    g = F.col("geometry")
+    # a way of one point is a segment without length
+    ends = F.when(F.size(g) > 1, F.arrays_zip(F.slice(g, F.lit(1), F.size(g) - 1).alias("p"), F.slice(g, F.lit(2), F.size(g) - 1).alias("q"))).otherwise(F.transform(g, lambda p: F.struct(p.alias("p"), p.alias("q"))))
+    s = w.select("id", F.explode(ends).alias("s")).select("id", "s.p.lat", "s.p.lon", F.col("s.q.lat").alias("lat2"), F.col("s.q.lon").alias("lon2"))
+    s = s.select("*", grid_cell(F.least("lat", "lat2"), CELL).alias("sy"), grid_cell(F.least("lon", "lon2"), CELL).alias("sx"), F.explode(box_cells(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), CELL)).alias("c"))
+    met = s.select("*", "c.cy", "c.cx").drop("c").join(a, ["cy", "cx"]).filter((F.col("cy") == F.greatest("ay", "sy")) & (F.col("cx") == F.greatest("ax", "sx")))
+    kx = F.cos(F.radians(F.col("a_lat")))
+    x1, y1, x2, y2 = (F.lit(M_PER_DEG) * v for v in ((F.col("lon") - F.col("a_lon")) * kx, F.col("lat") - F.col("a_lat"), (F.col("lon2") - F.col("a_lon")) * kx, F.col("lat2") - F.col("a_lat")))
+    near = met.select("area_id", "id", "r", x1.alias("x1"), y1.alias("y1"), (x2 - x1).alias("dx"), (y2 - y1).alias("dy"))
+    t = F.coalesce(F.try_divide(-(F.col("x1") * F.col("dx") + F.col("y1") * F.col("dy")), F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    x, y = F.col("x1") + F.col("t") * F.col("dx"), F.col("y1") + F.col("t") * F.col("dy")
+    near = near.withColumn("t", t).filter(x * x + y * y <= F.col("r") * F.col("r"))
     return near.select("area_id", "id").distinct().join(w, "id").select("area_id", *ways.columns)
 
 

@@ -168,14 +168,39 @@ def test_tiles_from_files(spark, tmp_path):
     assert got == {1: 130 * 256 + 7 - 32768, 2: None}
 
 
-def test_store_and_export(spark, tmp_path):
+def test_store_commits(spark, tmp_path):
     path, now = str(tmp_path / "p"), F.lit("2024-01-20").cast("timestamp")
-    one = spark.createDataFrame([("a", 1)], "search_key string, road_id long")
-    store.put_profiles(one, path, F.lit("2024-01-01").cast("timestamp"))
-    store.put_profiles(spark.createDataFrame([("b", 2)], one.schema), path, now)
-    store.put_profiles(spark.createDataFrame([("b", 3)], one.schema), path, now)
-    got = store.get_profiles(spark, path, spark.createDataFrame([("a",), ("b",), ("c",)], "search_key string"), now).collect()
-    assert [(r["search_key"], r["road_id"]) for r in got] == [("b", 3)]
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "search_key string")
+    found = lambda at=now: sorted((r["search_key"], r["road_id"]) for r in store.get_profiles(spark, path, keys, at).collect())
+    rows = lambda *r: spark.createDataFrame(list(r), "search_key string, road_id long")
+    assert found() == []
+    store.put_profiles(rows(("a", 1), ("a", 7)), path, F.lit("2024-01-01").cast("timestamp"))
+    store.put_profiles(rows(("b", 2), ("c", 5)), path, now)
+    store.put_profiles(rows(("b", 3)), path, now)
+    assert found() == [("b", 3), ("c", 5)] and found(F.lit("2024-01-10").cast("timestamp"))[:2] == [("a", 1), ("a", 7)]
+
+    # a write that fails before its commit, half of its rows written, leaves the store as it was
+    def broken(batches):
+        for pdf in batches:
+            yield pdf
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        store.put_profiles(rows(("b", 9), ("c", 9)).mapInPandas(broken, "search_key string, road_id long"), path, now)
+    assert found() == [("b", 3), ("c", 5)]
+    rows(("c", 8)).write.parquet(f"{path}/data/part=orphan")
+    assert found() == [("b", 3), ("c", 5)]
+
+    store.purge(spark, path, now)
+    assert found(F.lit("2024-01-10").cast("timestamp")) == [("b", 3), ("c", 5)]
+    assert store.snapshot(spark, path, 2).count() == 3 and store.snapshot(spark, path).count() == 2
+    store.compact(spark, path, str(tmp_path / "q"))
+    assert sorted(r["road_id"] for r in store.get_profiles(spark, str(tmp_path / "q"), keys, now).collect()) == [3, 5]
+    store.purge(spark, path, F.lit("2025-01-01").cast("timestamp"))
+    assert found() == [] and store.snapshot(spark, path).count() == 0
+
+
+def test_export(spark, tmp_path):
     ranked = spark.createDataFrame([(1, 'Oak, "x"', 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)], "rank int, name string, " + ", ".join(f"{c} double" for c in store.CSV_COLUMNS["climb"][2:]))
     store.export_csv(ranked, "climb", str(tmp_path / "csv"))
     raw = next((tmp_path / "csv").glob("part-*")).read_bytes()
@@ -188,3 +213,14 @@ def test_read_and_select_ways(spark, tmp_path):
     found = osm.read_ways(spark, str(tmp_path))
     areas = spark.createDataFrame([(7, 35.0, -82.01, 1500.0), (8, 36.0, -82.0, 1500.0)], "area_id long, lat double, lon double, radius_m double")
     assert [(r["area_id"], r["id"]) for r in osm.select_ways(found, areas).collect()] == [(7, 1)]
+
+
+def test_ways_that_cross_a_circle_without_a_point_in_it(spark):
+    def way(i, *pts, highway="primary"):
+        return (i, "way", {"highway": highway}, list(pts))
+
+    ways_ = [way(1, (35.0, -82.3), (35.0, -81.7)), way(2, (35.02, -82.3), (35.02, -81.7)), way(3, (35.3, -82.0), (34.7, -82.0)), way(4, (35.001, -82.0)), way(5, (35.0, -82.3), (35.0, -82.1)), way(6, (35.3, -82.3), (34.7, -81.7)), way(7, (35.0, -82.3), (35.0, -81.7), highway="path")]
+    df = spark.createDataFrame(ways_, "id long, type string, tags map<string,string>, geometry array<struct<lat:double,lon:double>>")
+    areas = spark.createDataFrame([(1, 35.0, -82.0, 1500.0), (2, 35.02, -82.2, 2300.0)], "area_id long, lat double, lon double, radius_m double")
+    got = sorted((r["area_id"], r["id"]) for r in osm.select_ways(df, areas).collect())
+    assert got == [(1, 1), (1, 3), (1, 4), (1, 6), (2, 1), (2, 2), (2, 5)]
