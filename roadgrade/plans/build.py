@@ -318,6 +318,29 @@ def shared_path(spark, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+RASTERS = "tl as (select distinct cast(x as int) as x, cast(y as int) as y from (select {TXY} from v_way_pts) t where (cast(x as int) + cast(y as int)) % 7 <> 0)".replace("{TXY}", TXY)
+
+
+def rasters(spark, sf) -> DataFrame:
+    """Needed tiles but for every seventh, each with one of the given rasters of eight by eight."""
+    need = tiles.needed_tiles(view(spark, sf, "v_way_pts")).filter((F.col("x") + F.col("y")) % 7 != 0)
+    return need.withColumn("tile_id", ((F.col("x") * 31 + F.col("y")) % 500).cast("long")).join(sql(spark, sf, EMB), "tile_id").select("z", "x", "y", "raster")
+
+
+@query(
+    f"""{PTS}, {RASTERS}, w as (select way_id, i, {TXY.replace('floor(', '(')} from v_way_pts),
+ q as (select way_id, i, cast(floor(x) as int) as tx, cast(floor(y) as int) as ty, least(greatest((x - floor(x))*8 - 0.5e0, 0), 7) as px, least(greatest((y - floor(y))*8 - 0.5e0, 0), 7) as py from w),
+ c as (select q.*, r.vec_id, r.embedding as e, cast(floor(px) as int) as x0, cast(floor(py) as int) as y0, least(cast(floor(px) as int) + 1, 7) as x1, least(cast(floor(py) as int) + 1, 7) as y1 from q left join tl on tl.x = tx and tl.y = ty left join embeddings r on r.vec_id = (tl.x*31 + tl.y) % 500)
+ select way_id, i, round((cast(e[y0*8+x0+1] as double)*(1-px+x0) + cast(e[y0*8+x1+1] as double)*(px-x0))*(1-py+y0) + (cast(e[y1*8+x0+1] as double)*(1-px+x0) + cast(e[y1*8+x1+1] as double)*(px-x0))*(py-y0), 6) as elev from c"""
+)
+def stored_elevations(spark, sf):
+    """Elevations of points from tiles laid out as a bucketed table; samples alone are shuffled."""
+    path = shared_path(spark, "tiles")
+    table = "tiles_" + path[-32:]
+    tiles.lay_out(rasters(spark, sf), table, path, int(spark.conf.get("spark.sql.shuffle.partitions")), size=8, block=4)
+    return rounded(tiles.elevate_stored(view(spark, sf, "v_way_pts"), table, size=8, block=4).select("way_id", "i", "elev"), 6, "elev")
+
+
 @query(f"{BOTH}, s as (select way_id, count(*) as n_points from v_way_pts group by way_id) select t.way_id, highway, n_points from v_way_tags t join s on s.way_id = t.way_id")
 def stored_ways(spark, sf):
     """Ways written as a table and read as a source."""

@@ -1,6 +1,8 @@
 """Every query against its SQL on the smallest tables; golden cases of expressions; stores and files."""
 
+import contextlib
 import glob
+import io
 import math
 import os
 import struct
@@ -168,6 +170,29 @@ def test_tiles_from_files(spark, tmp_path):
     assert got == {1: 130 * 256 + 7 - 32768, 2: None}
 
 
+def test_laid_out_tiles_equal_whole_ones_and_are_not_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    lat, lon = rng.uniform(35.0, 35.2, 4000), rng.uniform(-82.2, -82.0, 4000)
+    lat[:3000], lon[:3000] = 35.05 + rng.uniform(0, 1e-3, 3000), -82.1  # most of them in one place
+    samples = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon))], "id long, lat double, lon double")
+    need = tiles.needed_tiles(samples).filter("x % 5 <> 0").collect()
+    rasters = spark.createDataFrame([(*r, rng.uniform(0, 900, 256 * 256).tolist()) for r in need], "z int, x int, y int, raster array<double>")
+    table = "tiles_" + os.path.basename(tmp_path).replace("-", "_")
+    tiles.lay_out(rasters, table, str(tmp_path / "store"), 6)
+    out = tiles.elevate_stored(samples, table)
+    want = {r["id"]: r["elev"] for r in tiles.elevate(samples, rasters, piece=500).collect()}
+    got = {r["id"]: r["elev"] for r in out.collect()}
+    assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or math.isclose(got[k], want[k], rel_tol=1e-12)) for k in want)
+    assert any(v is None for v in got.values())
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        tiles.elevate_stored(samples, table).explain()
+    lines = shown.getvalue().splitlines()
+    scan = next(k for k, x in enumerate(lines) if "FileScan parquet" in x and "pixels" in x)
+    assert sum("Exchange" in x for x in lines) == 1 and "SelectedBucketsCount: 6 out of 6" in lines[scan] and not any("Exchange" in x for x in lines[scan - 3 : scan])
+    spark.sql(f"drop table {table}")
+
+
 def test_store_commits(spark, tmp_path):
     path, now = str(tmp_path / "p"), F.lit("2024-01-20").cast("timestamp")
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "search_key string")
