@@ -349,6 +349,31 @@ def stored_ways(spark, sf):
     return osm.read_ways(spark, path, "parquet").select(F.col("id").alias("way_id"), F.col("tags")["highway"].alias("highway"), F.size("geometry").cast("long").alias("n_points"))
 
 
+@query(
+    f"""{PTS}, q as (select way_id, i, lat + i*0.0000013e0 as lat, lon - i*0.0000017e0 as lon from v_way_pts)
+ select way_id, count(*) as n_points, count(case when i % 3 = 1 then 1 end) as n_flagged, round(sum(floor(lat*1e6 + 0.5e0)/1e6), 6) as lats, round(sum(floor(lon*1e6 + 0.5e0)/1e6), 6) as lons from q group by way_id"""
+)
+def captured_fixture(spark, sf):
+    """Roads captured as JSON and read again: sums of their rounded places, flags where they are true."""
+    p = view(spark, sf, "v_way_pts").select("way_id", "i", (F.col("lat") + F.col("i") * 0.0000013).alias("lat"), (F.col("lon") - F.col("i") * 0.0000017).alias("lon"), (F.col("i") % 3 == 1).alias("b"))
+    roads = p.groupBy(F.col("way_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("i", "lat", "lon", "b"))).alias("pts"))
+    path = shared_path(spark, "fixture")
+    osm.write_fixture(roads, ways.bridge_ways(raw_ways(spark, sf)), path)
+    got = spark.read.json(f"{path}/roads").select(F.col("id").alias("way_id"), F.explode("pts").alias("p"))
+    out = got.groupBy("way_id").agg(F.count("*").alias("n_points"), F.count("p.b").alias("n_flagged"), F.sum("p.lat").alias("lats"), F.sum("p.lon").alias("lons"))
+    return rounded(out, 6, "lats", "lons")
+
+
+@query(
+    f"""{BOTH}, n as (select way_id, count(*) as n_points, round(sum(floor(lat*1e6 + 0.5e0)/1e6), 6) as lats from v_way_pts group by way_id having count(*) >= 2)
+ select n.way_id, layer, n_points, lats from n join v_way_tags t on t.way_id = n.way_id where bridge = 'yes' and coalesce(try_cast(coalesce(layer, '1') as double), 0) > 0"""
+)
+def captured_decks(spark, sf):
+    decks = osm.capture_decks(ways.bridge_ways(raw_ways(spark, sf)))
+    total = F.aggregate("geometry", F.lit(0.0), lambda acc, p: acc + p["lat"])
+    return rounded(decks.select(F.col("id").alias("way_id"), F.col("tags")["layer"].alias("layer"), F.size("geometry").cast("long").alias("n_points"), total.alias("lats")), 6, "lats")
+
+
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, 128*256.0e0 + l_partkey%256 + (l_suppkey%256)/256.0e0 - 32768.0e0 as elev from lineitem")
 def terrarium(spark, sf):
     g, b = F.col("l_partkey") % 256, F.col("l_suppkey") % 256

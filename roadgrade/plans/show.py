@@ -189,6 +189,21 @@ def nearest_segment(spark, sf):
     return rounded(paint.nearest_segment(clicks, p, ("way_id",)).select("way_id", "dist"), 9, "dist")
 
 
+CLICKS = "select c_custkey as point_id, 35.0e0 + cast(floor((c_custkey % 10000)/100.0e0) as double)*0.03e0 + cast(c_custkey % 17 as double)*0.00271e0 - 0.0132e0 as lat, -82.0e0 + cast(c_custkey % 100 as double)*0.03e0 + cast(c_custkey % 13 as double)*0.00317e0 - 0.0129e0 as lon from customer"
+
+
+@query(
+    f"""{PTS}, cl as ({CLICKS}), sg as (select way_id, i, lat as alat, lon as alon, lead(lat) over w as blat, lead(lon) over w as blon from v_way_pts window w as (partition by way_id order by i)),
+ vc as (select c.point_id, s.way_id, s.i, (blon-alon)*cos(radians(lat)) as dx, blat-alat as dy, (lon-alon)*cos(radians(lat)) as qx, lat-alat as qy from cl c, sg s where blat is not null),
+ ds as (select point_id, way_id, i, round(sqrt(pow(qx - t*dx, 2) + pow(qy - t*dy, 2)), 12) as dist from (select *, least(greatest(coalesce((qx*dx+qy*dy)/nullif(dx*dx+dy*dy, 0), 0), 0), 1) as t from vc) x)
+ select point_id, m[2] as way_id, cast(m[3] as int) as k, round(m[1], 9) as dist from (select point_id, min((dist, way_id, i)) as m from ds group by point_id) t"""
+)
+def nearest_on_any_road(spark, sf):
+    """Points on roads, beside them and far from all."""
+    p = view(spark, sf, "v_way_pts").withColumnRenamed("i", "k")
+    return rounded(paint.nearest_on_any_road(sql(spark, sf, CLICKS), p, ("way_id",)), 9, "dist")
+
+
 SHORT = f"""{ctes('v_labels')}, pa as (select c_custkey, unnest(string_split(label, ',')) as part, generate_subscripts(string_split(label, ','), 1) as i from v_labels)
  select c_custkey, string_agg(case when i = 1 then trim(part) when trim(part) in ('United States', 'United States of America') then 'US' when trim(part) = 'North Carolina' then 'NC' when trim(part) = 'Vermont' then 'VT' else trim(part) end, ', ' order by i) as label
  from pa where i = 1 or not regexp_matches(trim(part), '\\b(County|Parish|Borough|Census Area|Municipality)\\b') group by c_custkey"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import box_cells, grid_cell, js_round
@@ -57,9 +57,30 @@ def select_ways(ways: DataFrame, areas: DataFrame) -> DataFrame:
     return near.select("area_id", "id").distinct().join(w, "id").select("area_id", *ways.columns)
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def capture_fixture(roads: DataFrame) -> DataFrame:
-    """roads with array columns pts (lat, lon, b) and d rounded to six and two decimals; b only where true."""
-    six = lambda x: F.floor(x * 1e6 + 0.5) / 1e6
-    pts = F.transform("pts", lambda p: F.struct(six(p["lat"]).alias("lat"), six(p["lon"]).alias("lon"), F.when(p["b"], F.lit(True)).alias("b")))
-    out = roads.withColumn("pts", pts)
-    return out.withColumn("d", F.transform("d", lambda x: F.floor(x * 100 + 0.5) / 100)) if "d" in roads.columns else out
+    """roads with their places (pts, samples) rounded to six decimals, their metres (samples' d, elev, length, e_min, e_max) to
+    two, as far as they have such columns; flags b only where true."""
+    flag = lambda p: F.when(p["b"], F.lit(True)).alias("b")
+    place = lambda p: [_rounded(p[c], 6).alias(c) for c in ("lat", "lon")]
+    made = {
+        "pts": lambda c: F.transform(c, lambda p: F.struct(*place(p), flag(p))),
+        "samples": lambda c: F.transform(c, lambda p: F.struct(*place(p), _rounded(p["d"], 2).alias("d"), flag(p))),
+        "elev": lambda c: F.transform(c, lambda x: _rounded(x, 2)),
+    } | {c: lambda c: _rounded(F.col(c), 2) for c in ("length", "e_min", "e_max")}
+    return roads.withColumns({c: f(c) for c, f in made.items() if c in roads.columns})
+
+
+def capture_decks(decks: DataFrame) -> DataFrame:
+    """(type, id, tags, geometry) of bridges: of their tags bridge and layer alone, places with six decimals."""
+    tags = F.map_filter("tags", lambda k, v: k.isin("bridge", "layer"))
+    return decks.select("type", "id", tags.alias("tags"), F.transform("geometry", lambda p: F.struct(*[_rounded(p[c], 6).alias(c) for c in ("lat", "lon")])).alias("geometry"))
+
+
+def write_fixture(roads: DataFrame, decks: DataFrame, path: str) -> None:
+    """Captured roads and decks as JSON lines, in folders of those names."""
+    capture_fixture(roads).write.json(f"{path}/roads")
+    capture_decks(decks).write.json(f"{path}/decks")

@@ -182,3 +182,22 @@ def test_nearest_sample_of_an_end(spark):
     b = [(35.0, -81.998 - 0.00014, 0.0), (35.0, -81.998 + 0.00005, 0.0), (35.0, -81.99, 0.0)]
     got = graph.endpoint_junctions(frames(spark, [(1, "a", False, a), (2, "b", False, b)])[0]).filter("road_id = 1").select(F.col("end"), "other_id", "other_k").collect()
     assert [tuple(r) for r in got] == [(1, 2, 1)]
+
+
+def test_nearest_on_any_road_equals_all_pairs(spark):
+    rng = random.Random(12)
+    roads = [(i, "x", False, line((35 + rng.uniform(0, 0.05), -82 + rng.uniform(0, 0.05)), (35 + rng.uniform(0, 0.05), -82 + rng.uniform(0, 0.05)), lambda d: 0, 200.0)) for i in range(12)]
+    roads.append((50, "long", False, [(36.0, -82.0, 0.0), (36.0, -81.0, 0.0)]))
+    points = [(k, 35 + rng.uniform(-0.02, 0.07), -82 + rng.uniform(-0.02, 0.07)) for k in range(40)] + [(100, 35.9, -81.5), (101, 20.0, -60.0), (102, 36.0, -81.2)]
+    samples, _ = frames(spark, roads)
+    got = {r["point_id"]: (r["road_id"], r["k"]) for r in paint.nearest_on_any_road(spark.createDataFrame([*points, (103, None, 1.0)], "point_id long, lat double, lon double"), samples).collect()}
+
+    def far(p, a, b):
+        c = math.cos(math.radians(p[0]))
+        dx, dy, qx, qy = (b[1] - a[1]) * c, b[0] - a[0], (p[1] - a[1]) * c, p[0] - a[0]
+        t = max(0.0, min(1.0, (qx * dx + qy * dy) / (dx * dx + dy * dy)))
+        return round(math.hypot(qx - t * dx, qy - t * dy), 12)
+
+    want = {k: min((far((y, x), a, b), i, j) for i, _, _, pts in roads for j, (a, b) in enumerate(zip(pts, pts[1:])))[1:] for k, y, x in points}
+    assert got == want
+    assert paint.nearest_on_any_road(spark.createDataFrame(points, "point_id long, lat double, lon double"), samples.limit(0)).count() == 0
