@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 #: What separates words: the space and the characters from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]++"
-#: The last two words with the white space behind them, and the word that has not ended yet.
-_TAIL = rf"(?<![^\x20\x09-\x0D])(?:{WORD}{SPACE}++){{0,2}}+[^\x20\x09-\x0D]*+$"
+#: Words of more characters stand in no context: what is carried from match to match stays short in texts without spaces.
+LONGEST = 256
+_IN, _MANY = r"[^\x20\x09-\x0D]", f"{{1,{LONGEST}}}+"
+#: The last two words with the white space behind them, and the word that has not ended yet; of one that is longer its end.
+_TAIL = rf"(?:(?<!{_IN})(?:{_IN}{_MANY}{SPACE}++){{0,2}}+{_IN}{{0,{LONGEST}}}+|{_IN}{{{LONGEST + 1}}})$"
+#: Behind a match: what is left of its word, and the next word.
+_NEXT = rf"(?={_IN}{{0,{LONGEST}}}+(?:{SPACE}++({_IN}{_MANY}(?!{_IN})))?)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,15 +150,15 @@ def spans_of(text, pattern: str, group: int = 0, context: bool = False):
     A match's place is the summed length of what ``split`` leaves before it and of the matches before it. Sums are made
     in pieces of 256 matches, so that the time grows with the matches and not with their square.
     With ``context`` (the pattern has no capturing group then) two fields follow: left, what stands before the match from
-    the beginning of the second last whole word on, and right, the first whole word after it. Both are cut at words only: they read
-    as far as these words reach, over other matches too.
+    the beginning of the second last whole word on, and right, the first whole word after it. Words of more than LONGEST
+    characters count as none; the others are read whole, over other matches too.
     """
     kind = "array<struct<start:int,end:int,m:string" + ",left:string,right:string" * context + ">>"
     none = F.array().cast(kind)
 
     def placed(whole):
         m = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        right = F.regexp_extract_all(text, F.lit(f"(?:{pattern})(?=[^\x20\x09-\x0D]*+{SPACE}*((?:{WORD})?))"), F.lit(1)) if context else whole
+        right = F.regexp_extract_all(text, F.lit(f"(?:{pattern}){_NEXT}"), F.lit(1)) if context else whole
         return let(F.arrays_zip(whole.alias("w"), m.alias("m"), right.alias("right"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("g")), summed)
 
     def summed(z):

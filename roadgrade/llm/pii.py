@@ -3,9 +3,10 @@
 What the base patterns find are the seeds. Each seed induces patterns: the word before it, the two words before it, the
 word after it, the words on both sides, and its own shape (digits as 0, letters as a, the characters that touch it). The
 same patterns also hold other identifier-like words (six or more characters, four or more of them digits), the
-instances. Pattern and instance scores are computed from each other for a few rounds: a pattern's is the mean score of
-its distinct instances, an unseen instance's the mean of its patterns that some seed induced. Seeds count 1; words that
-stand in very many different contexts are ordinary and count 0, and so does every other place in the corpus where the
+instances. Those that have the form of a card, an address or a phone number and fail its test are known not to be any. Pattern
+and instance scores are computed from each other for a few rounds: a pattern's is the mean score of
+its distinct instances, an unseen instance's the mean of its patterns that some seed induced. Seeds count 1; what fails
+a test and words that stand in very many different contexts count 0, and so does every other place in the corpus where the
 pattern's words stand round something else. Words behind patterns of high final score, induced by
 several distinct seeds, are reported as further identifiers.
 """
@@ -100,23 +101,26 @@ def _with_context(text: Column, pattern: str) -> Column:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """row, doc_id, the four kinds' spans and the other identifier-like tokens, each span with text and context."""
+    """row, doc_id, the four kinds' spans and the other identifier-like tokens, each span with text and context; tokens that
+    have a kind's form and fail its test are marked as bad."""
     text = F.coalesce("text", F.lit(""))
+    digits = lambda s: F.length(_digits(s["m"]))
+    forms = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "tokens": TOKEN}
     ok = {
-        "email": (EMAIL, lambda s: F.lit(True)),
-        "ip": (IP, lambda s: s["m"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")),
-        "card": (CARD, lambda s: F.length(_digits(s["m"])).between(13, 19) & luhn(_digits(s["m"]))),
-        "phone": (PHONE, lambda s: F.length(_digits(s["m"])).between(9, 15)),
+        "email": lambda s: F.lit(True),
+        "ip": lambda s: s["m"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
+        "card": lambda s: digits(s).between(13, 19) & luhn(_digits(s["m"])),
+        "phone": lambda s: digits(s).between(9, 15),
     }
-    found = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        *[F.filter(_with_context(text, p), f).alias(k) for k, (p, f) in ok.items()],
-        F.filter(_with_context(text, TOKEN), lambda s: F.length(_digits(s["m"])) >= 4).alias("tokens"),
-    )
-    seeds = F.concat(*KINDS[:4])
-    free = F.filter("tokens", lambda t: ~F.exists(seeds, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
-    return cut(found).withColumn("tokens", free)
+    # numbers of other lengths than a card's aren't of its form
+    fails = {"ip": lambda s: ~ok["ip"](s), "card": lambda s: digits(s).between(13, 19) & ~luhn(_digits(s["m"])), "phone": lambda s: ~ok["phone"](s)}
+    found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[_with_context(text, p).alias(k) for k, p in forms.items()])
+    rejected = F.concat(*[F.filter(k, f) for k, f in fails.items()])
+    found = cut(found.select("row", "doc_id", *[F.filter(k, f).alias(k) for k, f in ok.items()], rejected.alias("rejected"), F.filter("tokens", lambda s: digits(s) >= 4).alias("tokens")))
+    meets = lambda spans, t: F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))
+    free = F.filter("tokens", lambda t: ~meets(F.concat(*KINDS[:4]), t))
+    marked = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["m"].alias("m"), t["patterns"].alias("patterns"), meets(F.col("rejected"), t).alias("bad")))
+    return found.select("row", "doc_id", *KINDS[:4], marked.alias("tokens"))
 
 
 def patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -124,13 +128,14 @@ def patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFra
 
     found: ``base(docs)``.
     """
-    seeds = found.select(F.explode(F.concat(*KINDS[:4])).alias("s"), F.lit(True).alias("seed"))
-    others = found.select(F.explode("tokens").alias("s"), F.lit(False).alias("seed"))
+    what = ("s.m", "s.patterns")
+    seeds = found.select(F.explode(F.concat(*KINDS[:4])).alias("s")).select(*what, F.lit(True).alias("seed"), F.lit(False).alias("bad"))
+    others = found.select(F.explode("tokens").alias("s")).select(*what, F.lit(False).alias("seed"), "s.bad")
     edges = (
         seeds.union(others)
-        .select(F.explode("s.patterns").alias("p"), F.xxhash64(F.lower("s.m")).alias("instance"), "seed")
+        .select(F.explode("patterns").alias("p"), F.xxhash64(F.lower("m")).alias("instance"), "seed", "bad")
         .groupBy("p.pattern", "p.key", "instance")
-        .agg(F.max("seed").alias("seed"), F.count("*").alias("times"))
+        .agg(F.max("seed").alias("seed"), F.max("bad").alias("bad"), F.count("*").alias("times"))
     )
     edges = cut(edges)
     used = cut(edges.groupBy("pattern", "key").agg(F.sum(F.col("seed").cast("long")).alias("n_seeds"), F.sum("times").alias("times")).filter("n_seeds > 0"))
@@ -138,7 +143,7 @@ def patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFra
     used = used.join(places, "key", "left").select("pattern", "n_seeds", F.greatest(F.coalesce("places", F.lit(0)) - F.col("times"), F.lit(0)).alias("elsewhere"))
     used = cut(used)
     wide = F.sum(F.startswith("pattern", F.lit("before ")).cast("long")) >= 2 * ORDINARY  # one and two words before, each
-    instances = edges.groupBy("instance").agg(F.max("seed").alias("seed"), (~F.max("seed") & wide).alias("ordinary"))
+    instances = edges.groupBy("instance").agg(F.max("seed").alias("seed"), (~F.max("seed") & (wide | F.max("bad"))).alias("ordinary"))
     # at first an unseen word is worth what the known words of its shape are
     kind = edges.filter(F.startswith("pattern", F.lit("shape "))).select("pattern", "instance").join(instances, "instance")
     shapes = kind.groupBy("pattern").agg((F.sum(F.col("seed").cast("long")) / (F.sum((F.col("seed") | F.col("ordinary")).cast("long")) + 1)).alias("share"))
@@ -169,12 +174,14 @@ def scan(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFID
 
     Null and empty texts have no spans; without seeds nothing is added. Repeated rows get the same spans each and count
     once as instances; rows without doc_id are scanned like others; of other columns none is read. Empty tables give no
-    rows. An ordinary word is never added.
+    rows. An ordinary word is never added, nor one that fails the test of a kind whose form it has. Very long texts take time in
+    proportion, also without spaces; words of more than ``common.LONGEST`` characters are no context.
     """
     found = base(docs)
     good = patterns(docs, found).filter((F.col("score") >= confidence) & (F.col("n_seeds") >= min_seeds)).select("pattern")
     added = (
         found.select("row", F.explode("tokens").alias("t"))
+        .filter("not t.bad")
         .select("row", "t.start", "t.end", F.explode("t.patterns.pattern").alias("pattern"))
         .join(good, "pattern", "left_semi")
         .select("row", F.struct("start", "end").alias("t"))
