@@ -48,11 +48,13 @@ def interior_ref(pts: Column, end: int) -> Column:
     return F.element_at(p, found + 1)
 
 
-def end_bearing(pts: Column, end: int, entering: bool = False) -> Column:
-    """Bearing in which one leaves a way at its start (end 0) or end (1), or in which one enters it there."""
-    ref, tip = interior_ref(pts, end), F.element_at(pts, 1 if end == 0 else -1)
-    a, b = (tip, ref) if entering else (ref, tip)
-    return bearing_rad(a["lat"], a["lon"], b["lat"], b["lon"])
+def end_bearings(pts: Column, end: int) -> Column:
+    """(leaving, entering): bearings in which one leaves a way through its start (end 0) or end (1), and enters it there."""
+    tip = F.element_at(pts, 1 if end == 0 else -1)
+    bearing = lambda a, b: bearing_rad(a["lat"], a["lon"], b["lat"], b["lon"])
+    both = lambda ref: F.struct(bearing(ref, tip).alias("leaving"), bearing(tip, ref).alias("entering"))
+    # the reference is looked for once, not once for each place of its name
+    return F.element_at(F.transform(F.array(interior_ref(pts, end)), both), 1)
 
 
 def segment_cross_frac(a: list[Column], b: list[Column], c: list[Column], d: list[Column]) -> Column:
