@@ -131,8 +131,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, whole: bool, lower: bool = True) -
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "shingles"])
                     continue
                 fps = np.array([prints(s) for s in sets], np.uint64).view(np.int64).reshape(-1, len(PRINTS))
-                more = [[int(mix(mix(s ^ k).min(keepdims=True)).view(np.int64)[0]) for k in _SEEDS[BANDS:]] for s in sets]
-                columns = [pa.array(key, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(x) for x in fps.T.copy()], pa.array(more, pa.list_(pa.int64()))]
+                sizes = np.array([len(s) for s in sets], np.int64)  # of five words and more, so none is empty
+                flat, start = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.cumsum(sizes) - sizes
+                more = np.stack([mix(np.minimum.reduceat(mix(flat ^ s), start)) if len(sets) else flat for s in _SEEDS[BANDS:]], axis=1).view(np.int64)
+                columns = [pa.array(key, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(x) for x in fps.T.copy()], pa.array(list(more), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *PRINTS, "more"])
 
     schema = "id long, shingles array<long>" if whole else f"id long, n int, {', '.join(f'{c} long' for c in PRINTS)}, more array<long>"

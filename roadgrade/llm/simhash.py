@@ -22,6 +22,8 @@ from .shingle import mix
 RADIUS = 3
 #: Most leaves of a trie that one task joins; larger ones are dealt again.
 TRIE_LEAVES = 4096
+#: Up to so many pairs are compared one by one.
+FEW_PAIRS = 1 << 14
 
 
 def fingerprint_text(text: str, words: int = 3) -> int:
@@ -207,15 +209,26 @@ def near_prints(facts: DataFrame, radius: int, all_bits: int, least: int):
 def print_edges(radius: int, all_bits: int):
     """Function of a block whose rows carry fingerprints: what joins the ids of every pair as near as that, by a trie join."""
 
-    def edges(block: Block) -> pa.RecordBatch:
-        every = [np.asarray(block.what.field(k)).view(np.uint64) for k in range(len(PRINTS))]
-        order, forest = np.argsort(every[0], kind="stable"), Forest(len(block.ids))
+    def near(block: Block, every: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = int(block.own.sum())
+        if left * (len(block.own) - left) <= FEW_PAIRS:  # too few for a trie
+            for i, j in block.pairs(FEW_PAIRS):
+                keep = np.bitwise_count(every[0][i] ^ every[0][j]) <= radius
+                yield i[keep], j[keep]
+            return
+        order = np.argsort(every[0], kind="stable")
         for i, j in trie_pairs(np.zeros(len(order), np.int64), every[0][order], block.label[order], radius):
             i, j = order[i], order[j]
             i, j = np.where(block.own[i], i, j), np.where(block.own[i], j, i)
-            keep = block.own[i] & ~block.own[j] & (sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in every) <= all_bits)
+            keep = block.own[i] & ~block.own[j]
             i, j = i[keep], j[keep]
             keep = block.compared(i, j)
+            yield i[keep], j[keep]
+
+    def edges(block: Block) -> pa.RecordBatch:
+        every, forest = [np.asarray(block.what.field(k)).view(np.uint64) for k in range(len(PRINTS))], Forest(len(block.ids))
+        for i, j in near(block, every):
+            keep = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in every) <= all_bits
             forest.join(block.id[i[keep]], block.id[j[keep]])
         return forest.edges_of(block.ids)
 
