@@ -132,10 +132,11 @@ class Sets:
         """Those (a, b) whose whole sets are similar."""
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         sets = self.whole(stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("id")))
-        # one set can stand in very many pairs: those are dealt to salts, and that set to all of them
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / self.group).cast("int").alias("salts"))
-        left = sets.join(salts, sets.id == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("what").alias("x"))
-        salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+        # one set can stand in very many pairs: those are dealt to salts, and that set to all of them; few sets do
+        often = pairs.groupBy("a").agg(F.ceil(F.count("*") / self.group).cast("int").alias("salts")).filter("salts > 1")
+        often, salts = F.broadcast(often), F.coalesce("salts", F.lit(1))
+        left = sets.withColumnRenamed("id", "a").join(often, "a", "left").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("what").alias("x"))
+        salted = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
         right = salted.join(sets, salted.b == sets.id).select("a", "b", "salt", F.col("what").alias("y"))
         both = right.join(left, ["a", "salt"]).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("same"))
         return stored(both.filter(100 * F.col("same") >= self.least * (F.col("n") + F.col("m") - F.col("same"))).select("a", "b"))
@@ -194,7 +195,7 @@ class Sets:
         found = self.clusters(stored(labelled.join(_several(labelled), "key")), labels)
         found = stored(found.join(self.facts.select("id", "n"), "id"))
         exact = self.dealt(found, self.whole(found.select("id")), F.col("n"), self.group * SIZE).mapInArrow(in_blocks(exact_links, self.least), self.pair)
-        return components(links.union(exact))
+        return components(labels.toDF("a", "b").union(exact))  # exact links are between labels
 
 
 def _several(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadgrade.llm import decontaminate, lines, paragraphs, queries, simhash, suffixes
+from roadgrade.llm import common
 from roadgrade.llm.common import components
 
 from test_near import slow_kept
@@ -50,6 +51,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_few_stages(spark, monkeypatch):
+    """Stages write files for each task, however little they move; with shuffles instead of sent tables they are far more."""
+    edges, sc = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 9)], "a long, b long"), spark.sparkContext
+    got, stages = [], []
+    for most in (common.FEW_LINKS, 0):
+        monkeypatch.setattr(common, "FEW_LINKS", most)
+        sc.setJobGroup(f"few links {most}", "")
+        got.append({tuple(r) for r in components(edges).collect()})
+        tracker = sc.statusTracker()
+        stages.append(len({s for j in tracker.getJobIdsForGroup(f"few links {most}") for s in tracker.getJobInfo(j).stageIds}))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1] == {(i, 0) for i in range(41)} | {(100 + i, 100) for i in range(9)}
+    assert 4 * stages[0] < 3 * stages[1], stages
+
+
 def slow_fingerprint(t):
     w = WORD.findall(lowered(t))
     if not w:
