@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 _BASE = 0xC6A4A7935BD1E995 | 1
@@ -23,17 +25,23 @@ class Hasher:
 
     def __call__(self, texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """(hash of every word, where each text begins and the last ends, the words)."""
-        import xxhash
-
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         split = [(r.lower() if lower else r).split() for r in raw]
+        return *self.of(split), split
+
+    def of(self, split: list[list[bytes]], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of every word, where each list of words begins and the last ends)."""
+        import xxhash
+
+        if lower:
+            split = [[w.lower() for w in words] for words in split]
         if len(self.known) > 150_000:
             self.known.clear()
         known, h = self.known, xxhash.xxh64_intdigest
-        for w in {w for words in split for w in words}.difference(known):
+        for w in set().union(*split).difference(known):
             known[w] = h(w)
         edge = np.cumsum([0, *map(len, split)])
-        return np.fromiter((known[w] for words in split for w in words), np.uint64, int(edge[-1])), edge, split
+        return np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(edge[-1])), edge
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

@@ -192,6 +192,29 @@ def prints(hashes: np.ndarray) -> list[int]:
     return [majority(hashes if k == 0 else mix(hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64))) for k in range(len(PRINTS))]
 
 
+#: A byte's bits as the bytes of a number, so that up to 255 numbers add up bit by bit at once.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def prints_of(flat: np.ndarray, sizes: np.ndarray, room: int = 1 << 16) -> np.ndarray:
+    """``prints`` of sets of hashes that lie one after the other in ``flat``, a row each; sizes are positive."""
+    out, end = np.empty((len(sizes), len(PRINTS)), np.uint64), np.cumsum(sizes)
+    for i in np.flatnonzero(sizes > 255).tolist():
+        out[i] = prints(flat[end[i] - sizes[i] : end[i]])
+    few = np.flatnonzero(sizes <= 255)
+    part = np.cumsum(sizes[few]) // room
+    for low, high in zip(np.flatnonzero(np.append(True, part[1:] != part[:-1])), np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(few)), strict=True) if len(few) else ():
+        some = few[low:high]
+        n = sizes[some]
+        start = np.cumsum(n) - n
+        h = flat[np.repeat(end[some] - n - start, n) + np.arange(n.sum())]
+        for k in range(len(PRINTS)):
+            x = h if k == 0 else mix(h + np.uint64(0x9E3779B97F4A7C15 * k % 2**64))
+            counts = np.add.reduceat(_LANES[x.astype("<u8").view(np.uint8).reshape(-1, 8)], start, axis=0).view(np.uint8)
+            out[some, k] = np.packbits(2 * counts.astype(np.int16) > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def near_prints(facts: DataFrame, radius: int, all_bits: int, least: int):
     """facts (id, n, what: struct of PRINTS) -> function of (a, b) that returns (a, b, equal) of the pairs of at most ``radius``
     different bits of the first fingerprint and ``all_bits`` of all, and of sizes that allow the similarity (hundredths)."""

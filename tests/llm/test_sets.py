@@ -66,6 +66,16 @@ def test_few_links_take_few_stages(spark, monkeypatch):
     assert 4 * stages[0] < 3 * stages[1], stages
 
 
+def test_prints_of_many_sets():
+    rng = np.random.default_rng(5)
+    sizes = np.append(rng.integers(1, 90, 3000), [1, 255, 256, 700, 2])
+    flat = rng.integers(0, 1 << 62, sizes.sum()).astype(np.uint64) * np.uint64(5)
+    end = np.cumsum(sizes)
+    got = simhash.prints_of(flat, sizes)
+    assert got.tolist() == [simhash.prints(flat[e - n : e]) for n, e in zip(sizes, end)]
+    assert simhash.prints_of(flat[:0], sizes[:0]).shape == (0, 4)
+
+
 def slow_fingerprint(t):
     w = WORD.findall(lowered(t))
     if not w:
