@@ -82,6 +82,16 @@ def test_text_expressions(spark):
     assert "heading=0.0" in url and "pitch=5.7" in url
 
 
+def test_one_decimal_is_rounded_by_the_exact_value(spark):
+    """As SQL does: 9.35 lies below its half, 6.25 on it, and s = 10 x itself may round onto a half."""
+    xs = [0.0, 0.05, 0.25, 0.75, 1.45, 6.25, 9.35, 18.85, 99.95, 1.005, -9.35, -6.25] + [k / 100 + 0.05 for k in range(0, 3000, 7)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(F.format_string("%.1f", text.one_decimal(F.col("x")))).collect()]
+    assert got == [duckdb.sql(f"select printf('%.1f', {x!r}::double) as s").df().s[0].replace("-0.0", "0.0") for x in xs] == [f"{x:.1f}".replace("-0.0", "0.0") for x in xs]
+    assert value(spark, text.fmt_climb(F.lit(18.7), F.lit(200.0), F.lit(0.0935))) == "↑19m/200m ≈ 9.3%"
+    assert value(spark, text.fmt_len(F.lit(9350.0))) == "9.3 km"
+
+
 def test_geometry(spark):
     assert value(spark, geo.haversine_m(F.lit(35.0), F.lit(-82.0), F.lit(35.009), F.lit(-82.0))) == pytest.approx(1000.75, abs=0.1)
     one = [F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.lit(2.0)]
