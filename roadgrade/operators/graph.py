@@ -201,28 +201,35 @@ def _area_schema(df: DataFrame, area: Sequence[str]) -> str:
     return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in area)
 
 
-COMBINED = "chain string, segs array<struct<road_id:long,from:int,to:int>>, d array<double>, elev array<double>, lat array<double>, lon array<double>, src array<struct<road_id:long,k:int>>"
+COMBINED = "chain string, segs array<struct<road_id:long,from:int,to:int>>, d array<double>, elev array<double>, lat array<double>, lon array<double>"
 
 
-def combine_steps(chain_rows: DataFrame, samples: DataFrame, area: Sequence[str] = ()) -> DataFrame:
-    """Chains with their joined profile: distances between successive samples anew, elevations, and where each is from."""
+def _joined(chain_rows: DataFrame, samples: DataFrame, area: Sequence[str]) -> DataFrame:
+    """(area, chain, segs, road, k, lat, lon, elev): chains with their samples in order, an array for each column. Python
+    gets such arrays as numbers side by side; of an array of structs it would make an object for every sample."""
     c = chain_rows.select(*area, F.to_json("segs").alias("chain"), "segs").select(*area, "chain", "segs", F.posexplode("segs").alias("part", "s"))
     rows = c.select(*area, "chain", "segs", "part", "s.*").join(samples.select(*area, "road_id", "k", "lat", "lon", "elev"), [*area, "road_id"])
     rows = rows.filter(F.col("k").between(F.least("from", "to"), F.greatest("from", "to")))
     order = F.when(F.col("from") <= F.col("to"), F.col("k")).otherwise(-F.col("k"))
     got = rows.groupBy(*area, "chain").agg(F.first("segs").alias("segs"), F.array_sort(F.collect_list(F.struct("part", order.alias("o"), "road_id", "k", "lat", "lon", "elev"))).alias("p"))
-    names = [*area, "chain", "segs", "d", "elev", "lat", "lon", "src"]
+    return got.select(*area, "chain", "segs", F.col("p.road_id").alias("road"), *[F.col(f"p.{x}").alias(x) for x in ("k", "lat", "lon", "elev")])
+
+
+def _along(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Running distances from sample to sample."""
+    p = list(zip(lat.tolist(), lon.tolist(), strict=True))
+    return np.cumsum([0.0, *(distance(a, b) for a, b in zip(p, p[1:], strict=False))])
+
+
+def combine_steps(chain_rows: DataFrame, samples: DataFrame, area: Sequence[str] = ()) -> DataFrame:
+    """Chains with their joined profile: distances between successive samples anew, elevations and places."""
+    names = [*area, "chain", "segs", "d", "elev", "lat", "lon"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                p = row.p
-                d = np.cumsum([0.0, *(distance((a["lat"], a["lon"]), (b["lat"], b["lon"])) for a, b in zip(p, p[1:], strict=False))])
-                out.append((*[getattr(row, c) for c in area], row.chain, row.segs, d, [x["elev"] for x in p], [x["lat"] for x in p], [x["lon"] for x in p], [{"road_id": x["road_id"], "k": x["k"]} for x in p]))
-            yield pd.DataFrame(out, columns=names)
+            yield pdf.assign(d=[_along(lat, lon) for lat, lon in zip(pdf["lat"], pdf["lon"], strict=True)])[names]
 
-    return got.mapInPandas(run, _area_schema(samples, area) + COMBINED)
+    return _joined(chain_rows, samples, area).drop("road", "k").mapInPandas(run, _area_schema(samples, area) + COMBINED)
 
 
 INCLINE = "seq string, road_id long, i int, j int, span double, gain double, grade double, segs array<struct<road_id:long,from:int,to:int>>, parts array<struct<road_id:long,low:int,high:int,lat_min:double,lat_max:double,lon_min:double,lon_max:double>>, start struct<lat:double,lon:double,elev:double>, end struct<lat:double,lon:double,elev:double>"
@@ -237,43 +244,43 @@ def longest_incline_paths(samples: DataFrame, names: DataFrame, min_span: float,
     first road; names has those of all roads in order, joined by " + ", n_roads their number. Start is the lower end.
     """
     junctions = checkpointed(endpoint_junctions(samples, area)) if max_roads > 1 else None
-    combined = combine_steps(chains(samples, junctions, min_span, max_roads, area), samples, area)
+    joined = _joined(chains(samples, junctions, min_span, max_roads, area), samples, area).drop("segs")
     columns = [*area, *(f.split()[0] for f in re.sub("<.*?>+", "", INCLINE).split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                d, e = np.asarray(row.d, float), np.asarray(row.elev, float)
+                d, e = _along(row.lat, row.lon), np.asarray(row.elev, float)
                 for n, (i, j, span, gain, grade) in enumerate(kernels.inclines(d, e, min_span)):
-                    segs, parts = _slices(row.src, row.lat, row.lon, i, j)
+                    segs, parts = _slices(row.road, row.k, row.lat, row.lon, i, j)
                     a, b = (i, j) if e[i] <= e[j] else (j, i)
-                    pt = lambda k: {"lat": row.lat[k], "lon": row.lon[k], "elev": float(e[k])}  # noqa: E731, B023
+                    pt = lambda k: {"lat": float(row.lat[k]), "lon": float(row.lon[k]), "elev": float(e[k])}  # noqa: E731, B023
                     where = [getattr(row, c) for c in area]
                     out.append((*where, f"{row.chain}#{n:03d}", segs[0]["road_id"], i, j, span, gain, grade, segs, parts, pt(a), pt(b)))
             yield pd.DataFrame(out, columns=columns)
 
-    found = combined.mapInPandas(run, _area_schema(samples, area) + INCLINE)
+    found = joined.mapInPandas(run, _area_schema(samples, area) + INCLINE)
     # chains that go on and chains walked backwards find an incline again: one of each stays
     slices = F.array_sort(F.transform("parts", lambda s: F.struct(s["road_id"].alias("road_id"), s["low"].alias("low"), s["high"].alias("high"))))
     found = found.groupBy(*area, slices.alias("slices")).agg(F.min_by(F.struct(*[c for c in columns if c not in area]), F.struct(-F.col("span"), "seq")).alias("x")).select(*area, "x.*")
     found = checkpointed(found.join(names.select(*area, "road_id", "name", "unnamed"), [*area, "road_id"]).withColumn("id", F.xxhash64(*area, "seq")))
     kept = found.join(losers(_incline_conflicts(found, names, area)), "id", "left_anti")
     named = kept.select("id", *area, F.posexplode("segs").alias("at", "s")).select("id", *area, "at", F.col("s.road_id").alias("road_id")).join(names.select(*area, "road_id", F.col("name").alias("one")), [*area, "road_id"])
-    joined = named.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "road_id", "one"))).alias("l")).select(
+    labels = named.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "road_id", "one"))).alias("l")).select(
         "id", F.array_join(F.array_distinct("l.one"), " + ").alias("names"), F.size(F.array_distinct("l.road_id")).alias("n_roads")
     )
-    return kept.join(joined, "id").drop("id", "parts")
+    return kept.join(labels, "id").drop("id", "parts")
 
 
-def _slices(src: Sequence[dict], lat: Sequence[float], lon: Sequence[float], i: int, j: int) -> tuple[list[dict], list[dict]]:
+def _slices(roads: np.ndarray, ks: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int, j: int) -> tuple[list[dict], list[dict]]:
     """Samples i to j of a joined profile as slices of roads: in the direction of travel, and as ranges with padded boxes."""
-    road = np.array([s["road_id"] for s in src[i : j + 1]], np.int64)
+    road = np.asarray(roads[i : j + 1], np.int64)
     edge = [0, *(np.flatnonzero(np.diff(road)) + 1).tolist(), len(road)]
     segs, parts = [], []
     for a, b in zip(edge, edge[1:], strict=False):
-        first, last = src[i + a]["k"], src[i + b - 1]["k"]
-        la, lo = np.asarray(lat[i + a : i + b]), np.asarray(lon[i + a : i + b])
+        first, last = int(ks[i + a]), int(ks[i + b - 1])
+        la, lo = lat[i + a : i + b], lon[i + a : i + b]
         segs.append({"road_id": int(road[a]), "from": first, "to": last})
         box = {"lat_min": la.min() - BOX_PAD, "lat_max": la.max() + BOX_PAD, "lon_min": lo.min() - BOX_PAD, "lon_max": lo.max() + BOX_PAD}
         parts.append({"road_id": int(road[a]), "low": min(first, last), "high": max(first, last)} | box)

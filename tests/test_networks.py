@@ -110,6 +110,17 @@ def test_incline_over_two_roads(spark):
     assert [r["on_incline"] for r in own] == [True] * (len(own) - 1) + [False]
 
 
+def test_python_gets_a_chains_samples_as_plain_arrays(spark):
+    """No object for each sample: ten thousand chains of a batch stay a few bytes a sample."""
+    low = line((35.0, -82.0), (35.0054, -82.0), lambda d: d * 0.05)
+    samples = frames(spark, [(1, "Lower Rd", False, low)])[0]
+    rows = graph.chains(samples, None, 300.0)
+    for df, columns in ((graph._joined(rows, samples, ()), ("road", "k", "lat", "lon", "elev")), (graph.combine_steps(rows, samples), ("d", "elev", "lat", "lon"))):
+        assert {dict(df.dtypes)[c] for c in columns} <= {"array<bigint>", "array<int>", "array<double>"}
+        assert [c for c, kind in df.dtypes if "struct" in kind] == ["segs"]
+        assert all(len(df.first()[c]) == len(low) for c in columns)
+
+
 @pytest.mark.parametrize("second", ["Oak", "Ash"])
 def test_parallel_road_of_a_later_slice(spark, second):
     """Elm and Oak are one incline; what runs beside its second slice under that slice's name is the same hill."""
