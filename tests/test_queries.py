@@ -15,7 +15,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadgrade.functions import geo, text
-from roadgrade.operators import profile, ranking, ways
+from roadgrade.kernels import stitch
+from roadgrade.operators import paint, profile, ranking, ways
 from roadgrade.plans import catalogue
 from roadgrade.sources import osm, store, tiles
 
@@ -125,6 +126,51 @@ def test_resample_keeps_the_last_sample_of_a_repeated_end_point(spark):
     assert any(n * (t / n) > t for t in total.values() for n in [max(1, math.floor(t / 25 + 0.5))])
 
 
+def plan_lines(df) -> list[str]:
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain()
+    return shown.getvalue().split("== Initial Plan")[0].splitlines()
+
+
+@pytest.mark.parametrize("name", ["densify", "resample_profile"])
+def test_samples_are_neither_sorted_nor_shuffled(spark, name):
+    """Only the given points are: above the step that makes samples stand projections alone, and the view is read once."""
+    lines = plan_lines(catalogue.queries()[name](spark, SF))
+    made = [k for k, x in enumerate(lines) if "MapInArrow" in x]
+    assert len(made) == 1 and sum("FileScan" in x for x in lines) == 2
+    assert not any("Sort" in x or "Exchange" in x or "Join" in x for x in lines[: made[0]])
+
+
+def test_dense_path_of_ways_of_all_kinds(spark):
+    """Against a plain loop: single points, no length, repeated points, corners between samples and on them."""
+    rng = np.random.default_rng(7)
+    ways_ = {1: [(35.0, -82.0)], 2: [(35.0, -82.0)] * 3, 3: [(35.0, -82.0), (35.0001, -82.0), (35.0001, -81.9999), (35.0, -81.9999), (35.0, -82.0)]}
+    for w in range(4, 80):
+        pts = (np.cumsum(rng.uniform(-4e-4, 4e-4, (rng.integers(2, 30), 2)), axis=0) + [35.0, -82.0]).tolist()
+        ways_[w] = [p for p in pts for _ in range(1 + (rng.random() < 0.2))]
+    df = spark.createDataFrame([(w, i, *map(float, p)) for w, pts in ways_.items() for i, p in enumerate(pts)], "way_id long, i int, lat double, lon double")
+    d = {(r["way_id"], r["i"]): r["d"] for r in profile.cumulative_distance(df).collect()}
+    want = []
+    for w, pts in ways_.items():
+        at = [d[w, i] for i in range(len(pts))]
+        n = max(1, math.floor(at[-1] / 25 + 0.5)) if at[-1] else 0
+        samples = []
+        for k in range(n + 1):
+            t = k * (at[-1] / n) if n else 0.0
+            hi = min([i for i in range(1, len(pts)) if at[i] >= t], default=len(pts) - 1)
+            lo = max(hi - 1, 0)
+            f = min((t - at[lo]) / (at[hi] - at[lo]), 1.0) if at[hi] > at[lo] else 0.0
+            samples.append((t, *(a + (b - a) * f for a, b in zip(pts[lo], pts[hi], strict=True))))
+        want += [(w, k, 0.0, *s[1:]) for k, s in enumerate(samples)]
+        for k, (a, b) in enumerate(zip(samples, samples[1:], strict=False)):
+            if b[0] - a[0] > 1.02 * stitch.distance(a[1:], b[1:]):
+                want += [(w, k, (at[i] - a[0]) / (b[0] - a[0]), *p) for i, p in enumerate(pts) if a[0] < at[i] < b[0]]
+    got = [tuple(r) for r in paint.densify_path(df, ("way_id",)).collect()]
+    near = lambda rows_: sorted(tuple(round(x, 8) + 0.0 for x in r) for r in rows_)
+    assert near(got) == near(want) and any(r[2] > 0 for r in got)
+
+
 def test_decks(spark):
     rows_ = [(1, k, k * 25.0, 200.0 - (50 if 3 <= k <= 5 else 0), 3 <= k <= 5) for k in range(10)] + [(2, k, k * 25.0, 200.0 + (k % 2) * 40, True) for k in range(5)]
     got = profile.deck_elevations(spark.createDataFrame(rows_, "road_id long, k int, d double, elev double, b boolean")).toPandas()
