@@ -171,6 +171,42 @@ def test_dense_path_of_ways_of_all_kinds(spark):
     assert near(got) == near(want) and any(r[2] > 0 for r in got)
 
 
+def test_cuts_and_marks_equal_a_plain_loop(spark):
+    """Long and short segments, several cells and areas; ways with hundreds of cuts send a few marks."""
+    rng = np.random.default_rng(5)
+    road = {(a, w): np.cumsum(rng.uniform(-0.02, 0.02, (rng.integers(2, 5), 2)), axis=0) + [35.0, -82.0] for a in (1, 2) for w in range(12)}
+    road[1, 50], road[1, 51] = np.array([[35.0, -82.0], [35.0, -81.9998]]), np.array([[35.0, -82.1], [35.0, -81.9]])
+    deck = {(a, w): rng.uniform(-0.03, 0.03, (3, 2)) + [35.0, -82.0] for a in (1, 2) for w in range(60)}
+    rows_ = lambda of: [(a, w, i, *map(float, p)) for (a, w), pts in of.items() for i, p in enumerate(pts)]
+    keys = ("area_id", "way_id")
+    pts = spark.createDataFrame([(*r, r[1] == 3) for r in rows_(road)], "area_id long, way_id long, i int, lat double, lon double, b boolean")
+    decks = spark.createDataFrame(rows_(deck), "area_id long, deck_id long, i int, lat double, lon double")
+    at = profile.cumulative_distance(pts, keys)
+    cuts = ways.underpass_cuts(ways.sample_gaps(at, keys), decks, ("way_id",), ("area_id",), ("n", "gap"))
+    d = {(r["area_id"], r["way_id"], r["i"]): r["d"] for r in at.collect()}
+    want = {}
+    for (a, w), p in road.items():
+        for i in range(len(p) - 1) if w != 3 else ():
+            for (area, o), q in deck.items():
+                for j in range(2) if area == a else ():
+                    k = math.cos(math.radians((p[i][0] + p[i + 1][0]) / 2))
+                    r, s, x = ((v - u) * [1, k] for u, v in ((p[i], p[i + 1]), (q[j], q[j + 1]), (p[i], q[j])))
+                    den = r[1] * s[0] - r[0] * s[1]
+                    t, u = (x[1] * s[0] - x[0] * s[1]) / den, (x[1] * r[0] - x[0] * r[1]) / den
+                    if 0 < t < 1 and 0 < u < 1:
+                        want[a, w, i, o, j] = d[a, w, i] + t * (d[a, w, i + 1] - d[a, w, i])
+    got = {tuple(r[c] for c in ("area_id", "way_id", "i", "deck_id", "deck_i")): r["cut"] for r in cuts.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and len(want) > 300
+    for r in ways.mark_underpasses(at, cuts, keys).collect():
+        near = [abs(r["d"] - c) for (a, w, *_), c in want.items() if (a, w) == (r["area_id"], r["way_id"])]
+        assert r["b"] == (r["way_id"] == 3 or min(near, default=99) <= 40)
+    marks = ways.near_cuts(cuts.select(*keys, "cut", "n", "gap"), keys).collect()
+    assert max(len(r["marks"]) for r in marks) <= 20 < len(want) / len(marks)
+    lines = plan_lines(ways.mark_underpasses(at, cuts, keys))
+    made = next(k for k, x in enumerate(lines) if "MapInArrow" in x)
+    assert not any("Sort" in x or "Exchange" in x for x in lines[:made])
+
+
 def test_decks(spark):
     rows_ = [(1, k, k * 25.0, 200.0 - (50 if 3 <= k <= 5 else 0), 3 <= k <= 5) for k in range(10)] + [(2, k, k * 25.0, 200.0 + (k % 2) * 40, True) for k in range(5)]
     got = profile.deck_elevations(spark.createDataFrame(rows_, "road_id long, k int, d double, elev double, b boolean")).toPandas()
