@@ -212,3 +212,16 @@ def test_nearest_on_any_road_equals_all_pairs(spark):
     want = {k: min((far((y, x), a, b), i, j) for i, _, _, pts in roads for j, (a, b) in enumerate(zip(pts, pts[1:])))[1:] for k, y, x in points}
     assert got == want
     assert paint.nearest_on_any_road(spark.createDataFrame(points, "point_id long, lat double, lon double"), samples.limit(0)).count() == 0
+
+
+def test_long_segments_lie_in_few_cells(spark, monkeypatch):
+    """The first cells follow the segments' size: no round puts a segment in dozens of cells."""
+    widths = []
+    cells = paint.box_cells
+    monkeypatch.setattr(paint, "box_cells", lambda *a: widths.append(a[-1]) or cells(*a))
+    rng = random.Random(3)
+    place = lambda: (35 + rng.uniform(0, 0.1), -82 + rng.uniform(0, 0.1))
+    samples = spark.createDataFrame([(r, k, *place()) for r in range(40) for k in range(3)], "road_id long, k int, lat double, lon double")
+    points = spark.createDataFrame([(i, *place()) for i in range(30)], "point_id long, lat double, lon double")
+    got = {r["point_id"]: r["dist"] for r in paint.nearest_on_any_road(points, samples).collect()}
+    assert len(got) == 30 and min(widths) > 0.04
